@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import chat, common, secrets
+from corpus_jobs.llm import chat, common, packing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +41,17 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_secret_scans)}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = common.materialise(quality.with_features(docs), "features")
+    scored = quality.score(measured, quality.fit(measured, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~common.learns("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op7_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
