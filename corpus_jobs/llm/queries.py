@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import chat, common, packing, quality, secrets
+from corpus_jobs.llm import chat, common, exact_dedup, packing, quality, secrets, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,23 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~common.learns("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op7_quality_classifier)}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier)}
+
+_NORMALISED = r"regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')"
+
+ORACLE_SQL = {
+    "op5_exact_dedup": f"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORMALISED}) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+}
