@@ -34,9 +34,9 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from corpus_jobs.llm.tokens import WordIds
+        from corpus_jobs.llm.tokens import word_ids
 
-        words, end = WordIds(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        words, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             of, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
             for row, raw in enumerate(words(batch.column(1).to_pylist())):

@@ -1,47 +1,80 @@
-"""Token ids of whole texts, for tasks on executors: each distinct word is tokenised once per worker."""
+"""Token ids of whole texts, for tasks on executors: a worker tokenises words it has seen lately only once."""
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from struct import pack
 
-import numpy as np
+_WORKER: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own WordIds for a tokenizer file; it lives as long as the worker."""
+    if path not in _WORKER:
+        _WORKER[path] = WordIds(path)
+    return _WORKER[path]
 
 
 class WordIds:
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer drops white space and never joins across it, a text's ids are those of its words one after
-    another; words are then kept, ``keep`` at most. For other tokenizers whole texts are encoded.
+    another; twice ``keep`` words at most are then kept, the latest ones. For other tokenizers whole texts are encoded.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.known: dict[bytes, bytes] = {}  # by a word's UTF-8
+        self.older: dict[bytes, bytes] = {}
         plain = self._encode(["Ab, c", "Ab,", "c", " Ab,\n\tc "])
         self.by_word = plain[0] == plain[1] + plain[2] == plain[3]
         self.folds = self._encode(["ABÉ"]) == self._encode(["abé"])
+        self.stops = {ord(x): self._encode([x])[0] for x in ".," if self._encode([f"ab{x}é{x}"]) == self._encode([f"ab {x} é {x}"])}
+        tried = ["a", "ab", "heather", "thnttionwh", "zzzqqxj"]
+        self.direct = [self._letters(x) for x in tried] == self._encode(tried)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+
+    def _letters(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return pack(f"<{len(ids)}I", *ids)
 
-    def _words(self, text: str) -> list[str]:
+    def _words(self, text: str) -> list[bytes]:
         if self.folds and "Σ" not in text and unicodedata.is_normalized("NFC", text):
             text = text.lower()  # capital sigma folds by context in Python only
-        return [w for line in text.split("\n") for w in line.split(" ") if w] if not text.isascii() else text.split()
+        return text.encode().split()  # of bytes: at ASCII white space only
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Add words to the known ones; a word that ends a clause is its letters and the mark."""
+        ends = [w for w in new if w[-1] in self.stops and w[:-1].decode().isalpha()]
+        unknown = []
+        for w in new.difference(ends).union(w[:-1] for w in ends):
+            if w in self.known:
+                continue
+            if w in self.older:
+                self.known[w] = self.older[w]
+            elif self.direct and w.isalpha() and w.islower():  # of bytes: ASCII letters only
+                self.known[w] = self._letters(w.decode())
+            else:
+                unknown.append(w)
+        for at in range(0, len(unknown), 20_000):
+            part = unknown[at : at + 20_000]
+            self.known.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
+        for w in ends:
+            self.known[w] = self.known[w[:-1]] + self.stops[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
         words = [self._words(t) for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(new) + len(self.known) > self.keep:
-            self.known = {}
-            new = list({w for ws in words for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
+        if len(self.known) > self.keep:
+            self.known, self.older = {}, self.known
+        self._learn(set().union(*words).difference(self.known))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+
