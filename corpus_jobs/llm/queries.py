@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import chat, common, exact_dedup, packing, quality, secrets, simhash
+from corpus_jobs.llm import ann, chat, common, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,7 +62,33 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, learn=common.learns("doc_id"))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~common.learns("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_dir(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path)
+    own = found.where("record_type = 'response'").select("id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    of = own.select(F.col("id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes")
+    again = found.where("record_type = 'revisit'").select("refers", "page_id", F.col("digest").alias("payload_digest"), "record_type").join(of, "refers", "left")
+    return own.drop("id").unionByName(again.drop("refers"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece)}
 
 _NORMALISED = r"regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')"
 
@@ -71,4 +97,12 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORMALISED}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS equal FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY equal) AS top FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM g""",
 }
