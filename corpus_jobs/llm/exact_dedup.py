@@ -19,6 +19,8 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # a store is closed after its task, so that an executor has only those open (some MB each) whose tasks run
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: A bucket of equal texts is checked in parts of about so many rows.
 _PART = 5_000
