@@ -16,6 +16,17 @@ def word_ids(path: str) -> WordIds:
     return _WORKER[path]
 
 
+class _Spelling(dict):
+    """How the tokenizer's splitter spells a letter for its model, asked for once."""
+
+    def __init__(self, tokenizer):
+        self.splitter = tokenizer.pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(part for part, _ in self.splitter.pre_tokenize_str(chr(code))) if self.splitter else chr(code)
+        return self[code]
+
+
 class WordIds:
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
 
@@ -34,15 +45,17 @@ class WordIds:
         self.by_word = plain[0] == plain[1] + plain[2] == plain[3]
         self.folds = self._encode(["ABÉ"]) == self._encode(["abé"])
         self.stops = {ord(x): self._encode([x])[0] for x in ".," if self._encode([f"ab{x}é{x}"]) == self._encode([f"ab {x} é {x}"])}
-        tried = ["a", "ab", "heather", "thnttionwh", "zzzqqxj"]
-        self.direct = [self._letters(x) for x in tried] == self._encode(tried)
+        self.spelt = _Spelling(self.tokenizer)
+        tried = ["a", "ab", "heather", "thnttionwh", "zzzqqxj", "éauouon", "straße", "ñ", "данные", "日本語"]
+        self.direct = self.folds and [self._letters(x) for x in tried] == self._encode(tried)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [pack(f"<{len(x.ids)}I", *x.ids) for x in found]
 
     def _letters(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        """The ids of a word of lower-case letters, as the model gives them without normaliser and splitter."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.spelt))]
         return pack(f"<{len(ids)}I", *ids)
 
     def _words(self, text: str) -> list[bytes]:
@@ -59,8 +72,8 @@ class WordIds:
                 continue
             if w in self.older:
                 self.known[w] = self.older[w]
-            elif self.direct and w.isalpha() and w.islower():  # of bytes: ASCII letters only
-                self.known[w] = self._letters(w.decode())
+            elif self.direct and (text := w.decode()).isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                self.known[w] = self._letters(text)
             else:
                 unknown.append(w)
         for at in range(0, len(unknown), 20_000):
