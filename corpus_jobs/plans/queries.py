@@ -1,5 +1,283 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables: one for every operator that tables can show."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpus_jobs.functions import frontmatter, text
+from corpus_jobs.functions.html import html_sections as sections_of
+from corpus_jobs.operators import dialogs, lexical, notes, sync, tags, vectors
+from corpus_jobs.operators.embed import embed_texts as embed
+from corpus_jobs.operators.embed import hashing_embedder
+from corpus_jobs.operators.fusion import reciprocal_rank_fusion as fuse
+from corpus_jobs.params import Dialogs, Embedding, Ranking
+from corpus_jobs.plans import jobs
+from corpus_jobs.plans import tables as t
+from corpus_jobs.plans.tables import AS_OF, MODEL
+from corpus_jobs.schemas import CHUNKS
+from corpus_jobs.sources import codecs
+from corpus_jobs.sources.files import parse_notes as parsed
+
+Q = {}
+SITE = "https://notes.example"
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+def _joined(c):
+    return F.array_join(c, ",")
+
+
+@query
+def parse_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Note files written out from the documents, then read back: front matter, defaults, tags, slugs."""
+    n = t.notes(spark, d)
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), "title"), F.when(F.col("doc_id") % 3 == 0, F.lit("heading:  Other: heading ")), F.lit(""), F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("date:"), "date"), F.when(~F.col("published"), F.lit("published: False")), F.concat(F.lit("tags: "), F.concat_ws(" , ", F.transform("tags", F.upper)), F.lit(", ,Odd  Tag")), F.lit("---\n"))
+    files = n.select(F.concat(F.lit("/root/tree/"), "slug", F.lit(".html")).alias("path"), F.concat(head, F.lit("\n "), "content_html", F.lit(" \n")).alias("raw"))
+    out = parsed(files, "/root/tree")
+    return out.select("slug", "url", "title", "heading", "list_title", "description", "lang", "category", "date", "date_text", F.md5(F.col("content_html").cast("binary")).alias("content_md5"), "published", _joined("tags").alias("tags"))
+
+
+@query
+def normalize_tags(spark, d):
+    raw = F.concat_ws(",", F.concat(F.lit(" "), "lang", F.lit("  "), "source", F.lit(" ")), F.upper("lang"), F.lit(""), F.col("lang"), F.concat(F.upper("lang"), F.lit("\t"), F.upper("source")), F.lit("Trade-Offs"))
+    return t.table(spark, d, "documents").select("doc_id", _joined(text.normalize_tags(raw)).alias("tags"))
+
+
+@query
+def codec_round_trip(spark, d):
+    n = t.notes(spark, d).join(t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), (codecs.decode_vector(codecs.encode_vector(F.col("embedding"))) == F.col("embedding")).alias("same_vector"))
+
+
+@query
+def canonical_slug(spark, d):
+    raw = F.concat("slug", F.when(F.col("doc_id") % 3 == 0, ".html").when(F.col("doc_id") % 3 == 1, ".html.html").otherwise(""))
+    return t.notes(spark, d).select("doc_id", text.canonical_slug(raw).alias("slug"), frontmatter.url_from_slug(F.col("slug")).alias("url"), text.source_url(F.col("url"), SITE).alias("source_url"))
+
+
+@query
+def normalize_text(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+
+
+@query
+def split_long_text(spark, d):
+    return t.chunks(spark, d).select("slug", "chunk_index", "text")
+
+
+@query
+def chunk_hash(spark, d):
+    return t.chunks(spark, d).select("slug", "chunk_index", text.chunk_hash(F.col("text"), MODEL).alias("content_hash"))
+
+
+@query
+def lexical_tokens(spark, d):
+    return t.table(spark, d, "documents").select("doc_id", text.lexical_tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").alias("n_tokens"), F.md5(F.array_join("k", " ").cast("binary")).alias("tokens_md5"))
+
+
+@query
+def html_sections(spark, d):
+    return t.table(spark, d, "pages").select("page_id", F.posexplode(sections_of(F.col("html"))).alias("pos", "s")).select("page_id", "pos", "s.heading", "s.text")
+
+
+@query
+def chunk_notes(spark, d):
+    pages = t.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("title"), F.col("url").alias("heading"), F.col("html").alias("content_html"))
+    return notes.chunk_notes(pages)
+
+
+@query
+def list_published_notes(spark, d):
+    return notes.list_published_notes(t.notes(spark, d), AS_OF).select("slug", "url", "title", "category", "date", "lang", _joined("tags").alias("tags"))
+
+
+@query
+def get_published_notes(spark, d):
+    n = t.notes(spark, d)
+    asked = n.where(F.array_contains("tags", "toxic")).select(F.concat("slug", F.lit(".html")).alias("slug"))
+    return notes.get_published_notes(n, asked, AS_OF).select("slug", "title", "date")
+
+
+@query
+def embeddable_notes(spark, d):
+    return notes.embeddable_notes(t.notes(spark, d)).select("slug", "date")
+
+
+@query
+def published_tags(spark, d):
+    return notes.published_tags(t.notes(spark, d), AS_OF).select("slug", _joined("tags").alias("tags"))
+
+
+@query
+def visible_chunks(spark, d):
+    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF).select("slug", "chunk_index", "title", "url", F.length("text").alias("chars"))
+
+
+@query
+def validate_conversations(spark, d):
+    return dialogs.validate_conversations(t.table(spark, d, "conversations"))
+
+
+@query
+def query_from_conversation(spark, d):
+    return dialogs.query_from_conversation(t.table(spark, d, "conversations"))
+
+
+@query
+def history_window(spark, d):
+    return dialogs.history_window(t.table(spark, d, "conversations"), 3).select("conv_id", "turn", "role", "text", "position")
+
+
+def _new_chunks(spark, d):
+    """Chunks of the documents that are still there: Spanish ones were taken away."""
+    still = t.table(spark, d, "documents").where("lang != 'es'").select("doc_id")
+    return t.chunks(spark, d).join(still, "doc_id").withColumn("content_hash", text.chunk_hash(F.col("text"), MODEL))
+
+
+@query
+def changed_chunks(spark, d):
+    return sync.changed_chunks(_new_chunks(spark, d), t.stored_chunks(spark, d)).select("slug", "chunk_index", "is_changed")
+
+
+@query
+def sync_counts(spark, d):
+    return sync.sync_counts(sync.changed_chunks(_new_chunks(spark, d), t.stored_chunks(spark, d)))
+
+
+@query
+def upsert_notes(spark, d):
+    now, then = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    n = t.notes(spark, d).drop("content_html")
+    stored = n.join(t.known_before(spark, d).select("doc_id"), "doc_id").withColumns({"title": F.concat(F.lit("Old "), "title"), "created_at": then, "updated_at": then})
+    out = sync.upsert_notes(stored, n.where("lang != 'es'"), now)
+    return out.select("slug", "title", "date", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query
+def upsert_chunks(spark, d):
+    now, then = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    stored = t.stored_chunks(spark, d).drop("doc_id").withColumn("updated_at", then)
+    new = sync.changed_chunks(_new_chunks(spark, d), stored).where("is_changed").drop("doc_id", "is_changed")
+    return sync.upsert_chunks(stored, new, now).select("slug", "chunk_index", "content_hash", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query
+def delete_stale_notes(spark, d):
+    n = t.notes(spark, d)
+    return sync.delete_stale_notes(n, n.where("lang != 'es'").select("slug")).select("slug", "title")
+
+
+@query
+def delete_stale_chunk_slugs(spark, d):
+    return sync.delete_stale_chunk_slugs(t.stored_chunks(spark, d), notes.embeddable_notes(t.notes(spark, d))).select("slug", "chunk_index")
+
+
+@query
+def delete_chunk_tail(spark, d):
+    counts = _new_chunks(spark, d).groupBy("slug").agg(F.count("*").alias("n"))
+    return sync.delete_chunk_tail(t.stored_chunks(spark, d), counts).select("slug", "chunk_index", "content_hash")
+
+
+def _titled(spark, d):
+    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF)
+
+
+@query
+def lexical_index(spark, d):
+    return lexical.lexical_index(lexical.tokenized(_titled(spark, d)))
+
+
+@query
+def corpus_stats(spark, d):
+    return lexical.corpus_stats(lexical.tokenized(_titled(spark, d))).select("n_chunks", F.round("avg_len", 9).alias("avg_len"))
+
+
+@query
+def document_frequencies(spark, d):
+    return lexical.document_frequencies(lexical.lexical_index(lexical.tokenized(_titled(spark, d))))
+
+
+@query
+def rank_lexical(spark, d):
+    return lexical.rank_lexical(t.questions(spark, d), _titled(spark, d), Ranking().depth).select("query_id", "rank", "slug", "chunk_index", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, d):
+    v = t.table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("slug"), F.lit(0).alias("chunk_index"), "embedding")
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.drop("vec_id")
+
+
+@query
+def semantic_top_k(spark, d):
+    asked, corpus = _vectors(spark, d)
+    return vectors.semantic_top_k(asked, corpus, Ranking().depth).select("query_id", "rank", "slug", "chunk_index", F.round("distance", 6).alias("distance"))
+
+
+@query
+def reciprocal_rank_fusion(spark, d):
+    asked = t.questions(spark, d)
+    first = vectors.semantic_top_k(asked, t.embedded_chunks(spark, d), Ranking().depth)
+    second = lexical.rank_lexical(asked, _titled(spark, d), Ranking().depth)
+    return fuse(first, second, Ranking().top_k).select("query_id", "rank", "slug", "chunk_index", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"))
+
+
+def _hits(spark, d):
+    return jobs.hybrid_search(t.questions(spark, d), t.embedded_chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF)
+
+
+def _related(spark, d, hits):
+    return jobs.expand_neighbors(t.questions(spark, d), hits, t.embedded_chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF, Ranking().related_k)
+
+
+@query
+def hybrid_search(spark, d):
+    return _hits(spark, d).select("query_id", "rank", "slug", "chunk_index", "title", "url", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), F.length("text").alias("chars"))
+
+
+@query
+def tag_neighbors(spark, d):
+    hits = lexical.rank_lexical(t.questions(spark, d), _titled(spark, d), Ranking().top_k)
+    return tags.tag_neighbors(hits, notes.published_tags(t.notes(spark, d), AS_OF)).select("query_id", "slug", _joined("shared_tags").alias("shared_tags"))
+
+
+@query
+def expand_neighbors(spark, d):
+    return _related(spark, d, _hits(spark, d)).select("query_id", "rank", "slug", "chunk_index", F.round("distance", 6).alias("distance"), _joined("shared_tags").alias("shared_tags"))
+
+
+@query
+def distinct_sources(spark, d):
+    hits = _hits(spark, d)
+    return dialogs.distinct_sources(hits, _related(spark, d, hits), SITE)
+
+
+@query
+def build_prompts(spark, d):
+    """Prompts of all valid conversations, whose number is also a benchmark query's where there is one."""
+    hits = _hits(spark, d)
+    out = dialogs.build_prompts(t.table(spark, d, "conversations"), hits, _related(spark, d, hits), Dialogs(site=SITE))
+    return out.select("conv_id", "sources_json", F.size("messages").alias("n_messages"), F.md5(F.get("messages", F.lit(0))["content"].cast("binary")).alias("system_md5"), F.md5(F.array_join(F.transform(F.slice("messages", 2, 100), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").cast("binary")).alias("history_md5"))
+
+
+@query
+def embed_texts(spark, d):
+    out = embed(t.table(spark, d, "documents").select("doc_id", "text"), "text", hashing_embedder(64), 64)
+    return out.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"))
+
+
+@query
+def sync_chunks(spark, d):
+    pages = t.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("title"), F.col("url").alias("heading"), F.col("html").alias("content_html"), (F.length("html") < 8000).alias("published"))
+    load, params, then = hashing_embedder(32), Embedding(MODEL, 32), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    old = notes.chunk_notes(pages.where(F.length("content_html") > 2000))
+    stored = embed(old.withColumn("content_hash", text.chunk_hash(F.col("text"), MODEL)), "text", load, 32).withColumn("updated_at", then)
+    chunks, _ = jobs.sync_chunks(pages, stored.select(*CHUNKS.fieldNames()), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
+    return chunks.select("slug", "chunk_index", "content_hash", F.size("embedding").alias("dim"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+QUERIES = dict(Q)
