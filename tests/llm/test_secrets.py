@@ -1,0 +1,73 @@
+import math
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from corpus_jobs.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def scan(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("findings", F.lit("clash"))
+    return [r["findings"] for r in secrets.scan_secrets(df).orderBy("doc_id").collect()]
+
+
+def test_base_kinds_against_plain_patterns(spark):
+    rng = random.Random(5)
+    parts = ["password", "PassWd", "secret", " : ", "=", '"', "api_key", "token", "abcdefgh1", "x" * 7, "AKIA", "ABCDEF012345", "0123456789abcdef" * 2, "é😀", " ", "\n", "Z9+/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    texts += ["secret: secret: longenoughvalue", "", None, "token=token=abcdefgh", "password=short"]
+    for text, found in zip(texts, scan(spark, texts), strict=True):
+        assert [(f["kind"], f["start"], f["end"]) for f in found if f["kind"] in secrets.BASE_KINDS] == base_spans(text or "")
+
+
+def windows(text, alphabet, width):
+    for i in range(len(text) - width + 1):
+        part = text[i : i + width]
+        if all(c in alphabet for c in part):
+            yield i, -sum(n / width * math.log2(n / width) for n in Counter(part).values())
+
+
+def test_incremental_entropy_is_that_of_every_window(spark):
+    rng = random.Random(2)
+    alphabet, least = secrets.CLASSES["entropy_base64"]
+    texts = ["".join(rng.choice(alphabet + ".é") for _ in range(n)) for n in (20, 21, 40, 90)] + ["a" * 30, "Ab3" * 12]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["e"] for r in df.select(secrets.peak_entropy(F.col("t"), alphabet, 20, least).alias("e")).collect()]
+    for text, e in zip(texts, got, strict=True):
+        seen = list(windows(text, alphabet, 20))
+        assert abs(e["peak"] - max((h for _, h in seen), default=-1.0)) < 1e-9
+        hits = [i for i, h in seen if h >= least - 1e-9]
+        assert (e["first"], e["last"]) == ((hits[0], hits[-1] + 20) if hits else (None, None))
+
+
+def test_random_strings_are_found_and_known_ones_are_not(spark):
+    key = "q8Zt1LmP0xVb7RfKsd93JuWnE5yHcA"
+    found = scan(spark, [f"é use {key} now", "EXAMPLE" + key, "a word-like-identifier-2 here", f"token={key}"])
+    assert [(f["kind"], f["start"], f["end"]) for f in found[0]] == [("entropy_base64", 6, 6 + len(key))]
+    assert not found[1] and not found[2]
+    assert [f["kind"] for f in found[3]] == ["assign"]
+
+
+def test_redaction(spark):
+    text = "é password=abcdefgh1 and " + "0a" * 20 + " end"
+    df = spark.createDataFrame([(text,), (None,), ("clean",)], "text string")
+    out = [r["r"] for r in secrets.scan_secrets(df).select(secrets.redact(F.col("text"), F.col("findings")).alias("r")).collect()]
+    assert out == ["é [SECRET] and [SECRET] end", None, "clean"]
+
+
+def test_many_matches_and_empty_table(spark):
+    text = "token=abcdefgh " * 700
+    (found,) = scan(spark, [text])
+    assert [(f["start"], f["end"]) for f in found] == [(15 * i, 15 * i + 14) for i in range(700)]
+    assert scan(spark, ["x"]) == [[]]
