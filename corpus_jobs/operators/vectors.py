@@ -66,8 +66,8 @@ def semantic_top_k(queries: DataFrame, chunks: DataFrame, k: int, broadcast_byte
         found = rows.mapInPandas(search, schema)
     else:
         q_blocks, c_blocks = -(-size["n"] // 1024), max(1, -(-rows.count() // block))
-        left = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)), "c": F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))})
-        right = rows.withColumns({"c": F.pmod(F.xxhash64(*CHUNK), F.lit(c_blocks)).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long")})
+        left = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"), "c": F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))})
+        right = rows.withColumns({"c": F.pmod(F.xxhash64(*CHUNK), F.lit(c_blocks)).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
 
         def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
