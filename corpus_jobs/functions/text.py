@@ -52,6 +52,21 @@ def lexical_tokens(c: Column) -> Column:
     return F.regexp_extract_all(casefold(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf) of a token array, by runs of the sorted one; needs no shuffle."""
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - a).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(none)
+
+
 def lexical_document(title: Column, heading: Column, text: Column) -> Column:
     """The text that is indexed for a chunk."""
     return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(heading, F.lit("")), F.coalesce(text, F.lit("")))

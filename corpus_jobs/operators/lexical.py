@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_jobs.functions.text import lexical_document, lexical_tokens
+from corpus_jobs.functions.text import lexical_document, lexical_tokens, term_counts
 
 CHUNK = ("slug", "chunk_index")
 
@@ -16,11 +16,10 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 
 def lexical_index(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Postings (term, slug, chunk_index, tf, doc_len); with ``terms`` (term, distinct) only those, dropped before the count."""
-    rows = tokens.select(*CHUNK, F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy("term", *CHUNK, "doc_len").agg(F.count("*").alias("tf")).select("term", *CHUNK, "tf", "doc_len")
+    """Postings (term, slug, chunk_index, tf, doc_len), counted within each row; with ``terms`` (term, distinct) only those."""
+    rows = tokens.select(*CHUNK, F.size("tokens").alias("doc_len"), F.explode(term_counts(F.col("tokens"))).alias("t"))
+    rows = rows.select("t.term", *CHUNK, "t.tf", "doc_len")
+    return rows if terms is None else rows.join(terms, "term", "left_semi")
 
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
@@ -39,30 +38,43 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(terms: DataFrame, postings: DataFrame, stats: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def term_statistics(tokens: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What corpus_stats and document_frequencies give, the latter for ``terms``, from one pass over the tokens.
+
+    Each chunk adds an entry for the empty term, which no text has, with its length.
+    """
+    length = F.array(F.struct(F.lit("").alias("term"), F.size("tokens").cast("long").alias("tf")))
+    rows = tokens.select(F.explode(F.concat(term_counts(F.col("tokens")), length)).alias("t")).select("t.*")
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    counts = rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("size"))
+    every = counts.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_chunks"), F.coalesce(F.max(F.col("size") / F.col("df")), F.lit(0.0)).alias("avg_len"))
+    return every, counts.where("term != ''").select("term", "df")
+
+
+def bm25_scores(terms: DataFrame, postings: DataFrame, stats: DataFrame, frequencies: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, slug, chunk_index, score) of every chunk that shares a term with a query; repeated query terms count repeatedly.
 
-    ``terms`` is (query_id, term, qtf). A term's postings are weighed once, then meet the queries; sums are partial
-    before the shuffle. ``stats`` is one row.
+    ``terms`` is (query_id, term, qtf), ``frequencies`` (term, df), ``stats`` one row. The statistics go to the query
+    terms, which are far fewer than the postings; sums are partial before the shuffle.
     """
-    weighed = postings.join(document_frequencies(postings), "term").crossJoin(F.broadcast(stats))
     n, df, tf = F.col("n_chunks"), F.col("df"), F.col("tf")
     mean = F.when(F.col("avg_len") == 0, F.lit(1.0)).otherwise(F.col("avg_len"))
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / mean))
-    weighed = weighed.select("term", *CHUNK, weight.alias("w"))
-    return terms.join(weighed, "term").groupBy("query_id", *CHUNK).agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+    asked = terms.join(frequencies, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("qtf") * idf).alias("weight"), mean.alias("mean"))
+    part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_len") / F.col("mean")))
+    return postings.join(asked, "term").groupBy("query_id", *CHUNK).agg(F.sum(part).alias("score"))
 
 
 def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, slug, chunk_index, score, rank): the k best chunks of each query; scores of 0 and k <= 0 give no rows.
 
-    Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. Only postings of terms that some
-    query has are counted; the statistics cover all chunks.
+    Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. The corpus is read twice, for the
+    statistics and for the scores; what leaves a row's task are entries of terms that some query has.
     """
     tokens = tokenized(chunks)
     terms = query_terms(queries)
-    postings = lexical_index(tokens, terms.select("term").distinct())
-    scores = bm25_scores(terms, postings, corpus_stats(tokens), k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
+    distinct = terms.select("term").distinct()
+    stats, frequencies = term_statistics(tokens, distinct)
+    scores = bm25_scores(terms, lexical_index(tokens, distinct), stats, frequencies, k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
