@@ -53,26 +53,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_locator(df: DataFrame, name: str = "_locator") -> DataFrame:
-    """Add a column that names each row's place in its Parquet file and is the same at every read.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
-    Rows that don't come straight from files are written to shared storage first.
-    """
-    def located(x: DataFrame) -> DataFrame:
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        return x.select("*", place.alias(name))
 
+def rereadable(df: DataFrame) -> DataFrame:
+    """``df``, or a written copy of it where its rows don't come straight from Parquet files."""
     try:
-        return located(df)
+        df.select("_metadata.row_index")
+        return df
     except AnalysisException:
-        return located(materialise(df, "rows"))
+        return materialise(df, "rows")
+
+
+def with_locator(df: DataFrame, name: str = "_locator") -> DataFrame:
+    """Add a column that names each row's place in its Parquet file and is the same at every read (see rereadable)."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rereadable(df).select("*", place.alias(name))
 
 
-def keep_located(df: DataFrame, keep: DataFrame, name: str = "_locator") -> DataFrame:
-    """The rows of ``df`` (with locators) whose locator is in ``keep``, without the locator."""
-    kept = keep.select(F.col(f"{name}.file").alias("_file"), F.col(f"{name}.row").alias("_row"))
-    rows = df.withColumns({"_file": F.col(f"{name}.file"), "_row": F.col(f"{name}.row")})
-    return rows.join(kept, ["_file", "_row"], "left_semi").drop("_file", "_row", name)
+def keep_located(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (rereadable) whose place is in ``keep`` (_locator), with all their columns."""
+    name = unused(docs, "_locator")
+    return with_locator(docs, name).join(keep.select(F.col("_locator").alias(name)), name, "left_semi").select(*docs.columns)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

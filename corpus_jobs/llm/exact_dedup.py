@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm.common import SPACES, keep_located, materialise, shared_dir, with_locator
+from corpus_jobs.llm.common import SPACES, keep_located, materialise, rereadable, shared_dir, with_locator
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -104,7 +104,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     also where rows repeat with their id. Rows whose digest collides with another text's are grouped by whole text.
     """
     spark = docs.sparkSession
-    docs = docs if "_locator" in docs.columns else with_locator(docs)
+    docs = with_locator(docs.select(F.col(id_col), F.col(text_col)))
     told, path = arrivals(docs, id_col, text_col, digest), shared_dir(spark, "arrivals")
     told.write.parquet(path)
     log = spark.read.schema(told.schema).parquet(path)
@@ -125,5 +125,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
-    docs = with_locator(docs)
+    docs = rereadable(docs)
     return keep_located(docs, exact_groups(docs, id_col, text_col).where("kept"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import learns, small_batches
+from corpus_jobs.llm.common import learns, materialise, small_batches
 
 FEATURES = (
     "chars", "upper", "digits", "symbols", "pauses", "bars", "shouts", "non_ascii", "word_length", "longest_word",
@@ -183,14 +183,14 @@ def fit_model(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int
 def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_rows: int = 40_000) -> AdditiveModel:
     """Fit to labelled rows of ``measured`` (id, features), the held-out fifth left out.
 
-    At most about ``max_rows`` rows are fitted, chosen by a hash of the id, so the driver's share is bounded whatever
-    the size of the tables. Rows with a null label are not learned from.
+    At most about ``max_rows`` different rows are fitted, chosen by a hash, so the driver's share is bounded whatever
+    the size of the tables and of a group of repeated rows. Rows with a null label are not learned from.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & learns("_id"))
-    rows = measured.join(known, F.col(id_col) == F.col("_id")).select("_id", "_y", "features")
-    share = max_rows / max(1, known.count())
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & learns("_id")).distinct()
+    rows = materialise(measured.join(known, F.col(id_col) == F.col("_id")).select("_id", "_y", "features").distinct(), "labelled")
+    share = max_rows / max(1, rows.count())
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64("_id", "features"), F.lit(1 << 20)) < int(share * (1 << 20)))
     got = rows.toPandas().sort_values(["_id", "_y"], kind="stable")
     x = np.array(got["features"].tolist(), dtype=np.float32).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["_y"].to_numpy(), got["_id"].to_numpy()))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import keep_located, materialise, small_batches, with_locator
+from corpus_jobs.llm.common import keep_located, materialise, rereadable, small_batches, with_locator
 from corpus_jobs.llm.components import components
 
 #: Bands of the 64 bits and their radii, for links of 4 or fewer differing bits: (1 + 1) + (1 + 1) + (0 + 1) = 4 + 1.
@@ -199,7 +199,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component the row with the smallest id (null last) stays."""
-    docs = with_locator(docs)
-    found = near_groups(docs, id_col, text_col, extra=("_locator",))
+    docs = rereadable(docs)
+    found = near_groups(with_locator(docs.select(F.col(id_col), F.col(text_col))), id_col, text_col, extra=("_locator",))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_locator")).alias("first")
     return keep_located(docs, found.groupBy("root").agg(first).select(F.col("first._locator").alias("_locator")))

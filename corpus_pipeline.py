@@ -20,24 +20,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop documents that the classifier, fitted to the labelled ones, rejects."""
     measured = common.materialise(quality.with_features(docs.select("doc_id", "text")), "features")
     model = quality.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_texts(docs, model, out="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    score = common.unused(docs, "_score")
+    return quality.score_texts(docs, model, out=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
-    return exact_dedup.drop_copies(docs).select(*docs.columns)
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return simhash.drop_near_copies(docs).select(*docs.columns)
+    return simhash.drop_near_copies(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mask in the place of every secret; all documents stay, and n_chars follows the text."""
-    found = secrets.scan_secrets(docs, out="_findings")
-    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("_findings")))
-    return clean.withColumn("n_chars", F.when(F.size("_findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    spans = common.unused(docs, "_findings")
+    found = secrets.scan_secrets(docs, out=spans)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans)))
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

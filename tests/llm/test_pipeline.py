@@ -71,6 +71,27 @@ def test_packing_holds_every_document(steps):
     assert packing.plan(dict(histogram), 2048)[1] == len(used)
 
 
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass; an empty table stays empty."""
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, None, None, None, None), (1, "", None, "s", 0), (2, "word " * 60_000, "en", None, 300_000), (3, "token=abcdefgh1 clean words", "en", "s", 27), (3, "token=abcdefgh1 clean words", "en", "s", 27), (4, "x", "en", "s", 1)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clashes = ["_locator", "_score", "features", "score", "_findings", "digest", "fp", "first", "n", "kept", "_text", "chars", "root", "length"]
+    plain = spark.createDataFrame(rows, fields)
+    wide = plain.selectExpr("*", *(f"'{c}' AS `{c}`" for c in clashes))
+    sizes = {"quality": [6], "exact_dedup": [4], "near_dedup": [3, 4], "secrets": [3, 4]}
+    for start in (plain, wide, plain.where("false")):
+        docs = common.materialise(start, "start")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == start.columns
+            assert docs.count() in ([0] if start.isEmpty() else sizes[name])
+            assert all(r[c] == c for r in docs.collect() for c in start.columns[5:])
+        assert {r["text"] for r in docs.where("doc_id = 3").collect()} == (set() if start.isEmpty() else {"[SECRET] clean words"})
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == docs.count()
+
+
 def test_run_gives_the_last_stage(spark, steps):
     assert corpus_pipeline.run(spark, SMALL).count() == steps[5].count()
     assert os.path.basename(corpus_pipeline.__file__) == "corpus_pipeline.py"
