@@ -72,8 +72,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_dir(spark, "warc")
     warc.write(_read(spark, sf_dir, "pages"), path)
-    found = warc.read(spark, path)
-    own = found.where("record_type = 'response'").select("id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    read = warc.read(spark, path).select("id", "page_id", "record_type", "refers", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    found = common.materialise(read, "read-back")
+    own = found.where("record_type = 'response'").select("id", "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     of = own.select(F.col("id").alias("refers"), F.col("page_id").alias("refers_to"), "payload_bytes")
     again = found.where("record_type = 'revisit'").select("refers", "page_id", F.col("digest").alias("payload_digest"), "record_type").join(of, "refers", "left")
     return own.drop("id").unionByName(again.drop("refers"))

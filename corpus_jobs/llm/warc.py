@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm.common import let, with_locator
+from corpus_jobs.llm.common import let, materialise, with_locator
 
 _VERSION, _GAP = "WARC/1.1\r\n", "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -41,12 +41,13 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat_ws("", *(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in fields))
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = 8192, chunk: int = 4096, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = 8192, chunk: int = 4096, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 100_000) -> DataFrame:
     """The records of all pages, a row each: value.
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the largest id (null: smallest; then the last
     in the files) is written whole, and the others as revisits of it. A null html is an empty payload, a null url is
-    left out, line ends in a url are escaped.
+    left out, line ends in a url are escaped. Which rows are revisits is found and written first, without payloads; up
+    to ``broadcast_rows`` of them (some 300 bytes each) go to every task, so that no payload is shuffled for them.
     """
     located = with_locator(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     rows = located.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), "_locator")
@@ -54,6 +55,9 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     groups = keys.groupBy("equal").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "_locator")).alias("kept")).where("n > 1")
     revisits = keys.join(groups, "equal").where(F.col("_locator") != F.col("kept._locator"))
     revisits = revisits.select(F.col("_locator.file").alias("_file"), F.col("_locator.row").alias("_row"), _urn(F.col("kept._locator")).alias("refers"))
+    revisits = materialise(revisits, "revisits")
+    if revisits.count() <= broadcast_rows:
+        revisits = F.broadcast(revisits)
     rows = rows.withColumns({"_file": F.col("_locator.file"), "_row": F.col("_locator.row")}).join(revisits, ["_file", "_row"], "left")
 
     new = F.col("refers").isNull()

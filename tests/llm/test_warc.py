@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpus_jobs.llm import common, warc
@@ -11,14 +12,15 @@ PAGES = [
 ]
 
 
-def written(spark, pages):
+def written(spark, pages, **options):
     path = common.shared_dir(spark, "warc")
-    warc.write(spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, payload string, total int").repartition(2), path)
+    warc.write(spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, payload string, total int").repartition(2), path, **options)
     return path
 
 
-def test_round_trip(spark):
-    path = written(spark, PAGES)
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_round_trip(spark, broadcast_rows):
+    path = written(spark, PAGES, broadcast_rows=broadcast_rows)
     found = warc.read(spark, path).collect()
     assert len(found) == len(PAGES)
     by_id = {r["id"]: r for r in found}
