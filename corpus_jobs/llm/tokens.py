@@ -44,7 +44,8 @@ class WordIds:
         plain = self._encode(["Ab, c", "Ab,", "c", " Ab,\n\tc "])
         self.by_word = plain[0] == plain[1] + plain[2] == plain[3]
         self.folds = self._encode(["ABÉ"]) == self._encode(["abé"])
-        self.stops = {ord(x): self._encode([x])[0] for x in ".," if self._encode([f"ab{x}é{x}"]) == self._encode([f"ab {x} é {x}"])}
+        apart = [c for c in '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' if self._encode([f"ab{c}{c}é{c}"]) == self._encode([f"ab {c}{c} é {c}"])]
+        self.marks = "".join(apart).encode()  # what the splitter parts from letters
         self.spelt = _Spelling(self.tokenizer)
         tried = ["a", "ab", "heather", "thnttionwh", "zzzqqxj", "éauouon", "straße", "ñ", "данные", "日本語"]
         self.direct = self.folds and [self._letters(x) for x in tried] == self._encode(tried)
@@ -64,10 +65,11 @@ class WordIds:
         return text.encode().split()  # of bytes: at ASCII white space only
 
     def _learn(self, new: set[bytes]) -> None:
-        """Add words to the known ones; a word that ends a clause is its letters and the mark."""
-        ends = [w for w in new if w[-1] in self.stops and w[:-1].decode().isalpha()]
+        """Add words to the known ones; letters with marks behind them are the letters and the marks."""
+        ends = {w: root for w in new if (root := w.rstrip(self.marks)) != w and root.decode().isalpha()}
+        parts = {part for w, root in ends.items() for part in (root, w[len(root) :])}
         unknown = []
-        for w in new.difference(ends).union(w[:-1] for w in ends):
+        for w in new.difference(ends).union(parts):
             if w in self.known:
                 continue
             if w in self.older:
@@ -79,8 +81,8 @@ class WordIds:
         for at in range(0, len(unknown), 20_000):
             part = unknown[at : at + 20_000]
             self.known.update(zip(part, self._encode([w.decode() for w in part]), strict=True))
-        for w in ends:
-            self.known[w] = self.known[w[:-1]] + self.stops[w[-1]]
+        for w, root in ends.items():
+            self.known[w] = self.known[root] + self.known[w[len(root) :]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:

@@ -42,7 +42,7 @@ def test_plan_is_tight(n):
 
 def test_words_give_the_ids_of_whole_texts():
     words = WordIds(PATH, keep=5)
-    texts = ["Hello, world. it's don't; a.b,c ..., x", "İstanbul ΣΑΣ É ñ, ß. 日本語 １２", "áé́,", "a\x1cb\x1d\x85c\xa0d", "", " \n\t", "Hello again, Hello.", "<|endoftext|> 1,2."]
+    texts = ["Hello, world. it's don't; a.b,c ..., x", "İstanbul ΣΑΣ É ñ, ß. 日本語 １２", "áé́,", "a\x1cb\x1d\x85c\xa0d", "", " \n\t", "Hello again, Hello.", "ab***, it's' a'*** word$$$ x!! 'tis y'S*' a-b-. (c) _d_ e1** é** ,. **", "<|endoftext|> 1,2."]
     for _ in range(2):
         for text, raw in zip(texts, words(texts), strict=True):
             assert np.frombuffer(raw, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
