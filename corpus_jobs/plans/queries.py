@@ -184,7 +184,8 @@ def delete_chunk_tail(spark, d):
 
 
 def _titled(spark, d):
-    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF)
+    """The visible chunks, a table of its own in practice; kept for reading again."""
+    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF).persist()
 
 
 @query

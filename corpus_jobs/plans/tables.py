@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_jobs.functions.chunking import split_long_text
-from corpus_jobs.functions.text import normalize_text
+from corpus_jobs.functions.text import let, normalize_text
 
 #: The day on which the notes are looked at: those of the last days are still to come.
 AS_OF = "2024-02-20"
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files give fewer tasks than that; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per document; its labels give the published flag and a tag."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -42,15 +48,17 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document's normalised text: slug, chunk_index, heading, text, doc_id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("slug"), normalize_text(F.col("text")).alias("body"))
-    pieces = docs.where("body != ''").select("doc_id", "slug", F.posexplode(split_long_text(F.col("body"))).alias("chunk_index", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    none = F.array().cast("array<string>")
+    body = let(normalize_text(F.col("text")), lambda t: F.when(t == "", none).otherwise(split_long_text(t)))
+    pieces = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("slug"), F.posexplode(body).alias("chunk_index", "text"))
     return pieces.select("slug", "chunk_index", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("heading"), "text", "doc_id")
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks with the embedding of their document's number at the first chunk, and none elsewhere."""
+    """The chunks with the embedding of their document's number at the first chunk, and none elsewhere; kept for reading again."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
-    return chunks(spark, sf_dir).join(vectors, ["doc_id", "chunk_index"], "left")
+    return chunks(spark, sf_dir).join(vectors, ["doc_id", "chunk_index"], "left").persist()
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
