@@ -81,7 +81,7 @@ def source_url(url: Column, site: str) -> Column:
     return F.concat(F.lit(site), url)
 
 
-def format_excerpt(title: Column, url: Column, heading: Column, text: Column, site: str, shared_tags: Column | None = None) -> Column:
+def format_excerpts(title: Column, url: Column, heading: Column, text: Column, site: str, shared_tags: Column | None = None) -> Column:
     """One excerpt of a prompt; related ones name the tags they share."""
     head = F.concat(title, F.lit(" ("), source_url(url, site), F.lit(") — "), F.coalesce(heading, F.lit("None")))
     if shared_tags is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_jobs.functions.text import format_excerpt, source_url
+from corpus_jobs.functions.text import format_excerpts, source_url
 from corpus_jobs.params import Dialogs
 
 
@@ -65,8 +65,8 @@ def build_prompts(messages: DataFrame, hits: DataFrame, related: DataFrame, para
     valid = messages.join(validate_conversations(messages, params).where("is_valid").select("conv_id"), "conv_id", "left_semi")
     turns = history_window(valid, params.history).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("position", "role", F.col("text").alias("content")))).alias("h"))
     columns = (F.col("title"), F.col("url"), F.col("heading"), F.col("text"), params.site)
-    found = _joined(hits, format_excerpt(*columns), "found")
-    widened = _joined(related, format_excerpt(*columns, F.col("shared_tags")), "widened")
+    found = _joined(hits, format_excerpts(*columns), "found")
+    widened = _joined(related, format_excerpts(*columns, F.col("shared_tags")), "widened")
     sources = distinct_sources(hits, related, params.site)
     rows = turns.withColumnRenamed("conv_id", "query_id")
     for part in (found, widened, sources):

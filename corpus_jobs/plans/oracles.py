@@ -101,6 +101,21 @@ ORACLE_SQL: dict[str, str] = {
     "parse_notes": _sql("""
         SELECT slug, url, title, CASE WHEN doc_id % 3 = 0 THEN 'Other: heading' ELSE title END AS heading, title AS list_title, NULL::VARCHAR AS description, lang, 'Notes' AS category, date, '' AS date_text,
                md5(regexp_replace(body, '^""" + SPACE + "+|" + SPACE + r"""+\z', '', 'g')) AS content_md5, published, array_to_string(list_transform(tags, lambda x: lower(x)) || ['odd-tag'], ',') AS tags FROM notes"""),
+    "front_matter": _sql("SELECT slug, CASE WHEN published THEN 3 ELSE 4 END AS n_entries, title, title AS heading, lang, 'Notes' AS category, '' AS date, published FROM notes"),
+    "merge_small_sections": _sql("""
+        SELECT doc_id, pos, 'H' || min(i) AS heading, string_agg(CASE WHEN opens THEN l ELSE 'H' || i || chr(10) || l END, chr(10) ORDER BY i) AS text FROM (
+            SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (SELECT *, i = 1 OR length(l) >= 200 AS opens FROM lines)) GROUP BY doc_id, pos"""),
+    "compose_chunks": _sql("SELECT slug, chunk_index, heading, md5(heading || ' — ' || heading || chr(10) || chr(10) || text) AS text_md5 FROM chunks"),
+    "lexical_document": _sql("SELECT slug, chunk_index, md5(title || ' ' || heading || ' ' || text) AS document_md5 FROM shown"),
+    "format_excerpts": _sql(f"""
+        SELECT slug, chunk_index, md5(title || ' ({_SITE}' || url || ') — ' || heading || ':' || chr(10) || text) AS excerpt_md5,
+               md5(title || ' ({_SITE}' || url || ') — ' || heading || ' (shares tags: a, ' || slug || '):' || chr(10) || text) AS related_md5 FROM shown"""),
+    "visible_notes": _sql("SELECT slug, date, category FROM visible"),
+    "bm25_scores": _sql("SELECT query_id, slug, chunk_index, round(score, 6) AS score FROM scored"),
+    "chunks_in_slugs": _sql("SELECT query_id, slug, chunk_index FROM (SELECT DISTINCT query_id, slug FROM lexical WHERE rank <= 6) JOIN chunks USING (slug)"),
+    "check_embedding_dim": "SELECT count(*) AS n_same, 0::BIGINT AS n_other FROM embeddings WHERE len(embedding) = 64",
+    "sync_notes": _sql("""
+        SELECT slug, title, CASE WHEN doc_id IN (SELECT doc_id FROM known) THEN '2024-01-01' ELSE '2024-03-01' END AS created, '2024-03-01' AS updated FROM notes WHERE lang <> 'es'""", _CHANGES),
     "normalize_tags": f"""
         SELECT doc_id, string_agg(tag, ',' ORDER BY pos) AS tags FROM (
             SELECT doc_id, tag, min(pos) AS pos FROM (SELECT doc_id, {_TAG.replace("{0}", "raw")} AS tag, pos FROM (SELECT doc_id, unnest({_RAW_TAGS}) AS raw, generate_subscripts({_RAW_TAGS}, 1) AS pos FROM documents))

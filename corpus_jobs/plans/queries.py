@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_jobs.functions import frontmatter, text
+from corpus_jobs.functions.chunking import compose_chunks as composed
+from corpus_jobs.functions.chunking import merge_small_sections as merged
 from corpus_jobs.functions.html import html_sections as sections_of
 from corpus_jobs.operators import dialogs, lexical, notes, sync, tags, vectors
 from corpus_jobs.operators.embed import embed_texts as embed
@@ -15,7 +17,7 @@ from corpus_jobs.params import Dialogs, Embedding, Ranking
 from corpus_jobs.plans import jobs
 from corpus_jobs.plans import tables as t
 from corpus_jobs.plans.tables import AS_OF, MODEL
-from corpus_jobs.schemas import CHUNKS
+from corpus_jobs.schemas import CHUNKS, NOTES
 from corpus_jobs.sources import codecs
 from corpus_jobs.sources.files import parse_notes as parsed
 
@@ -42,6 +44,17 @@ def parse_notes(spark: SparkSession, d: str) -> DataFrame:
     return out.select("slug", "url", "title", "heading", "list_title", "description", "lang", "category", "date", "date_text", F.md5(F.col("content_html").cast("binary")).alias("content_md5"), "published", _joined("tags").alias("tags"))
 
 
+@query
+def front_matter(spark, d):
+    """The header's parts one by one: split, entries, defaults, published flag."""
+    n = t.notes(spark, d)
+    raw = F.concat(F.lit("---\nlang: x\ntitle: "), "title", F.lit("\nlang : "), "lang", F.when(F.col("published"), "\n").otherwise("\npublished: FALSE\n"), F.lit("---\n"), "content_html")
+    parts = n.select("slug", frontmatter.split_front_matter(raw).alias("p"))
+    entries = parts.select("slug", frontmatter.front_matter_map(F.col("p.front")).alias("e"))
+    defaults = frontmatter.note_defaults(F.col("e"))
+    return entries.select("slug", F.size("e").alias("n_entries"), *(defaults[k].alias(k) for k in ("title", "heading", "lang", "category", "date")), frontmatter.published_flag(F.col("e")).alias("published"))
+
+
 @query
 def normalize_tags(spark, d):
     raw = F.concat_ws(",", F.concat(F.lit(" "), "lang", F.lit("  "), "source", F.lit(" ")), F.upper("lang"), F.lit(""), F.col("lang"), F.concat(F.upper("lang"), F.lit("\t"), F.upper("source")), F.lit("Trade-Offs"))
@@ -80,6 +93,35 @@ def lexical_tokens(spark, d):
     return t.table(spark, d, "documents").select("doc_id", text.lexical_tokens(F.col("text")).alias("k")).select("doc_id", F.size("k").alias("n_tokens"), F.md5(F.array_join("k", " ").cast("binary")).alias("tokens_md5"))
 
 
+@query
+def merge_small_sections(spark, d):
+    """Every line of a document as a section of its own, then merged."""
+    lines = F.filter(F.split(text.normalize_text(F.col("text")), "\n"), lambda x: x != "")
+    made = F.transform(lines, lambda x, i: F.struct(F.concat(F.lit("H"), (i + 1).cast("string")).alias("heading"), x.alias("text")))
+    docs = t.table(spark, d, "documents").select("doc_id", made.alias("s"))
+    return docs.select("doc_id", F.posexplode(merged(F.col("s"))).alias("pos", "m")).select("doc_id", "pos", "m.heading", "m.text")
+
+
+@query
+def compose_chunks(spark, d):
+    """Every document's normalised text as one section without heading."""
+    docs = t.notes(spark, d).select("slug", "title", "heading", text.normalize_text(F.col("content_html")).alias("body")).where("body != ''")
+    one = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.col("body").alias("text")))
+    return docs.select("slug", F.posexplode(composed(one, F.col("title"), F.col("heading"))).alias("chunk_index", "c")).select("slug", "chunk_index", "c.heading", F.md5(F.col("c.text").cast("binary")).alias("text_md5"))
+
+
+@query
+def lexical_document(spark, d):
+    return _titled(spark, d).select("slug", "chunk_index", F.md5(text.lexical_document(F.col("title"), F.col("heading"), F.col("text")).cast("binary")).alias("document_md5"))
+
+
+@query
+def format_excerpts(spark, d):
+    shared = F.array(F.lit("a"), F.col("slug"))
+    columns = (F.col("title"), F.col("url"), F.col("heading"), F.col("text"), SITE)
+    return _titled(spark, d).select("slug", "chunk_index", F.md5(text.format_excerpts(*columns).cast("binary")).alias("excerpt_md5"), F.md5(text.format_excerpts(*columns, shared).cast("binary")).alias("related_md5"))
+
+
 @query
 def html_sections(spark, d):
     return t.table(spark, d, "pages").select("page_id", F.posexplode(sections_of(F.col("html"))).alias("pos", "s")).select("page_id", "pos", "s.heading", "s.text")
@@ -91,6 +133,11 @@ def chunk_notes(spark, d):
     return notes.chunk_notes(pages)
 
 
+@query
+def visible_notes(spark, d):
+    return notes.visible_notes(t.notes(spark, d), AS_OF).select("slug", "date", "category")
+
+
 @query
 def list_published_notes(spark, d):
     return notes.list_published_notes(t.notes(spark, d), AS_OF).select("slug", "url", "title", "category", "date", "lang", _joined("tags").alias("tags"))
@@ -203,6 +250,15 @@ def document_frequencies(spark, d):
     return lexical.document_frequencies(lexical.lexical_index(lexical.tokenized(_titled(spark, d))))
 
 
+@query
+def bm25_scores(spark, d):
+    tokens, terms = lexical.tokenized(_titled(spark, d)), lexical.query_terms(t.questions(spark, d))
+    distinct = terms.select("term").distinct()
+    stats, frequencies = lexical.term_statistics(tokens, distinct)
+    scores = lexical.bm25_scores(terms, lexical.lexical_index(tokens, distinct), stats, frequencies)
+    return scores.select("query_id", "slug", "chunk_index", F.round(F.round("score", 10), 6).alias("score"))
+
+
 @query
 def rank_lexical(spark, d):
     return lexical.rank_lexical(t.questions(spark, d), _titled(spark, d), Ranking().depth).select("query_id", "rank", "slug", "chunk_index", F.round("score", 6).alias("score"))
@@ -246,6 +302,32 @@ def tag_neighbors(spark, d):
     return tags.tag_neighbors(hits, notes.published_tags(t.notes(spark, d), AS_OF)).select("query_id", "slug", _joined("shared_tags").alias("shared_tags"))
 
 
+@query
+def chunks_in_slugs(spark, d):
+    """The chunks of the notes that every query's lexical hits name."""
+    hits = lexical.rank_lexical(t.questions(spark, d), _titled(spark, d), Ranking().top_k)
+    return vectors.chunks_in_slugs(t.chunks(spark, d).drop("doc_id"), hits.select("query_id", "slug").distinct()).select("query_id", "slug", "chunk_index")
+
+
+@query
+def check_embedding_dim(spark, d):
+    """How many stored vectors stay when their size is as configured, and when it isn't."""
+    stored = t.table(spark, d, "embeddings")
+    same, other = (jobs.check_embedding_dim(stored, n).agg(F.count("*").alias(c)) for n, c in ((64, "n_same"), (384, "n_other")))
+    return same.crossJoin(other)
+
+
+@query
+def sync_notes(spark, d):
+    """A stored table of the known documents meets files of all but the Spanish ones."""
+    now, then = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    n = t.notes(spark, d)
+    stored = n.join(t.known_before(spark, d).select("doc_id"), "doc_id").withColumns({"title": F.concat(F.lit("Old "), "title"), "created_at": then, "updated_at": then})
+    files = n.where("lang != 'es'").select(F.concat(F.lit("/r/"), "slug", F.lit(".html")).alias("path"), F.concat(F.lit("---\ntitle: "), "title", F.lit("\n---\n"), "content_html").alias("raw"))
+    out, _ = jobs.sync_notes(files, "/r", stored.select(*NOTES.fieldNames()), now)
+    return out.select("slug", "title", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query
 def expand_neighbors(spark, d):
     return _related(spark, d, _hits(spark, d)).select("query_id", "rank", "slug", "chunk_index", F.round("distance", 6).alias("distance"), _joined("shared_tags").alias("shared_tags"))

@@ -46,7 +46,7 @@ def test_slugs_hashes_excerpts(spark):
     assert one(spark, text.canonical_slug(F.lit("a.html\n"))) == "a.html\n"
     assert one(spark, text.chunk_hash(F.lit("é"), "m")) == hashlib.sha256("m\0é".encode()).hexdigest()
     assert one(spark, text.lexical_document(F.lit("T"), F.lit(None).cast("string"), F.lit("x"))) == "T  x"
-    got = one(spark, text.format_excerpt(F.lit("T"), F.lit("/u"), F.lit("H"), F.lit("x"), "https://s", F.array(F.lit("a"), F.lit("b"))))
+    got = one(spark, text.format_excerpts(F.lit("T"), F.lit("/u"), F.lit("H"), F.lit("x"), "https://s", F.array(F.lit("a"), F.lit("b"))))
     assert got == "T (https://s/u) — H (shares tags: a, b):\nx"
 
 
