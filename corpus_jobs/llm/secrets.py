@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm.common import let, prefix_sums
+from corpus_jobs.llm.common import let, prefix_sums, unused
 
 #: Fixed patterns of the base kinds, in their order; a match counts from so many characters (of the value) on.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,8 +23,10 @@ CLASSES = {
 }
 #: A maximal run with a digit; the lookbehind keeps the scan linear.
 _RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{%d,}"
-#: Runs that look random but are known not to be secrets.
+#: What looks random but is known not to be secret; a match hides itself and the letters and digits around it.
 ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)0123456789|abcdefgh", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+_KINDS = (*BASE_KINDS, *CLASSES)
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def find_all(text: Column, pattern: str) -> Column:
@@ -39,18 +41,23 @@ def find_all(text: Column, pattern: str) -> Column:
 
 
 def peak_entropy(text: Column, alphabet: str, window: int, least: float) -> Column:
-    """(peak, first, last): greatest entropy of a window, and the first start and last end of windows of ``least`` bits.
+    """(peak, first, last, stretches): greatest entropy of a window, first start and last end of windows of ``least`` bits.
 
     Windows hold ``window`` characters (the whole text where it is shorter), all of the alphabet. Counts follow the
-    window one character at a time: with S the sum of c * log2(c), the entropy is log2(w) - S / w.
+    window one character at a time: with S the sum of c * log2(c), the entropy is log2(w) - S / w. Windows of ``least``
+    bits that overlap make a stretch: (first, last, peak) each, in order.
     """
     xlogx = F.array(*[F.lit(0.0 if x < 2 else x * math.log2(x)) for x in range(window + 2)])
     codes = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(alphabet), ch))
     zeros = F.array_repeat(F.lit(0), len(alphabet) + 1)
     nothing = F.lit(None).cast("int")
+    none = F.array().cast("array<struct<first:int,last:int,peak:double>>")
+
+    def closed(a: Column) -> Column:
+        return F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
 
     def scanned(cs: Column, f: Column, w: Column) -> Column:
-        start = F.struct(zeros.alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("run"), F.lit(-1.0).alias("peak"), nothing.alias("first"), nothing.alias("last"))
+        start = F.struct(zeros.alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("run"), F.lit(-1.0).alias("peak"), nothing.alias("first"), F.get(none, F.lit(0)).alias("open"), none.alias("done"))
 
         def step(a: Column, i: Column) -> Column:
             new, old = F.get(cs, i), F.when(a["run"] >= w, F.get(cs, i - w)).otherwise(F.lit(0))
@@ -65,68 +72,107 @@ def peak_entropy(text: Column, alphabet: str, window: int, least: float) -> Colu
                     h = F.when(run == w, F.log2(w) - s / w).otherwise(F.lit(-1.0))
                     up = F.transform(m, lambda v, k: v + (k == new).cast("int"))
                     hit = h >= least - 1e-9
-                    return F.struct(up.alias("n"), s.alias("s"), run.alias("run"), F.greatest(a["peak"], h).alias("peak"), F.when(hit & a["first"].isNull(), i - w + 1).otherwise(a["first"]).alias("first"), F.when(hit, i + 1).otherwise(a["last"]).alias("last"))
+                    on = a["open"]["last"] > i - w + 1
+                    grown = F.struct(F.when(on, a["open"]["first"]).otherwise(i - w + 1).alias("first"), (i + 1).alias("last"), F.when(on, F.greatest(a["open"]["peak"], h)).otherwise(h).alias("peak"))
+                    return F.struct(up.alias("n"), s.alias("s"), run.alias("run"), F.greatest(a["peak"], h).alias("peak"), F.when(hit & a["first"].isNull(), i - w + 1).otherwise(a["first"]).alias("first"), F.when(hit, grown).otherwise(a["open"]).alias("open"), F.when(hit & ~on, closed(a)).otherwise(a["done"]).alias("done"))
 
                 return let(kept, added)
 
-            reset = F.struct(zeros.alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("run"), a["peak"].alias("peak"), a["first"].alias("first"), a["last"].alias("last"))
+            reset = F.struct(zeros.alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("run"), a["peak"].alias("peak"), a["first"].alias("first"), a["open"].alias("open"), a["done"].alias("done"))
             return F.when(new == 0, reset).otherwise(moved(a["n"]))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(cs) - 1), start, step, lambda a: F.struct(a["peak"].alias("peak"), a["first"].alias("first"), a["last"].alias("last")))
+        return F.aggregate(F.sequence(F.lit(0), F.size(cs) - 1), start, step, lambda a: F.struct(a["peak"].alias("peak"), a["first"].alias("first"), a["open"]["last"].alias("last"), closed(a).alias("stretches")))
 
     return let(codes, lambda cs: let(xlogx, lambda f: let(F.greatest(F.least(F.size(cs), F.lit(window)), F.lit(1)), lambda w: scanned(cs, f, w))))
 
 
-def find_secrets(text: Column, window: int = 20, allow: Sequence[str] = ALLOW) -> Column:
-    """Findings of a text: array of (start, end, kind, entropy), sorted by start, then kind (base kinds first).
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
 
-    Base kinds always stay. Entropy kinds come from runs of ``window`` characters or more with a digit, are dropped
-    where a pattern of ``allow`` matches the run, and where they overlap a base finding (or, for hex, a base64 one).
-    A null or empty text has none.
-    """
-    text = F.coalesce(text, F.lit(""))
-    wide, least = CLASSES["entropy_base64"]
 
-    def found(kind: int, name: str, start: Column, end: Column, entropy: Column) -> Column:
-        return F.struct(start.cast("long").alias("start"), F.lit(kind).alias("order"), F.lit(name).alias("kind"), end.cast("long").alias("end"), entropy.alias("entropy"))
+def _found(kind: int, start: Column, end: Column, entropy: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), F.lit(kind).alias("order"), F.lit(_KINDS[kind]).alias("kind"), end.cast("long").alias("end"), entropy.alias("entropy"))
+
+
+def _overlapping(xs: Column, m: Column) -> Column:
+    return F.filter(xs, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
+
+
+def _bases(text: Column, window: int) -> Column:
+    """Findings of the base kinds."""
+    wide, least = CLASSES["entropy_base64"]
 
     def base(kind: int, pattern: str) -> Column:
         at = find_all(text, pattern)
         if kind == 0:
             at = F.filter(at, lambda m: F.length(F.regexp_extract(m["match"], ASSIGN, 1)) >= 8)
-        return F.transform(at, lambda m: found(kind, BASE_KINDS[kind], m["start"], m["end"], peak_entropy(F.regexp_extract(m["match"], ASSIGN, 1) if kind == 0 else m["match"], wide, window, least)["peak"]))
+        return F.transform(at, lambda m: _found(kind, m["start"], m["end"], peak_entropy(F.regexp_extract(m["match"], ASSIGN, 1) if kind == 0 else m["match"], wide, window, least)["peak"]))
 
-    bases = F.concat(base(0, ASSIGN), base(1, ACCESS), base(2, HEX))
+    return F.concat(base(0, ASSIGN), base(1, ACCESS), base(2, HEX))
 
-    def suppressed(m: Column) -> Column:
-        out = F.lit(False)
-        for pattern in allow:
-            out = out | m.rlike(pattern)
-        return out
 
-    runs = F.filter(find_all(text, _RUN % window), lambda m: ~suppressed(m["match"]))
+def _hidden(runs: Column, allow: Sequence[str]) -> Column:
+    """Spans of what ``allow`` hides: matches of its patterns within a run, and the letters and digits around them."""
+    def hides(m: Column) -> Column:
+        known = F.concat(*(find_all(m, pattern) for pattern in allow))
+        return let(known, lambda ks: F.when(F.size(ks) == 0, ks).otherwise(F.concat(ks, F.filter(find_all(m, "[A-Za-z0-9]+"), lambda t: F.size(_overlapping(ks, t)) > 0))))
 
-    def entropic(k: int, kind: str, rs: Column) -> Column:
-        alphabet, bits = CLASSES[kind]
-        scored = F.transform(rs, lambda m: F.struct(m["start"].alias("at"), peak_entropy(m["match"], alphabet, window, bits).alias("e")))
-        return F.transform(F.filter(scored, lambda x: x["e"]["first"].isNotNull()), lambda x: found(3 + k, kind, x["at"] + x["e"]["first"], x["at"] + x["e"]["last"], x["e"]["peak"]))
+    if not allow:
+        return F.array().cast(_SPANS)
+    return F.flatten(F.transform(runs, lambda m: F.transform(hides(m["match"]), lambda h: _span(m["start"] + h["start"], m["start"] + h["end"]))))
 
-    def clear(xs: Column, taken: Column) -> Column:
-        return F.filter(xs, lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])))
 
-    def all_of(bs: Column, rs: Column) -> Column:
-        def both(b64: Column) -> Column:
-            return F.concat(bs, b64, clear(entropic(1, "entropy_hex", rs), F.concat(bs, b64)))
+def _stretches(kind: int, runs: Column, window: int) -> Column:
+    """Findings of an entropy kind before anything is cut out of them."""
+    alphabet, least = CLASSES[_KINDS[kind]]
+    return F.flatten(F.transform(runs, lambda m: F.transform(peak_entropy(m["match"], alphabet, window, least)["stretches"], lambda e: _found(kind, m["start"] + e["first"], m["start"] + e["last"], e["peak"]))))
 
-        return let(clear(entropic(0, "entropy_base64", rs), bs), both)
 
-    merged = let(bases, lambda bs: let(runs, lambda rs: F.array_sort(F.when(F.size(rs) == 0, bs).otherwise(all_of(bs, rs)))))
-    return F.transform(merged, lambda x: F.struct(x["start"], x["end"], x["kind"], x["entropy"]))
+def _outside(kind: int, stretches: Column, taken: Column, text: Column, window: int) -> Column:
+    """What is left of stretches outside ``taken``: the parts that hold a window of enough entropy."""
+    alphabet, least = CLASSES[_KINDS[kind]]
+
+    def gaps(x: Column, near: Column) -> Column:
+        start = F.struct(x["start"].alias("pos"), F.array().cast(_SPANS).alias("out"))
+
+        def step(a: Column, t: Column) -> Column:
+            return F.struct(F.greatest(a["pos"], t["end"]).alias("pos"), F.concat(a["out"], F.array(_span(a["pos"], t["start"]))).alias("out"))
+
+        return F.aggregate(F.array_sort(near), start, step, lambda a: F.concat(a["out"], F.array(_span(a["pos"], x["end"]))))
+
+    def left(x: Column, near: Column) -> Column:
+        wide = F.filter(gaps(x, near), lambda g: g["end"] - g["start"] >= window)
+        parts = F.transform(wide, lambda g: _found(kind, g["start"], g["end"], peak_entropy(F.substr(text, (g["start"] + 1).cast("int"), (g["end"] - g["start"]).cast("int")), alphabet, window, least)["peak"]))
+        return F.when(F.size(near) == 0, F.array(x)).otherwise(F.filter(parts, lambda p: p["entropy"] >= least - 1e-9))
+
+    return let(taken, lambda ts: F.flatten(F.transform(stretches, lambda x: let(_overlapping(ts, x), lambda near: left(x, near)))))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", out: str = "findings", window: int = 20, allow: Sequence[str] = ALLOW) -> DataFrame:
-    """``docs`` with the column ``out`` of findings (see find_secrets); a column of that name is replaced."""
-    return docs.withColumn(out, find_secrets(F.col(text), window, allow))
+    """``docs`` with the column ``out`` of findings; a column of that name is replaced.
+
+    Findings are an array of (start, end, kind, entropy), sorted by start, then kind (base kinds first). Base kinds
+    always stay. Entropy kinds are stretches of overlapping windows in runs of ``window`` characters or more with a
+    digit. Base findings (for hex, base64 ones too) and what ``allow`` hides are cut out of them: matches of its
+    patterns within a run, with all of the letters and digits that they are part of. Every part left that holds a
+    window of enough entropy is a finding. A null or empty text has none.
+
+    The steps are columns of their own, since the analyzer takes a pass for every level of nested lambdas.
+    """
+    bases, runs, taken, b64, hexes = (unused(docs, name) for name in ("_bases", "_runs", "_taken", "_b64", "_hexes"))
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def spans(xs: Column) -> Column:
+        return F.transform(xs, lambda x: _span(x["start"], x["end"]))
+
+    steps = docs.withColumn(bases, _bases(t, window)).withColumn(runs, find_all(t, _RUN % window))
+    steps = steps.withColumn(taken, F.concat(spans(F.col(bases)), _hidden(F.col(runs), allow)))
+    steps = steps.withColumn(b64, _stretches(3, F.col(runs), window)).withColumn(hexes, _stretches(4, F.col(runs), window))
+    steps = steps.withColumn(b64, _outside(3, F.col(b64), F.col(taken), t, window))
+    steps = steps.withColumn(hexes, _outside(4, F.col(hexes), F.concat(F.col(taken), spans(F.col(b64))), t, window))
+    merged = F.array_sort(F.concat(bases, b64, hexes))
+    found = F.transform(merged, lambda x: F.struct(x["start"], x["end"], x["kind"], x["entropy"]))
+    return steps.withColumn(out, found).drop(bases, runs, taken, b64, hexes)
 
 
 def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
