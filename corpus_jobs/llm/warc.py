@@ -1,8 +1,9 @@
 """WARC archives: written as text files whose line separator ends a record, read back split at the version line.
 
 Records longer than a segment continue in further records, which reading groups by their origin, orders by segment
-number and verifies against the total length. Payloads are framed in chunks; a chunk ends inside every version line
-that a payload holds, so in these archives a version line always starts a record and files can be read in splits.
+number and verifies against the total length. Payloads are framed in chunks; a chunk ends inside every WARC/1.1 that a
+payload holds, so no block holds one, whatever line ends the framing or the gap behind a segment put after it. In these
+archives a version line therefore always starts a record, and files can be read in splits.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _chunked(payload: Column, chunk: int) -> Column:
     def cut(text: Column) -> Column:
         return let(text.cast("binary"), lambda b: F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length(b) / chunk).cast("int") - 1), lambda i: framed(F.substring(b, i * chunk + 1, F.lit(chunk)))))
 
-    parts = F.flatten(F.transform(F.filter(F.split(payload, r"(?<=WARC/)(?=1\.1\r\n)"), lambda x: x != ""), cut))
+    parts = F.flatten(F.transform(F.filter(F.split(payload, r"(?<=WARC/)(?=1\.1)"), lambda x: x != ""), cut))
     return F.concat(F.array_join(parts, ""), F.lit("0\r\n\r\n"))
 
 
@@ -70,6 +71,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     piece = F.substring(F.col("block"), (k - 1) * segment + 1, F.lit(segment))
     first = k == 1
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    uri = F.regexp_replace(uri, r"WARC/1\.1 *\z", "$0 ")  # or the line's end would make it a version line
     own = F.when(first, F.col("id")).otherwise(F.concat(F.substring("id", 1, 46), F.lit("/"), k.cast("string"), F.lit(">")))
     header = _header(
         ("WARC-Type", F.when(~first, F.lit("continuation")).when(F.col("refers").isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
@@ -108,8 +110,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     at = F.octet_length("header") + 5
     rows = lines.withColumn("header", F.substring_index("value", _GAP, 1)).withColumn("length", _field("Content-Length").cast("int"))
     fields = {"type": "WARC-Type", "id": "WARC-Record-ID", "url": "WARC-Target-URI", "page": "Page-ID", "digest": "WARC-Payload-Digest", "refers": "WARC-Refers-To", "origin": "WARC-Segment-Origin-ID"}
+    columns = {column: _field(name) for column, name in fields.items()}
+    columns["url"] = F.regexp_replace(columns["url"], r"(WARC/1\.1 *) \z", "$1")
     return rows.select(
-        *(_field(name).alias(column) for column, name in fields.items()),
+        *(value.alias(column) for column, value in columns.items()),
         _field("WARC-Segment-Number").cast("int").alias("number"),
         _field("WARC-Segment-Total-Length").cast("long").alias("total"),
         F.substring(F.col("value").cast("binary"), at, F.col("length")).alias("block"),

@@ -35,6 +35,22 @@ def test_round_trip(spark, broadcast_rows):
     assert sorted(again, key=str) == sorted([(1, 9), (2, 9), (None, 9), (9, 9), (3, 4)], key=str)
 
 
+def test_version_at_the_end_of_payloads_chunks_and_segments(spark):
+    version = "WARC/1.1"
+    ends = [version, "z" * 1500 + version, "z" * (4096 - len(version)) + version + "z" * 100, version * 700]
+    # a block's segment ends at 8192 bytes, somewhere behind the HTTP header and the framing
+    ends += ["z" * n + version + "z" * 3000 for n in range(8040, 8200)]
+    pages = [(i, "u", text) for i, text in enumerate(ends)]
+    urls = ["u/WARC/1.1", "u/WARC/1.1 ", "u/WARC/1.1  ", "WARC/1.1 u", "u "]
+    pages += [(1000 + i, url, "text") for i, url in enumerate(urls)]
+    path = written(spark, pages)
+    assert [r["url"] for r in warc.read(spark, path).where("page_id >= 1000").orderBy("page_id").collect()] == urls
+    got = {r["page_id"]: r["payload"] for r in warc.read(spark, path).collect()}
+    assert [i for i, _, text in pages if got[i] is None or bytes(got[i]).decode() != text] == []
+    blocks = [bytes(r["block"]) for r in warc.read_records(spark, path).collect()]
+    assert len(blocks) > len(pages) and not any(version.encode() in b for b in blocks)
+
+
 def test_files_are_plain_warc(spark):
     raw = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(written(spark, PAGES[:4])).collect())
     at = records = 0
