@@ -25,15 +25,22 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, projections: int, threshold: float, verify: float, growth: float = 1.25) -> list[tuple[int, int, float]]:
-    """(query, id, distance) of the k nearest found in one block, for each query; its own id is left out."""
+    """(query, id, distance) of the k nearest found in one block, for each query; its own id is left out.
+
+    Queries of one id count as one: a row of the block is found once for them, at the least of its distances.
+    """
     axes = np.random.default_rng(11).standard_normal((projections, x.shape[1]))
     p, pq = axes @ x.T, axes @ q.T
     order = np.argsort(p, axis=1).astype(np.int32)
     p = np.take_along_axis(p, order, axis=1)
     need, least = max(k + 1, int(verify * len(ids))), int(np.ceil(threshold * projections))
     first = max(float(p.std()) * 0.7, 1e-12)
-    found = []
+    found: dict[int, dict[int, float]] = {}
+    seen = set()
     for j in range(len(query_ids)):
+        if (own := (int(query_ids[j]), q[j].tobytes())) in seen:
+            continue
+        seen.add(own)
         low = np.array([np.searchsorted(p[i], pq[i, j]) for i in range(projections)])
         high, width, counts = low.copy(), first, np.zeros(len(ids), np.int64)
         while True:
@@ -48,8 +55,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         at = np.flatnonzero(near & (ids != query_ids[j]))
         d = np.sqrt(np.square(x[at] - q[j]).sum(axis=1))
         best = np.lexsort((ids[at], d))[:k]
-        found += zip([int(query_ids[j])] * len(best), ids[at[best]].tolist(), d[best].tolist(), strict=True)
-    return found
+        rows = found.setdefault(int(query_ids[j]), {})
+        for row, distance in zip(at[best].tolist(), d[best].tolist(), strict=True):
+            rows[row] = min(distance, rows.get(row, distance))
+    return [(query, int(ids[row]), distance) for query, rows in found.items() for row, distance in rows.items()]
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", projections: int = 192, threshold: float = 0.75, verify: float = 0.08, block: int = 8192, chunk: int = 2048) -> DataFrame:
@@ -59,6 +68,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     that can't take part (see valid_vectors), and those whose length isn't the commonest one, are left out. In every
     block of about ``block`` vectors, windows widen until ``verify`` of them collide in ``threshold`` of all
     projections. A task holds a block and a chunk of queries, whatever the number of either.
+
+    Rows that share an id are searched for together and get one ranking, by the least distance to any of them; none of
+    them is in it. As neighbours of others they are rows of their own, so their id can take several ranks.
     """
     rows = valid_vectors(vectors, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()

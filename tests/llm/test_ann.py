@@ -29,6 +29,19 @@ def test_recall_and_scores_against_brute_force(spark):
     assert got["query_id"].nunique() == 30 and hit / 300 >= 0.9
 
 
+def test_repeated_ids(spark):
+    x = np.random.default_rng(6).standard_normal((300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (100, x[7].tolist()), (50, x[50].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, verify=1.0).orderBy("query_id", "rank").collect()
+    for query in (0, 100, 200):
+        own = [np.array(v) for i, v in rows if i == query]
+        want = sorted((min(float(np.sqrt(np.square(np.array(v) - o).sum())) for o in own), i) for i, v in rows if i != query)[:10]
+        mine = [r for r in got if r["query_id"] == query]
+        assert [(r["rank"], r["vec_id"]) for r in mine] == [(k + 1, i) for k, (_, i) in enumerate(want)]
+        assert all(abs(r["score"] - d) < 1e-12 for r, (d, _) in zip(mine, want, strict=True))
+
+
 def test_rows_that_take_no_part_and_few_candidates(spark):
     bad = [None, [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0], []]
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (None, [1.0, 1.0]), (200, None), *((i + 10, v) for i, v in enumerate(bad))]
