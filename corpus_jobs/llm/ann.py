@@ -65,24 +65,29 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     """(query_id, rank, vec_id, score): of every row where ``is_query`` holds, the k nearest found among all others.
 
     The score is the Euclidean distance of the original vectors in double precision; ties go to the smaller id. Rows
-    that can't take part (see valid_vectors), and those whose length isn't the commonest one, are left out. In every
-    block of about ``block`` vectors, windows widen until ``verify`` of them collide in ``threshold`` of all
+    that can't take part (see valid_vectors) are left out, and vectors are searched among those of their own length. In
+    every block of about ``block`` vectors, windows widen until ``verify`` of them collide in ``threshold`` of all
     projections. A task holds a block and a chunk of queries, whatever the number of either.
 
     Rows that share an id are searched for together and get one ranking, by the least distance to any of them; none of
     them is in it. As neighbours of others they are rows of their own, so their id can take several ranks.
     """
-    rows = valid_vectors(vectors, id_col, vector_col)
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    n, total = (sizes[0]["n"], sizes[0]["c"]) if sizes else (0, 0)
-    blocks = max(1, -(-total // block))
-    same = rows.where(F.size("v") == n)
-    queries = valid_vectors(vectors.where(is_query), id_col, vector_col).where(F.size("v") == n)
-    chunks = max(1, -(-queries.count() // chunk))
-    each = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    own = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
-    data = same.select("id", "v", each, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    asked = queries.select("id", "v", own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    n = F.size("v").alias("n")
+    rows = valid_vectors(vectors, id_col, vector_col).select("id", "v", n)
+    queries = valid_vectors(vectors.where(is_query), id_col, vector_col).select("id", "v", n)
+
+    def parts(of: DataFrame, size: int, name: str) -> DataFrame:
+        return of.groupBy("n").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    # a row for each length
+    grid = parts(rows, block, "blocks").join(parts(queries, chunk, "chunks"), "n").collect()
+    grid = F.broadcast(vectors.sparkSession.createDataFrame(grid, "n int, blocks int, chunks int"))
+
+    def dealt(of: DataFrame, own: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col(own + "s")).cast("int").alias(own)
+        return of.join(grid, "n").select("id", "v", "n", part, F.explode(F.sequence(F.lit(0), F.col(other + "s") - 1)).alias(other))
+
+    data, asked = dealt(rows, "block", "chunk"), dealt(queries, "chunk", "block")
 
     def search(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -91,6 +96,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
         found = search_block(left["id"].to_numpy(np.int64), x, right["id"].to_numpy(np.int64), q, k, projections, threshold, verify)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = data.groupBy("n", "block", "chunk").cogroup(asked.groupBy("n", "block", "chunk")).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,6 +42,17 @@ def test_repeated_ids(spark):
         assert all(abs(r["score"] - d) < 1e-12 for r, (d, _) in zip(mine, want, strict=True))
 
 
+def test_every_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.standard_normal(4 if i % 3 else 6)) for i in range(600)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, verify=1.0).orderBy("query_id", "rank").collect()
+    for query in range(0, 600, 100):
+        own = rows[query][1]
+        want = sorted((float(np.sqrt(np.square(v - own).sum())), i) for i, v in rows if i != query and len(v) == len(own))[:10]
+        assert [r["vec_id"] for r in got if r["query_id"] == query] == [i for _, i in want]
+
+
 def test_rows_that_take_no_part_and_few_candidates(spark):
     bad = [None, [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0], []]
     rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (None, [1.0, 1.0]), (200, None), *((i + 10, v) for i, v in enumerate(bad))]
