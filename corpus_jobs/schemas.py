@@ -28,5 +28,4 @@ CHUNKS = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-MESSAGES = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), *_fields("role", "text")])
 SECTIONS = T.ArrayType(T.StructType(_fields("heading", "text")))
