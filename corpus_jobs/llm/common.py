@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters of [\x20\x09-\x0D].
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, below a temporary folder set for the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from corpus_jobs.sources.shared import materialise, shared_dir
 
+__all__ = ["materialise", "shared_dir"]
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to shared storage and read it back: cuts lineage, and survives the loss of executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The characters of [\x20\x09-\x0D].
+SPACES = " \t\n\x0b\x0c\r"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded by rows and bytes, so that long documents don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices bounded by rows and bytes, so that long documents don't fill a Python worker."""
+    for batch in batches:
+        n = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        yield from (batch.slice(at, n) for at in range(0, batch.num_rows, n))
 
 
 def stretches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
@@ -64,7 +51,7 @@ def unused(df: DataFrame, name: str) -> str:
 def rereadable(df: DataFrame) -> DataFrame:
     """``df``, or a written copy of it where its rows don't come straight from Parquet files."""
     try:
-        df.select("_metadata.row_index")
+        df.select(df.metadataColumn("_metadata")["row_index"])
         return df
     except AnalysisException:
         return materialise(df, "rows")
@@ -72,14 +59,48 @@ def rereadable(df: DataFrame) -> DataFrame:
 
 def with_locator(df: DataFrame, name: str = "_locator") -> DataFrame:
     """Add a column that names each row's place in its Parquet file and is the same at every read (see rereadable)."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return rereadable(df).select("*", place.alias(name))
-
-
-def keep_located(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (rereadable) whose place is in ``keep`` (_locator), with all their columns."""
+    rows = rereadable(df)
+    hidden = rows.metadataColumn("_metadata")  # also where a column has that name
+    return rows.select("*", F.struct(hidden["file_path"].alias("file"), hidden["row_index"].alias("row")).alias(name))
+
+
+def sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` may be one of the ``n`` ``keys`` (same column), and those for which it can't.
+
+    A bitmap of the keys' hashes goes to every task: 64 bits a key, 32 MB at most. Beyond that more of the other rows
+    pass, so whoever joins the first part with the keys is right in any case, and spares the second part a shuffle.
+    """
+    bits = min(1 << 28, 1 << max(15, (64 * n).bit_length()))
+    at = F.pmod(F.xxhash64(column), F.lit(bits))
+    bucket, bitmap = unused(rows, "_bucket"), unused(rows, "_bitmap")
+    marks = F.broadcast(keys.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap)))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(at)).join(marks, bucket, "left")
+    return tuple(marked.where(part).drop(bucket, bitmap) for part in (maybe, ~maybe))
+
+
+def drop_located(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (rereadable) but those whose place is in ``gone`` (_locator, written), with all their columns."""
     name = unused(docs, "_locator")
-    return with_locator(docs, name).join(keep.select(F.col("_locator").alias(name)), name, "left_semi").select(*docs.columns)
+    gone = gone.select(F.col("_locator").alias(name))
+    maybe, stay = sieve(with_locator(docs, name), name, gone, gone.count())
+    return stay.unionByName(maybe.join(gone, name, "left_anti").select(*stay.columns)).drop(name)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", most_hot: int = 20_000) -> DataFrame:
+    """``rows`` joined (inner or left) with ``keyed``, which has a row for every key and in ``count`` how many of ``rows`` have it.
+
+    Keys of more rows than a share of 1 in ``most_hot`` (so there are fewer of them) aren't shuffled: their side of the
+    join goes to every task. Both sides are read twice where there are such keys.
+    """
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(256, total // most_hot)
+    if keyed.where(hot).isEmpty():
+        return rows.join(keyed, key, how)
+    some = F.broadcast(keyed.where(hot))
+    return rows.join(some, key).unionByName(rows.join(some.select(key), key, "left_anti").join(keyed.where(~hot), key, how))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm.common import SPACES, keep_located, materialise, rereadable, shared_dir, with_locator
+from corpus_jobs.llm.common import SPACES, drop_located, join_counted, materialise, rereadable, shared_dir, sieve, with_locator
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -62,18 +62,20 @@ def seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("digest").agg(F.count("*").alias("n"), F.min(first).alias("first"))
 
 
-def run_state(spark: SparkSession, log: str, schema, files_per_trigger: int = 64) -> DataFrame:
+def run_state(spark: SparkSession, log: str, schema, bytes_per_trigger: int | None = None) -> DataFrame:
     """Stream the Parquet log of arrivals through the state, and return its last version: digest, n, first.
 
     Every micro-batch writes the entries it changed under its own number, so a batch that runs twice after a failure
-    overwrites itself; state and progress live in the shared checkpoint.
+    overwrites itself; state and progress live in the shared checkpoint. A micro-batch takes some 64 MB of the log for
+    each core, so a larger cluster takes fewer of them.
     """
     out = shared_dir(spark, "dedup-state")
 
     def keep(changed: DataFrame, number: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(log)
+    size = bytes_per_trigger or (64 << 20) * spark.sparkContext.defaultParallelism
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", size).parquet(log)
     with _on_disk(spark):
         query = seen(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", shared_dir(spark, "dedup-checkpoint")).foreachBatch(keep).start()
         query.awaitTermination()
@@ -84,46 +86,56 @@ def run_state(spark: SparkSession, log: str, schema, files_per_trigger: int = 64
     return last.select("digest", "s.n", "s.first")
 
 
-def _checked(docs: DataFrame, states: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the hits with their texts, and the hits of which a text differs from the one that the state points at."""
-    hits = states.where("n > 1").select("digest", "n", F.col("first._locator").alias("_kept"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"), "_locator")
-    rows = rows.withColumn("digest", digest(F.col("body")))
-    found = materialise(rows.join(hits, "digest"), "hits")
+def _texts(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The hits with their texts: only these rows' texts are shuffled, all others stay where they are read."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw"), "_locator")
+    found = sieve(rows, "_locator", hits, hits.count())[0].join(hits, "_locator")
+    return found.select("doc_id", normalised(F.col("raw")).alias("body"), F.length(F.coalesce("raw", F.lit(""))).alias("chars"), "digest", "n", "_kept", "_locator")
+
+
+def _collided(found: DataFrame) -> DataFrame:
+    """Digests of which a text differs from the one that the state points at; copies are compared in parts of a bounded size."""
     parts = F.ceil(F.col("n") / _PART).cast("int")
     pointed = found.where(F.col("_locator") == F.col("_kept")).select("digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("body").alias("kept_body"))
-    members = found.withColumn("part", F.pmod(F.xxhash64("_locator"), parts).cast("int"))
-    other = members.join(pointed, ["digest", "part"]).where(F.col("body") != F.col("kept_body"))
-    return found, other.select("digest").distinct()
+    members = found.select("digest", F.pmod(F.xxhash64("_locator"), parts).cast("int").alias("part"), "body")
+    return members.join(pointed, ["digest", "part"]).where(F.col("body") != F.col("kept_body")).select("digest").distinct()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_trigger: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, bytes_per_trigger: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest, _locator.
 
     Texts are equal when they are without white space; null counts as empty. Exactly one row of each group is kept,
-    also where rows repeat with their id. Rows whose digest collides with another text's are grouped by whole text.
+    also where rows repeat with their id: the longest text, then the smallest id (null last), then the first place in
+    the files. Rows whose digest collides with another text's are grouped by whole text. Other columns are not read,
+    so their names don't matter; an empty table gives no rows. Rows with a digest of their own are never shuffled.
     """
     spark = docs.sparkSession
     docs = with_locator(docs.select(F.col(id_col), F.col(text_col)))
     told, path = arrivals(docs, id_col, text_col, digest), shared_dir(spark, "arrivals")
     told.write.parquet(path)
     log = spark.read.schema(told.schema).parquet(path)
-    states = materialise(run_state(spark, path, told.schema, files_per_trigger), "states")
-    found, collided = _checked(docs, states, id_col, text_col, digest)
+    states = materialise(run_state(spark, path, told.schema, bytes_per_trigger).where("n > 1"), "states")
+    maybe, alone = sieve(log, "digest", states, states.count())
+    several = materialise(join_counted(maybe, states, "digest", "n", "left"), "several")
+    hits = several.where("n IS NOT NULL")
+    own = several.where("n IS NULL").select(*alone.columns).unionByName(alone)
 
     def out(rows: DataFrame) -> DataFrame:
         return rows.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_locator") == F.col("first._locator")).alias("kept"), "digest", "_locator")
 
+    single = own.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "_locator")
+    found = materialise(_texts(docs, hits.select("digest", "n", F.col("first._locator").alias("_kept"), "_locator"), id_col, text_col), "hit-texts")
+    collided = materialise(_collided(found), "collided")
     if collided.isEmpty():
-        return out(log.join(states, "digest"))
-    collided = materialise(collided, "collided")
-    split = found.drop("n", "_kept").join(collided, "digest", "left_semi")
+        return single.unionByName(out(hits))
+    split = found.join(F.broadcast(collided) if collided.count() <= 100_000 else collided, "digest", "left_semi").drop("n", "_kept")
     first = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "_locator")
     classes = split.groupBy("digest", "body").agg(F.count("*").alias("n"), F.min(first).alias("first"))
-    return out(log.join(states, "digest").join(collided, "digest", "left_anti")).unionByName(out(split.join(classes, ["digest", "body"])))
+    return single.unionByName(out(hits.join(collided, "digest", "left_anti"))).unionByName(out(split.join(classes, ["digest", "body"])))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
+    """The rows of ``docs`` that stay (see exact_groups), all columns as they were."""
     docs = rereadable(docs)
-    return keep_located(docs, exact_groups(docs, id_col, text_col).where("kept"))
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("_locator")
+    return drop_located(docs, materialise(gone, "gone"))

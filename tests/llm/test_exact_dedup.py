@@ -31,7 +31,7 @@ def test_several_batches_and_colliding_digests(spark):
     def weak(text):
         return F.unhex(F.lpad(F.hex(F.length(text) % 2), 2, "0"))
 
-    check(spark, ROWS * 3, digest=weak, files_per_trigger=1)
+    check(spark, ROWS * 3, digest=weak, bytes_per_trigger=1)
 
 
 def test_large_group(spark):
