@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import keep_located, materialise, rereadable, small_batches, with_locator
+from corpus_jobs.llm.common import drop_located, join_counted, materialise, rereadable, small, unused, with_locator
 from corpus_jobs.llm.components import components
 
 #: Bands of the 64 bits and their radii, for links of 4 or fewer differing bits: (1 + 1) + (1 + 1) + (0 + 1) = 4 + 1.
@@ -47,14 +47,17 @@ def fingerprint(text: str, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
-    """``docs`` with the text replaced by its fingerprint, as a signed 64-bit number (null text: 0)."""
-    small_batches(docs.sparkSession)
+    """``docs`` with the text replaced by its fingerprint, as a signed 64-bit number (null or empty text: 0).
+
+    A column named ``out`` is replaced, every other one stays; repeated rows stay repeated, an empty table empty. Texts
+    are read whole; what a worker holds beside one is some 200 bytes for each of its words.
+    """
     others = [c for c in docs.columns if c not in (text, out)]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(unused(docs, "_text")))
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.LongType())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.num_columns - 1
             found = np.array([fingerprint(x) for x in batch.column(k).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(found)], names=[*others, out])
@@ -151,14 +154,15 @@ def close_components(x: np.ndarray, most: int) -> np.ndarray:
 def links(prints: DataFrame, most: int = 4, sample: int = 131_072, leaf: int = 2048, part: int = 8192, bands=BANDS) -> DataFrame:
     """Edges (a, b) that connect whatever fingerprints of the column ``fp`` (distinct) are linked by ``most`` bits or fewer.
 
-    Each shard gives a spanning forest of its links, not all pairs. The trees are grown from a sample of at most an
-    eighth of the fingerprints and about ``sample`` of them; every fingerprint is searched. A leaf of more than
-    ``part`` is searched in blocks: every pair of its blocks is a task.
+    Each shard gives a spanning forest of its links, not all pairs. The trees are grown from a sample: an eighth of the
+    fingerprints, but no more than about ``sample``, or one in 64 where that is more, up to 8 times ``sample``. Every
+    fingerprint is searched. A leaf of more than ``part`` is searched in blocks: every pair of its blocks is a task.
+    Leaves and the table of their sizes are no more than the sample allows, whatever the number of fingerprints.
     """
     if sum(r + 1 for _, _, r in bands) <= most:
         raise ValueError("the bands' radii don't cover links of that many bits")
     total = prints.count()
-    share = min(0.125, sample / max(1, total))
+    share = min(0.125, max(sample, min(total / 64, 8 * sample)) / max(1, total))
     picked = prints.where(F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 24)) < int(share * (1 << 24))).toPandas()
     forest = grow(np.sort(picked["fp"].to_numpy(np.int64)).view(np.uint64), total, leaf, bands=bands)
 
@@ -184,22 +188,31 @@ def links(prints: DataFrame, most: int = 4, sample: int = 131_072, leaf: int = 2
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 4, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (the smallest id reachable), and the columns ``extra``.
+    """One row per row of ``docs``: doc_id, fp, component_id (the smallest id reachable), root, size, and the columns ``extra``.
 
     Texts without words have fingerprint 0 and are linked like any other; a null id never is a smallest one, so a
-    group of null ids only has a null component. Copies of a fingerprint are searched once.
+    group of null ids only has a null component. Copies of a fingerprint are searched once; repeated rows count in
+    ``size``, the number of rows of the component. Other columns are not read; an empty table gives no rows. Neither a
+    fingerprint nor a component of many rows is shuffled by its key (see join_counted).
     """
     marks = materialise(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)), "fingerprints")
-    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), most))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    found = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
-    return marks.join(found, "fp").select("doc_id", "fp", "component_id", "root", *extra)
+    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
+    roots = components(links(classes.select("fp"), most)).withColumnRenamed("node", "fp")
+    rooted = materialise(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    sums = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"), F.count("*").alias("prints")), "components")
+    found = materialise(join_counted(rooted, sums, "root", "prints").select("fp", "copies", "component_id", "root", "size"), "found")
+    return join_counted(marks, found, "fp", "copies").select("doc_id", "fp", "component_id", "root", "size", *extra)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-copies: of each component the row with the smallest id (null last) stays."""
+    """The rows of ``docs`` without near-copies, all columns as they were.
+
+    Of each component (see near_groups) the row with the smallest id (null last) stays, of several such rows the first
+    in the files.
+    """
     docs = rereadable(docs)
     found = near_groups(with_locator(docs.select(F.col(id_col), F.col(text_col))), id_col, text_col, extra=("_locator",))
+    several = materialise(found.where("size > 1").select("doc_id", "root", "_locator"), "several")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_locator")).alias("first")
-    return keep_located(docs, found.groupBy("root").agg(first).select(F.col("first._locator").alias("_locator")))
+    stay = several.groupBy("root").agg(first).select(F.col("first._locator").alias("_locator"))
+    return drop_located(docs, materialise(several.select("_locator").join(stay, "_locator", "left_anti"), "gone"))
