@@ -33,7 +33,7 @@ def test_repeated_ids(spark):
     x = np.random.default_rng(6).standard_normal((300, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (100, x[7].tolist()), (50, x[50].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, verify=1.0).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, threshold=0.0).orderBy("query_id", "rank").collect()
     for query in (0, 100, 200):
         own = [np.array(v) for i, v in rows if i == query]
         want = sorted((min(float(np.sqrt(np.square(np.array(v) - o).sum())) for o in own), i) for i, v in rows if i != query)[:10]
@@ -46,7 +46,7 @@ def test_every_length_is_searched_among_its_own(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.standard_normal(4 if i % 3 else 6)) for i in range(600)]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
-    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, verify=1.0).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, F.col("vec_id") % 100 == 0, k=10, block=150, chunk=2, threshold=0.0).orderBy("query_id", "rank").collect()
     for query in range(0, 600, 100):
         own = rows[query][1]
         want = sorted((float(np.sqrt(np.square(v - own).sum())), i) for i, v in rows if i != query and len(v) == len(own))[:10]
