@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import small_batches, stretches
+from corpus_jobs.llm.common import small, stretches, unused
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Languages in one 64-bit slot; more take further slots side by side.
@@ -95,10 +95,9 @@ def _parts(texts: list[str], chosen: np.ndarray) -> Iterator[list[str]]:
 
 def count_trigrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over whole texts; partial counts are summed in the shuffle."""
-    small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
             for name, part in ((name, part) for name in sorted(set(langs)) for part in _parts(texts, langs == name)):
                 grams, n = np.unique(trigrams(part)[1], return_counts=True)
@@ -108,17 +107,21 @@ def count_trigrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column | None = None, least_rate: float = 1e-5, least_share: float = 0.2, hashes: int = 3, bits: int = 18) -> LanguageFilter:
-    """Learn from all rows with a language (and ``learn`` true).
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column | None = None, least_rate: float = 1e-5, least_share: float = 0.2, hashes: int = 3, bits: int = 18, most_languages: int = 2000) -> LanguageFilter:
+    """Learn from all rows with a language (and ``learn`` true); rows with a null text or language teach nothing.
 
     A language holds a trigram that makes up ``least_rate`` of its trigrams and at least ``least_share`` of the rate
     where it is most common, so strays from other languages don't count; that is at most 1 / least_rate trigrams a
-    language. What the driver gets is the filter itself, of 2 ** bits slots.
+    language. What the driver gets is the filter itself, of 2 ** bits slots; from about 90,000 trigrams a language on it
+    fills up, and needs more bits. Repeated rows count each time; other columns are not read. A column of more than
+    ``most_languages`` different languages isn't one of languages, and an error.
     """
     rows = docs if learn is None else docs.where(learn)
     counts = count_trigrams(rows, text, lang)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    sizes = sorted(((r["total"], r["lang"]) for r in totals.collect()), key=lambda x: (-x[0], x[1]))
+    sizes = sorted(((r["total"], r["lang"]) for r in totals.limit(most_languages + 1).collect()), key=lambda x: (-x[0], x[1]))
+    if len(sizes) > most_languages:
+        raise ValueError(f"the column {lang} has more than {most_languages} different languages")
     languages = [name for _, name in sizes]
     spark = docs.sparkSession
     table = spark.createDataFrame([(name, i, total) for i, (total, name) in enumerate(sizes)], "lang string, k int, total long")
@@ -138,15 +141,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Column |
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the text replaced by its predicted language and score; every other column stays."""
-    small_batches(docs.sparkSession)
+    """``docs`` with the text replaced by its predicted language and score; columns of these names are replaced, all others stay.
+
+    A text that is null or has no letter is ``und`` with score 0. Of languages with equal counts the one learned from
+    more text wins (then the smaller name). Each row is judged by itself: repeated rows get equal results, an empty
+    table stays empty, and whole texts of any length are read, some 150 bytes a character at a time for the longest.
+    """
     others = [c for c in docs.columns if c not in (text, lang_out, score_out)]
-    rows = docs.select(*others, F.col(text).alias("_text"))
+    rows = docs.select(*others, F.col(text).alias(unused(docs, "_text")))
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.num_columns - 1
             texts = batch.column(k).to_pylist()
             found = [shared.value.predict(texts[s]) for s in stretches(texts)]

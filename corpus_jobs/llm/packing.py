@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import materialise, partitions, small_batches
+from corpus_jobs.llm.common import materialise, partitions, small, unused
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -27,7 +27,6 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     A document's ids are those of its whole text (null: empty) and ``end_id``; only documents longer than
     ``capacity`` are cut, each piece but the last being full. Repeated rows give repeated pieces.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [rows.schema["doc_id"], *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))]
     if with_ids:
@@ -37,7 +36,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         from corpus_jobs.llm.tokens import word_ids
 
         words, end = word_ids(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in small(batches):
             of, numbers, starts, lengths, sums, ids = [], [], [], [], [], []
             for row, raw in enumerate(words(batch.column(1).to_pylist())):
                 raw += end
@@ -192,29 +191,32 @@ def plan(histogram: dict[int, int], capacity: int, small: float = 0.34, groups:
     return places, sequence
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, small: float = 0.34, groups: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, small_share: float = 0.34, groups: int = 256) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any others) with sequence_id and offset, gapless from 0 in each sequence.
 
+    Columns of these two names are replaced, all others stay. Repeated rows get places of their own; no rows give none.
     ``pieces`` is read several times, so give it written. Broadcast are the plan and the counts of the rank buckets,
     whose sizes follow from the capacity and the number of shuffle partitions, not from the data.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    salts, salt, rank, base, n, size, first, end, q, sequence, place = (unused(pieces, x) for x in ("_salts", "_salt", "_rank", "_base", "_n", "_length", "_first", "_end", "_q", "_sequence", "_offset"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    places, _ = plan(histogram, capacity, small, groups)
+    places, _ = plan(histogram, capacity, small_share, groups)
     bucket = max(256, sum(histogram.values()) // (4 * partitions(spark)))
-    salts = spark.createDataFrame([(length, -(-n // bucket)) for length, n in histogram.items()], "length long, _salts long")
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), "_salts")).drop("_salts")
-    before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_base"))
-    others = [c for c in pieces.columns if c not in ("doc_id", "piece", "length") and not isinstance(pieces.schema[c].dataType, T.ArrayType)]
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *others)))
-    ranked = ranked.join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base") - 1)
-    table = spark.createDataFrame(places, "_length long, _first long, _end long, _q long, _sequence long, _offset long")
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    at = F.col("_rank") - F.col("_first")
-    return placed.select(*pieces.columns, (F.col("_sequence") + F.floor(at / F.col("_q"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_q") * F.col("length")).cast("long").alias("offset"))
+    counts = spark.createDataFrame([(length, -(-k // bucket)) for length, k in histogram.items()], f"length long, {salts} long")
+    salted = pieces.join(F.broadcast(counts), "length").withColumn(salt, F.pmod(F.xxhash64("doc_id", "piece"), salts)).drop(salts)
+    before = F.sum(n).over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
+    bases = salted.groupBy("length", salt).agg(F.count("*").alias(n)).select("length", salt, F.coalesce(before, F.lit(0)).alias(base))
+    others = [c for c, kind in pieces.dtypes if c not in ("doc_id", "piece", "length") and not kind.startswith(("array", "map", "struct"))]
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", *others)))
+    ranked = ranked.join(F.broadcast(bases), ["length", salt]).withColumn(rank, F.col(rank) + F.col(base) - 1)
+    table = spark.createDataFrame(places, f"{size} long, {first} long, {end} long, {q} long, {sequence} long, {place} long")
+    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end)))
+    at = F.col(rank) - F.col(first)
+    return placed.select(*pieces.columns, (F.col(sequence) + F.floor(at / F.col(q))).cast("long").alias("sequence_id"), (F.col(place) + at % F.col(q) * F.col("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

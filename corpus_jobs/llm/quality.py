@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import learns, materialise, small_batches
+from corpus_jobs.llm.common import learns, materialise, small, unused
 
 FEATURES = (
     "chars", "upper", "digits", "symbols", "pauses", "bars", "shouts", "non_ascii", "word_length", "longest_word",
@@ -54,15 +54,17 @@ def features(text: str, classes: np.ndarray) -> list[float]:
 
 
 def with_features(docs: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
-    """``docs`` with the text's column replaced by its features (null text: as empty); every other column stays."""
-    small_batches(docs.sparkSession)
+    """``docs`` with the text replaced by its features (null text: as empty); a column named ``out`` is replaced, all others stay.
+
+    Repeated rows stay repeated, an empty table empty; whole texts of any length are read.
+    """
     others = [c for c in docs.columns if c not in (text, out)]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(unused(docs, "_text")))
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _classes()
-        for batch in batches:
+        for batch in small(batches):
             k = batch.num_columns - 1
             values = [features(x, classes) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(values, pa.list_(pa.float32()))], names=[*others, out])
@@ -184,10 +186,11 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: s
     """Fit to labelled rows of ``measured`` (id, features), the held-out fifth left out.
 
     At most about ``max_rows`` different rows are fitted, chosen by a hash, so the driver's share is bounded whatever
-    the size of the tables and of a group of repeated rows. Rows with a null label are not learned from.
+    the size of the tables and of a group of repeated rows: equal rows count once, and an id of several texts or labels
+    teaches each of them. Rows with a null id or label are not learned from. Other columns are not read.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull() & learns("_id")).distinct()
-    rows = materialise(measured.join(known, F.col(id_col) == F.col("_id")).select("_id", "_y", "features").distinct(), "labelled")
+    rows = materialise(measured.select(F.col(id_col).alias("_id"), "features").join(known, "_id").select("_id", "_y", "features").distinct(), "labelled")
     share = max_rows / max(1, rows.count())
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("_id", "features"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -198,7 +201,10 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: s
 
 
 def score(measured: DataFrame, model: AdditiveModel, out: str = "score") -> DataFrame:
-    """``measured`` with ``features`` replaced by the score (double, 0 to 1)."""
+    """``measured`` with ``features`` replaced by the score (double, 0 to 1); a column named ``out`` is replaced, all others stay.
+
+    A score depends on the row's features only: repeated rows get equal ones, and an empty table stays empty.
+    """
     others = [c for c in measured.columns if c not in ("features", out)]
     rows = measured.select(*others, "features")
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.DoubleType())])
@@ -213,8 +219,7 @@ def score(measured: DataFrame, model: AdditiveModel, out: str = "score") -> Data
 
 
 def score_texts(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the text's score as a further column, in one pass."""
-    small_batches(docs.sparkSession)
+    """``docs`` with the text's score (null text: as empty) as a further column, in one pass; a column named ``out`` is replaced."""
     names = [c for c in docs.columns if c != out]
     rows = docs.select(*names)
     at = names.index(text)
@@ -222,7 +227,7 @@ def score_texts(docs: DataFrame, model: AdditiveModel, text: str = "text", out:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _classes()
-        for batch in batches:
+        for batch in small(batches):
             x = np.array([features(t or "", classes) for t in batch.column(at).to_pylist()], dtype=np.float32).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*names, out])
 
