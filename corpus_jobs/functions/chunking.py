@@ -5,35 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_jobs.functions.text import normalize_text
+from corpus_jobs.functions.text import let, normalize_text
 
 _SECTIONS = "array<struct<heading:string,text:string>>"
 
 
 def merge_small_sections(sections: Column, least: int = 200) -> Column:
-    """A section shorter than ``least`` goes to the end of the one before it, its heading as a line of its own."""
-    def fold(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = normalize_text(F.concat_ws("\n", last["text"], F.coalesce(x["heading"], F.lit("")), x["text"]))
-        merged = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["heading"].alias("heading"), joined.alias("text"))))
-        return F.when((F.size(done) > 0) & (F.length(x["text"]) < least), merged).otherwise(F.concat(done, F.array(x)))
+    """A section shorter than ``least`` goes to the end of the one before it, its heading as a line of its own.
 
-    return F.aggregate(sections, F.array().cast(_SECTIONS), fold)
+    Whether a section is merged depends on its own length only, so the sections that stay are found first, and each is
+    put together once with those behind it: the work is linear in the document.
+    """
+    def joined(group: Column) -> Column:
+        head = F.get(group, F.lit(0))
+        lines = F.flatten(F.transform(group, lambda x, i: F.when(i == 0, F.array(x["text"])).otherwise(F.array(F.coalesce(x["heading"], F.lit("")), x["text"]))))
+        return F.struct(head["heading"].alias("heading"), F.when(F.size(group) == 1, head["text"]).otherwise(normalize_text(F.array_join(lines, "\n"))).alias("text"))
+
+    def merged(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | F.coalesce(F.length(F.get(xs, i)["text"]) >= least, F.lit(True)))
+        return let(starts, lambda ss: F.transform(ss, lambda s, k: let(F.slice(xs, s + 1, F.coalesce(F.get(ss, k + 1), F.size(xs)) - s), joined)))
+
+    return F.when(F.size(sections) > 0, let(sections, merged)).otherwise(F.when(sections.isNotNull(), F.array().cast(_SECTIONS)))
 
 
 def split_long_text(text: Column, most: int = 2500) -> Column:
-    """Lines packed in order into pieces of at most ``most`` characters; a longer line is a piece of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("p"), F.lit(None).cast("string").alias("c"))
+    """Lines packed in order into pieces of at most ``most`` characters; a longer line is a piece of its own.
+
+    The fold goes over the lines' lengths and gives where each piece starts and ends; an empty line at a piece's start goes.
+    """
+    start = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("p"), F.lit(0).alias("a"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def closed(s: Column) -> Column:
+        return F.concat(s["p"], F.array(F.struct(s["a"].alias("a"), s["i"].alias("b"))))
 
-    def fold(a: Column, line: Column) -> Column:
-        longer = F.when(F.coalesce(a["c"], F.lit("")) == "", line).otherwise(F.concat(a["c"], F.lit("\n"), line))
-        full = (F.length(longer) > most) & (F.coalesce(a["c"], F.lit("")) != "")
-        return F.when(full, F.struct(F.concat(a["p"], F.array(a["c"])).alias("p"), line.alias("c"))).otherwise(F.struct(a["p"].alias("p"), longer.alias("c")))
+    def fold(s: Column, line: Column) -> Column:
+        size, empty = F.length(line), s["n"] == 0
+        longer = F.when(empty, size).otherwise(s["n"] + 1 + size)
+        full = ~empty & (longer > most)
+        return F.struct(F.when(full, closed(s)).otherwise(s["p"]).alias("p"), F.when(full | empty, s["i"]).otherwise(s["a"]).alias("a"), F.when(full, size).otherwise(longer).alias("n"), (s["i"] + 1).alias("i"))
 
-    def finish(a: Column) -> Column:
-        return F.when(F.coalesce(a["c"], F.lit("")) == "", a["p"]).otherwise(F.concat(a["p"], F.array(a["c"])))
+    def pieces(lines: Column) -> Column:
+        places = F.aggregate(lines, start, fold, lambda s: F.when(s["n"] == 0, s["p"]).otherwise(closed(s)))
+        return F.transform(places, lambda p: F.array_join(F.slice(lines, p["a"] + 1, p["b"] - p["a"]), "\n"))
 
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.aggregate(F.split(text, "\n"), start, fold, finish))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(let(F.split(text, "\n"), pieces))
 
 
 def compose_chunks(sections: Column, title: Column, heading: Column, most: int = 2500) -> Column:

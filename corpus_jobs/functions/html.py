@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from corpus_jobs.schemas import SECTIONS
 
 #: What starts a section, what breaks a line, what is never text.
-HEADINGS = frozenset("h2 h3".split())
-BLOCKS = frozenset("p li ul ol pre blockquote figure figcaption table tr".split())
-MUTED = frozenset("script style".split())
+HEADINGS = frozenset({"h2", "h3"})
+BLOCKS = frozenset({"p", "li", "ul", "ol", "pre", "blockquote", "figure", "figcaption", "table", "tr"})
+MUTED = frozenset({"script", "style"})
 
 
 class _Tokens(HTMLParser):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a regular expression's character class.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same without the line feed, and without the line feed and the space.
+_BLANK = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
+_ODD = _BLANK.replace(r"\x1c-\x20", r"\x1c-\x1f")
 #: Characters whose case folding has ASCII letters and differs from their lower case.
 _FOLDED = "ßſŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 TOKEN = r"[a-z0-9]+(?:[._:/-][a-z0-9]+)*"
@@ -23,8 +26,9 @@ def strip(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Every line collapsed; empty lines go."""
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), collapse), lambda line: line != ""), "\n")
+    """Every line collapsed; empty lines go. Only what is to change is matched, so most texts are just looked through."""
+    lines = F.regexp_replace(c, rf"\x20{_BLANK}+|{_ODD}{_BLANK}*", " ")
+    return F.btrim(F.regexp_replace(lines, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def normalize_tags(c: Column) -> Column:

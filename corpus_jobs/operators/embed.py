@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,13 +19,16 @@ def hashing_embedder(dim: int) -> Loader:
     def load():
         from xxhash import xxh64_intdigest
 
+        @lru_cache(1 << 16)
+        def place(word: str) -> tuple[int, int]:
+            h = xxh64_intdigest(word.encode())
+            return h % dim, 1 if h >> 63 else -1
+
         def embed(texts: list[str], kind: str) -> list[np.ndarray]:
             out = []
             for text in texts:
-                v = np.zeros(dim, np.float64)
-                for word in text.lower().split():
-                    h = xxh64_intdigest(word.encode())
-                    v[h % dim] += 1 if h >> 63 else -1
+                found = np.array([place(word) for word in text.lower().split()], np.int64).reshape(-1, 2)
+                v = np.bincount(found[:, 0], found[:, 1], dim)
                 v[0] += not v.any()
                 out.append((v / np.linalg.norm(v)).astype(np.float32))
             return out

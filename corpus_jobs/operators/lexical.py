@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_jobs.functions.text import lexical_document, lexical_tokens, term_counts
+from corpus_jobs.operators import blocks
+from corpus_jobs.sources.shared import materialise
 
 CHUNK = ("slug", "chunk_index")
 
@@ -65,16 +72,66 @@ def bm25_scores(terms: DataFrame, postings: DataFrame, stats: DataFrame, frequen
     return postings.join(asked, "term").groupBy("query_id", *CHUNK).agg(F.sum(part).alias("score"))
 
 
-def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def matched_terms(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(slug, chunk_index, doc_len, terms, tf) of every chunk: how often it has which terms of ``vocabulary``, by their numbers."""
+    words = pa.array(vocabulary, pa.string())
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.small(batches):
+            rows, terms = blocks.listed(batch.column(2), words)
+            keys, tf = np.unique(rows * len(vocabulary) + terms, return_counts=True) if len(vocabulary) else (rows, rows)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(keys // max(1, len(vocabulary)), minlength=batch.num_rows)))).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (keys % max(1, len(vocabulary)), tf))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.list_value_length(batch.column(2)), *lists], names=["slug", "chunk_index", "doc_len", "terms", "tf"])
+
+    return tokens.select(*CHUNK, "tokens").mapInArrow(matched, "slug string, chunk_index int, doc_len int, terms array<int>, tf array<int>")
+
+
+def _score_blocks(matched: DataFrame, entries: blocks.Entries, ids: pa.Array, kind: str, mean: float, k: int, k1: float, b: float) -> DataFrame:
+    """Every batch's k best chunks for every query, by products of chunks x terms with terms x queries."""
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.small(batches):
+            slugs, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            rows, terms = pc.list_parent_indices(batch.column(3)).to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy()
+            tf, length = batch.column(4).flatten().to_numpy().astype(float), batch.column(2).to_numpy()[rows]
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+            for own, wanted, weights in entries.blocks():
+                scores = np.round(blocks.dense(rows, terms, part, batch.num_rows, wanted) @ weights, 10).T
+                q, at = blocks.k_smallest(np.where(scores > 0, -scores, np.nan), slugs, numbers, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + own.start)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(scores[q, at])], names=["query_id", "slug", "chunk_index", "score"])
+
+    return matched.mapInArrow(best, f"query_id {kind}, slug string, chunk_index int, score double")
+
+
+def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, slug, chunk_index, score, rank): the k best chunks of each query; scores of 0 and k <= 0 give no rows.
 
-    Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. The corpus is read twice, for the
-    statistics and for the scores; what leaves a row's task are entries of terms that some query has.
+    Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. Query terms of ``broadcast_bytes`` or
+    fewer go to every task: the corpus is tokenised once into a narrow table of the query terms that each chunk has,
+    which gives the statistics and then each batch's k best, so no postings are shuffled. More query terms meet the
+    postings in a join; the corpus is then tokenised twice.
     """
-    tokens = tokenized(chunks)
-    terms = query_terms(queries)
-    distinct = terms.select("term").distinct()
-    stats, frequencies = term_statistics(tokens, distinct)
-    scores = bm25_scores(terms, lexical_index(tokens, distinct), stats, frequencies, k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
+    tokens, terms = tokenized(chunks), query_terms(queries)
+    kind = queries.schema["query_id"].dataType.simpleString()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 24), F.lit(0))).first()[0] if k > 0 else 0
+    if not size:
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, slug string, chunk_index int, score double, rank int")
+    if size > broadcast_bytes:
+        distinct = terms.select("term").distinct()
+        stats, frequencies = term_statistics(tokens, distinct)
+        scores = bm25_scores(terms, lexical_index(tokens, distinct), stats, frequencies, k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
+    else:
+        asked = terms.toArrow()
+        words, ids = asked["term"].combine_chunks().dictionary_encode(), asked["query_id"].combine_chunks().dictionary_encode()
+        matched = materialise(matched_terms(tokens, words.dictionary.to_pylist()), "matched-terms")
+        count, mean = matched.agg(F.count("*"), F.avg("doc_len")).first()
+        found = matched.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toPandas()
+        df = np.zeros(len(words.dictionary))
+        df[found["t"].to_numpy(np.int64)] = found["df"]
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        term = words.indices.to_numpy().astype(np.int64)
+        weight = np.where(df[term] > 0, asked["qtf"].to_numpy() * idf[term], 0.0)
+        entries = blocks.Entries(ids.indices.to_numpy().astype(np.int64), term, weight, len(ids.dictionary))
+        scores = _score_blocks(matched, entries, ids.dictionary, kind, mean or 1.0, k, k1, b)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_jobs.operators import blocks
+
 CHUNK = ("slug", "chunk_index")
 #: Digits of a distance that count for the order.
 DIGITS = 12
@@ -23,14 +27,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def block_top_k(query_ids: np.ndarray, queries: np.ndarray, slugs: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of one block of unit vectors for each unit query; distances that aren't numbers come last."""
     distance = np.round(1.0 - queries @ vectors.T, DIGITS)
-    distance[np.isnan(distance)] = np.inf
-    found = []
-    for i in range(len(query_ids)):
-        d = distance[i]
-        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-        best = near[np.lexsort((numbers[near], slugs[near], d[near]))][:k]
-        found.append(pd.DataFrame({"query_id": query_ids[i], "slug": slugs[best], "chunk_index": numbers[best], "distance": np.where(np.isinf(d[best]), np.nan, d[best])}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "slug": [], "chunk_index": [], "distance": []})
+    q, best = blocks.k_smallest(np.where(np.isnan(distance), np.inf, distance), slugs, numbers, k)
+    d = distance[q, best]
+    return pd.DataFrame({"query_id": query_ids[q], "slug": slugs[best], "chunk_index": numbers[best], "distance": d})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -99,3 +98,49 @@ def restricted_top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataF
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), *CHUNK)
     scored = candidates.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").withColumn("distance", cosine_distance(F.col("_q"), F.col("embedding")))
     return scored.drop("_q", "embedding").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def tagged_top_k(queries: DataFrame, wanted: DataFrame, hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, slug, chunk_index, distance, rank): each query's k nearest chunks that have a tag it wants and are of no hit.
+
+    ``wanted`` is (query_id, tag), ``hits`` (query_id, slug), ``chunks`` (slug, chunk_index, embedding, tags). All but
+    the chunks go to every task, so the caller checks their size. Candidates without a distance, as of a null vector,
+    come last; ties go to the smaller slug, then chunk_index. Only keys and distances leave a task.
+    """
+    kind = queries.schema["query_id"].dataType.simpleString()
+    tags, gone = wanted.toPandas(), hits.toPandas()
+    asked = queries.join(F.broadcast(wanted.select("query_id").distinct()), "query_id", "left_semi").select("query_id", "embedding").toPandas()
+    number = {q: i for i, q in enumerate(asked["query_id"])}
+    tags, gone = tags[tags["query_id"].isin(number)], gone[gone["query_id"].isin(number)]
+    dim = next((len(v) for v in asked["embedding"] if v is not None), 0)
+    unit = _unit(np.array([np.full(dim, np.nan) if v is None else v for v in asked["embedding"]], dtype=np.float64).reshape(len(asked), dim))
+    names = sorted(set(tags["tag"]))
+    vocabulary, slugs_gone, ids = pa.array(names, pa.string()), pa.array(gone["slug"], pa.string()), asked["query_id"].to_numpy()
+    entries = blocks.Entries(tags["query_id"].map(number).to_numpy(np.int64), np.searchsorted(np.array(names, dtype=object), tags["tag"].to_numpy(dtype=object)), np.ones(len(tags)), len(asked))
+    of_hit: dict[str, list[int]] = {}
+    for slug, q in zip(gone["slug"], gone["query_id"].map(number), strict=True):
+        of_hit.setdefault(slug, []).append(int(q))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.small(batches):
+            vectors = batch.column(2)
+            known = pc.and_(pc.is_valid(vectors), pc.equal(pc.fill_null(pc.list_value_length(vectors), -1), dim)).to_numpy(zero_copy_only=False)
+            x = _unit(vectors.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, dim)))
+            rows, terms = blocks.listed(batch.column(3), vocabulary)
+            numbers, names_here = batch.column(1).to_numpy(), batch.column(0).to_pylist()
+            hit_rows = np.flatnonzero(pc.is_in(batch.column(0), value_set=slugs_gone).to_numpy(zero_copy_only=False))
+            for own, want, shares in entries.blocks():
+                fits = (blocks.dense(rows, terms, np.ones(len(rows)), batch.num_rows, want) @ shares > 0).T
+                for r in hit_rows:
+                    fits[[q - own.start for q in of_hit[names_here[r]] if own.start <= q < own.stop], r] = False
+                distance = np.full(fits.shape, np.inf)
+                if dim and len(x):
+                    near = np.round(1.0 - unit[own] @ x.T, DIGITS)
+                    distance[:, known] = np.where(np.isnan(near), np.inf, near)
+                q, at = blocks.k_smallest(np.where(fits, distance, np.nan), names_here, numbers, k)
+                d = distance[q, at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q + own.start]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(d, mask=np.isinf(d))], names=["query_id", "slug", "chunk_index", "distance"])
+
+    found = chunks.select(*CHUNK, "embedding", "tags").mapInArrow(search, _FOUND.format(kind=kind))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), *CHUNK)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -10,18 +10,28 @@ from corpus_jobs.operators import lexical, vectors
 from corpus_jobs.operators.embed import Loader, embed_texts
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, published_tags, visible_chunks
-from corpus_jobs.operators.sync import KEYS, changed_chunks, delete_stale_notes, sync_counts, upsert_notes
-from corpus_jobs.operators.tags import tag_neighbors
+from corpus_jobs.operators.sync import KEYS, changed_chunks, sync_counts
+from corpus_jobs.operators.tags import tag_neighbors, wanted_tags
 from corpus_jobs.params import Chunking, Embedding, Ranking
 from corpus_jobs.schemas import CHUNKS
 from corpus_jobs.sources.files import parse_notes
+from corpus_jobs.sources.shared import materialise
+
+#: So many hits (keys, ranks and scores of them) go to every task.
+FEW = 100_000
 
 
 def sync_notes(files: DataFrame, root: str, stored: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The new notes snapshot for a tree of files (path, raw), and one row with their number; notes without a file go."""
+    """The new notes snapshot for a tree of files (path, raw), and one row with their number; notes without a file go.
+
+    What upsert_notes and delete_stale_notes give together is one join from the files' side. Of the stored table it
+    reads the slugs, the dates of creation and what columns the files don't give.
+    """
     incoming = parse_notes(files, root)
-    notes = delete_stale_notes(upsert_notes(stored, incoming, now), incoming)
-    return notes, incoming.agg(F.count("*").alias("seeded"))
+    others = [c for c in stored.columns if c not in incoming.columns and c not in ("created_at", "updated_at")]
+    both = stored.select("slug", "created_at", *others).join(incoming, "slug", "right")
+    times = {"created_at": F.coalesce("created_at", now), "updated_at": now}
+    return both.withColumns(times).select(*stored.columns), files.agg(F.count("*").alias("seeded"))
 
 
 def check_embedding_dim(stored: DataFrame, dim: int) -> DataFrame:
@@ -53,11 +63,33 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of
     semantic = vectors.semantic_top_k(queries, visible, params.depth if params.top_k > 0 else 0)
     ranked = lexical.rank_lexical(queries, visible, params.depth if params.top_k > 0 else 0, params.k1, params.b)
     hits = reciprocal_rank_fusion(semantic, ranked, params.top_k, params.rrf_k, params.semantic_weight, params.lexical_weight)
-    return hits.join(visible.select(*KEYS, "heading", "text", "title", "url"), list(KEYS))
+    return with_texts(hits, visible)
+
 
+def with_texts(hits: DataFrame, visible: DataFrame) -> DataFrame:
+    """``hits`` (slug, chunk_index and what else) with the chunks' other columns but their vectors; few hits go to the chunks."""
+    kept = materialise(hits, "hits")
+    rest = visible.select(*(c for c in visible.columns if c != "embedding"))
+    return rest.join(F.broadcast(kept) if kept.count() <= FEW else kept, list(KEYS))
 
-def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int) -> DataFrame:
-    """The k nearest chunks of notes that share tags with a query's hits, with the tags they share."""
-    near = tag_neighbors(hits, published_tags(notes, as_of))
-    candidates = vectors.chunks_in_slugs(visible_chunks(chunks, notes, as_of), near)
-    return vectors.restricted_top_k(queries, candidates, k)
+
+def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The k nearest chunks of notes that share tags with a query's hits, with the tags they share.
+
+    Queries, their hits and the tags they want go to every task up to ``broadcast_bytes``: chunks are then scored where
+    they are read. Beyond that every query meets its candidates in a join, keys and vectors only. In either case texts
+    are joined to what was found.
+    """
+    shown, tagged = visible_chunks(chunks, notes, as_of), published_tags(notes, as_of)
+    hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
+    wanted = materialise(wanted_tags(hit, tagged), "wanted-tags")
+    size = sum(df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((hit, F.octet_length("slug") + 16), (wanted, F.octet_length("tag") + 24), (queries, F.coalesce(F.size("embedding"), F.lit(0)) * 8)))
+    candidates = shown.select(*KEYS, "embedding").join(tagged, "slug")
+    if k > 0 and size <= broadcast_bytes:
+        found = vectors.tagged_top_k(queries, wanted, hit, candidates, k)
+    else:
+        near = vectors.chunks_in_slugs(candidates.drop("tags"), tag_neighbors(hit, tagged).select("query_id", "slug"))
+        found = vectors.restricted_top_k(queries, near, k)
+    own = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))
+    shared = with_texts(found, shown.join(tagged, "slug")).join(own, "query_id")
+    return shared.withColumn("shared_tags", F.array_intersect("tags", "_wanted")).drop("tags", "_wanted")

@@ -89,6 +89,20 @@ stored AS (
 fresh AS (SELECT slug, chunk_index, sha256('{MODEL}' || chr(0) || text) AS content_hash FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'es')),
 changes AS (SELECT f.*, f.content_hash IS DISTINCT FROM s.content_hash AS is_changed FROM fresh f LEFT JOIN stored s USING (slug, chunk_index))"""
 
+#: Chunks of notes of two sections: a document's lines under one heading, and a short section merged into that.
+_NOTED = """
+body_lines AS (SELECT slug, i, l FROM lines UNION ALL
+    SELECT slug, n + j, ['More', 'short', 'tail'][j] FROM (SELECT d.slug, coalesce(max(i), 0) AS n FROM raw_lines d LEFT JOIN lines x USING (slug) GROUP BY d.slug), (SELECT unnest([1, 2, 3]) AS j)),
+body_packed AS (
+    SELECT slug, i, l, 0 AS chunk_index, length(l) AS size FROM body_lines WHERE i = 1
+    UNION ALL
+    SELECT n.slug, n.i, n.l, CASE WHEN p.size + 1 + length(n.l) > 2500 THEN p.chunk_index + 1 ELSE p.chunk_index END,
+           CASE WHEN p.size + 1 + length(n.l) > 2500 THEN length(n.l) ELSE p.size + 1 + length(n.l) END
+    FROM body_packed p JOIN body_lines n ON n.slug = p.slug AND n.i = p.i + 1),
+noted AS (
+    SELECT slug, doc_id, published, chunk_index, 'Main & first' AS heading, title || ' — Main & first' || chr(10) || chr(10) || piece AS text
+    FROM (SELECT slug, chunk_index, string_agg(l, chr(10) ORDER BY i) AS piece FROM body_packed GROUP BY slug, chunk_index) JOIN notes USING (slug))"""
+
 
 def _sql(body: str, *parts: str) -> str:
     return _WITH.replace("{fused}", ", ".join([*parts, "one AS (SELECT 1)"])) + "\n" + body
@@ -121,7 +135,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, tag, min(pos) AS pos FROM (SELECT doc_id, {_TAG.replace("{0}", "raw")} AS tag, pos FROM (SELECT doc_id, unnest({_RAW_TAGS}) AS raw, generate_subscripts({_RAW_TAGS}, 1) AS pos FROM documents))
             WHERE tag <> '' GROUP BY doc_id, tag) GROUP BY doc_id""",
     "codec_round_trip": _sql("""
-        SELECT slug, '["' || array_to_string(tags, '","') || '"]' AS tags_json, CASE WHEN published THEN len(tags) ELSE 0 END AS n_tags, true AS same_vector FROM notes JOIN embeddings ON vec_id = doc_id"""),
+        SELECT slug, '["' || array_to_string(tags, '","') || '"]' AS tags_json, CASE WHEN published THEN len(tags) ELSE 0 END AS n_tags, true AS same_vector, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE coalesce(len(embedding), -1) END AS n_numbers FROM notes LEFT JOIN embeddings ON vec_id = doc_id"""),
     "canonical_slug": _sql(f"SELECT doc_id, slug || CASE WHEN doc_id % 3 = 1 THEN '.html' ELSE '' END AS slug, url, '{_SITE}' || url AS source_url FROM notes"),
     "normalize_text": _sql("SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM documents LEFT JOIN lines USING (doc_id) GROUP BY doc_id"),
     "split_long_text": _sql("SELECT slug, chunk_index, text FROM chunks"),
@@ -153,6 +167,23 @@ ORACLE_SQL: dict[str, str] = {
     "delete_stale_chunk_slugs": _sql("SELECT slug, chunk_index FROM stored WHERE slug IN (SELECT slug FROM notes WHERE published)", _CHANGES),
     "delete_chunk_tail": _sql("""
         SELECT s.* FROM stored s LEFT JOIN (SELECT slug, count(*) AS n FROM fresh GROUP BY slug) f USING (slug) WHERE n IS NULL OR chunk_index < n""", _CHANGES),
+    "html_sections": f"""
+        WITH plain AS (
+            SELECT page_id, regexp_replace(regexp_replace(replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>'), '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<![^>]*>', '', 'g'),
+                   '</?(p|li|ul|ol|pre|blockquote|figure|figcaption|table|tr)(\\s[^>]*)?>', chr(10), 'g') AS h FROM pages),
+        parts AS (
+            SELECT page_id, 0 AS pos, NULL AS heading, split_part(h, '<h2>', 1) AS body FROM plain
+            UNION ALL SELECT page_id, 1, split_part(split_part(h, '<h2>', 2), '</h2>', 1), split_part(h, '</h2>', 2) FROM plain WHERE contains(h, '<h2>')),
+        decoded AS (
+            SELECT page_id, pos, list_transform([heading, body], lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS x FROM parts),
+        lines AS (SELECT page_id, pos, i, trim(regexp_replace(l, '{SPACE}+', ' ', 'g')) AS l FROM (SELECT page_id, pos, unnest(string_split(x[2], chr(10))) AS l, generate_subscripts(string_split(x[2], chr(10)), 1) AS i FROM decoded)),
+        texts AS (SELECT page_id, pos, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (l <> ''), '') AS text FROM lines GROUP BY page_id, pos),
+        found AS (SELECT page_id, pos, regexp_replace(x[1], '^{SPACE}+|{SPACE}+\\z', '', 'g') AS heading, text FROM decoded JOIN texts USING (page_id, pos))
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, nullif(heading, '') AS heading, text FROM found WHERE text <> '' OR coalesce(heading, '') <> ''""",
+    "chunk_notes": _sql("SELECT slug, chunk_index, heading, text FROM noted", _NOTED),
+    "sync_chunks": _sql(f"""
+        SELECT slug, chunk_index, sha256('{MODEL}' || chr(0) || text) AS content_hash, 32 AS dim, CASE WHEN edited THEN '2024-03-01' WHEN edited IS NULL THEN '2024-03-01' ELSE '2024-01-01' END AS updated
+        FROM noted LEFT JOIN known USING (doc_id) WHERE published""", _NOTED, _CHANGES),
     "lexical_index": _sql("SELECT term, slug, chunk_index, tf, doc_len FROM postings"),
     "corpus_stats": _sql("SELECT n_chunks, round(avg_len, 9) AS avg_len FROM stats"),
     "document_frequencies": _sql("SELECT term, df FROM freq"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from corpus_jobs.plans.tables import AS_OF, MODEL
 from corpus_jobs.schemas import CHUNKS, NOTES
 from corpus_jobs.sources import codecs
 from corpus_jobs.sources.files import parse_notes as parsed
+from corpus_jobs.sources.files import read_note_files
+from corpus_jobs.sources.shared import materialise
 
 Q = {}
 SITE = "https://notes.example"
@@ -36,11 +40,12 @@ def _joined(c):
 
 @query
 def parse_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Note files written out from the documents, then read back: front matter, defaults, tags, slugs."""
+    """A file per document, written to a tree in shared storage and read back: front matter, defaults, tags, slugs."""
     n = t.notes(spark, d)
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), "title"), F.when(F.col("doc_id") % 3 == 0, F.lit("heading:  Other: heading ")), F.lit(""), F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("date:"), "date"), F.when(~F.col("published"), F.lit("published: False")), F.concat(F.lit("tags: "), F.concat_ws(" , ", F.transform("tags", F.upper)), F.lit(", ,Odd  Tag")), F.lit("---\n"))
-    files = n.select(F.concat(F.lit("/root/tree/"), "slug", F.lit(".html")).alias("path"), F.concat(head, F.lit("\n "), "content_html", F.lit(" \n")).alias("raw"))
-    out = parsed(files, "/root/tree")
+    files = n.select(F.concat("slug", F.lit(".html")).alias("path"), F.concat(head, F.lit("\n "), "content_html", F.lit(" \n")).alias("raw"))
+    root = t.note_files(spark, files)
+    out = parsed(read_note_files(spark, root), urlsplit(root).path)
     return out.select("slug", "url", "title", "heading", "list_title", "description", "lang", "category", "date", "date_text", F.md5(F.col("content_html").cast("binary")).alias("content_md5"), "published", _joined("tags").alias("tags"))
 
 
@@ -63,8 +68,10 @@ def normalize_tags(spark, d):
 
 @query
 def codec_round_trip(spark, d):
-    n = t.notes(spark, d).join(t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-    return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), (codecs.decode_vector(codecs.encode_vector(F.col("embedding"))) == F.col("embedding")).alias("same_vector"))
+    """Tags of all notes; vectors of those whose number is a vector's, of the others a null one, and an empty one for some."""
+    n = t.notes(spark, d).join(t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    n = n.withColumn("embedding", F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")))
+    return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), codecs.decode_vector(codecs.encode_vector(F.col("embedding"))).eqNullSafe(F.col("embedding")).alias("same_vector"), F.size(codecs.decode_vector(codecs.encode_vector(F.col("embedding")))).alias("n_numbers"))
 
 
 @query
@@ -124,13 +131,15 @@ def format_excerpts(spark, d):
 
 @query
 def html_sections(spark, d):
-    return t.table(spark, d, "pages").select("page_id", F.posexplode(sections_of(F.col("html"))).alias("pos", "s")).select("page_id", "pos", "s.heading", "s.text")
+    """Sections of all pages, whose first heading is taken for one of those that part sections."""
+    html = F.regexp_replace("html", "(?<=</?)h1>", "h2>")
+    return t.table(spark, d, "pages").select("page_id", F.posexplode(sections_of(html)).alias("pos", "s")).select("page_id", "pos", "s.heading", "s.text")
 
 
 @query
 def chunk_notes(spark, d):
-    pages = t.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("title"), F.col("url").alias("heading"), F.col("html").alias("content_html"))
-    return notes.chunk_notes(pages)
+    """Every document as a note of two sections, the second of which is merged into the first before that is split."""
+    return notes.chunk_notes(t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html"))))
 
 
 @query
@@ -231,8 +240,8 @@ def delete_chunk_tail(spark, d):
 
 
 def _titled(spark, d):
-    """The visible chunks, a table of its own in practice; kept for reading again."""
-    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF).persist()
+    """The visible chunks."""
+    return notes.visible_chunks(t.chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF)
 
 
 @query
@@ -252,7 +261,7 @@ def document_frequencies(spark, d):
 
 @query
 def bm25_scores(spark, d):
-    tokens, terms = lexical.tokenized(_titled(spark, d)), lexical.query_terms(t.questions(spark, d))
+    tokens, terms = lexical.tokenized(materialise(_titled(spark, d), "chunks")), lexical.query_terms(t.questions(spark, d))
     distinct = terms.select("term").distinct()
     stats, frequencies = lexical.term_statistics(tokens, distinct)
     scores = lexical.bm25_scores(terms, lexical.lexical_index(tokens, distinct), stats, frequencies)
@@ -277,23 +286,27 @@ def semantic_top_k(spark, d):
 
 @query
 def reciprocal_rank_fusion(spark, d):
-    asked = t.questions(spark, d)
-    first = vectors.semantic_top_k(asked, t.embedded_chunks(spark, d), Ranking().depth)
-    second = lexical.rank_lexical(asked, _titled(spark, d), Ranking().depth)
+    asked, chunks = t.questions(spark, d), t.embedded_chunks(spark, d)
+    first = vectors.semantic_top_k(asked, chunks, Ranking().depth)
+    second = lexical.rank_lexical(asked, notes.visible_chunks(chunks, t.notes(spark, d), AS_OF), Ranking().depth)
     return fuse(first, second, Ranking().top_k).select("query_id", "rank", "slug", "chunk_index", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"))
 
 
-def _hits(spark, d):
-    return jobs.hybrid_search(t.questions(spark, d), t.embedded_chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF)
+def _hits(spark, d, chunks):
+    return jobs.hybrid_search(t.questions(spark, d), chunks, t.notes(spark, d), AS_OF)
 
 
-def _related(spark, d, hits):
-    return jobs.expand_neighbors(t.questions(spark, d), hits, t.embedded_chunks(spark, d).drop("doc_id"), t.notes(spark, d), AS_OF, Ranking().related_k)
+def _hits_and_related(spark, d):
+    """Both written, as what follows reads them several times."""
+    chunks = t.embedded_chunks(spark, d)
+    hits = materialise(_hits(spark, d, chunks), "hits")
+    related = jobs.expand_neighbors(t.questions(spark, d), hits, chunks, t.notes(spark, d), AS_OF, Ranking().related_k)
+    return hits, materialise(related, "related")
 
 
 @query
 def hybrid_search(spark, d):
-    return _hits(spark, d).select("query_id", "rank", "slug", "chunk_index", "title", "url", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), F.length("text").alias("chars"))
+    return _hits(spark, d, t.embedded_chunks(spark, d)).select("query_id", "rank", "slug", "chunk_index", "title", "url", F.round("score", 9).alias("score"), F.round("distance", 6).alias("distance"), F.length("text").alias("chars"))
 
 
 @query
@@ -330,20 +343,18 @@ def sync_notes(spark, d):
 
 @query
 def expand_neighbors(spark, d):
-    return _related(spark, d, _hits(spark, d)).select("query_id", "rank", "slug", "chunk_index", F.round("distance", 6).alias("distance"), _joined("shared_tags").alias("shared_tags"))
+    return _hits_and_related(spark, d)[1].select("query_id", "rank", "slug", "chunk_index", F.round("distance", 6).alias("distance"), _joined("shared_tags").alias("shared_tags"))
 
 
 @query
 def distinct_sources(spark, d):
-    hits = _hits(spark, d)
-    return dialogs.distinct_sources(hits, _related(spark, d, hits), SITE)
+    return dialogs.distinct_sources(*_hits_and_related(spark, d), SITE)
 
 
 @query
 def build_prompts(spark, d):
     """Prompts of all valid conversations, whose number is also a benchmark query's where there is one."""
-    hits = _hits(spark, d)
-    out = dialogs.build_prompts(t.table(spark, d, "conversations"), hits, _related(spark, d, hits), Dialogs(site=SITE))
+    out = dialogs.build_prompts(t.table(spark, d, "conversations"), *_hits_and_related(spark, d), Dialogs(site=SITE))
     return out.select("conv_id", "sources_json", F.size("messages").alias("n_messages"), F.md5(F.get("messages", F.lit(0))["content"].cast("binary")).alias("system_md5"), F.md5(F.array_join(F.transform(F.slice("messages", 2, 100), lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").cast("binary")).alias("history_md5"))
 
 
@@ -355,11 +366,13 @@ def embed_texts(spark, d):
 
 @query
 def sync_chunks(spark, d):
-    pages = t.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("title"), F.col("url").alias("heading"), F.col("html").alias("content_html"), (F.length("html") < 8000).alias("published"))
+    """Notes of two sections meet a stored table of those with labels; edited ones have another hash there."""
     load, params, then = hashing_embedder(32), Embedding(MODEL, 32), F.lit("2024-01-01 00:00:00").cast("timestamp")
-    old = notes.chunk_notes(pages.where(F.length("content_html") > 2000))
-    stored = embed(old.withColumn("content_hash", text.chunk_hash(F.col("text"), MODEL)), "text", load, 32).withColumn("updated_at", then)
-    chunks, _ = jobs.sync_chunks(pages, stored.select(*CHUNKS.fieldNames()), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
+    n = t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html")))
+    old = notes.chunk_notes(n).join(n.join(t.known_before(spark, d), "doc_id").select("slug", "edited"), "slug")
+    digest = text.chunk_hash(F.when(F.col("edited"), F.concat(F.lit("old "), "text")).otherwise(F.col("text")), MODEL)
+    stored = old.withColumns({"content_hash": digest, "embedding": F.array_repeat(F.lit(0.5).cast("float"), 32), "updated_at": then})
+    chunks, _ = jobs.sync_chunks(n, stored.select(*CHUNKS.fieldNames()), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
     return chunks.select("slug", "chunk_index", "content_hash", F.size("embedding").alias("dim"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 

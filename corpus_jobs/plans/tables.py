@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_jobs.functions.chunking import split_long_text
 from corpus_jobs.functions.text import let, normalize_text
+from corpus_jobs.sources.shared import materialise, shared_dir
 
 #: The day on which the notes are looked at: those of the last days are still to come.
 AS_OF = "2024-02-20"
@@ -18,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out to all cores where its files give fewer tasks than that; large inputs stay as they are."""
+    """``df`` dealt out to all cores where its files are too few and too small for that; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +57,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks with the embedding of their document's number at the first chunk, and none elsewhere; kept for reading again."""
+    """A written table of the chunks, with the embedding of their document's number at the first chunk and none elsewhere."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
-    return chunks(spark, sf_dir).join(vectors, ["doc_id", "chunk_index"], "left").persist()
+    return materialise(chunks(spark, sf_dir).join(vectors, ["doc_id", "chunk_index"], "left").drop("doc_id"), "chunks")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +80,29 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = rows.withColumn("text", F.when(F.col("edited"), F.concat(F.lit("old "), F.col("text"))).otherwise(F.col("text"))).drop("edited")
     last = rows.where("edited").groupBy("slug", "heading", "doc_id").agg((F.max("chunk_index") + 1).alias("chunk_index")).withColumn("text", F.lit("gone"))
     return now.unionByName(last).select("slug", "chunk_index", "heading", "text", F.sha2(F.concat(F.lit(MODEL), F.lit("\0"), F.col("text")), 256).alias("content_hash"), "doc_id")
+
+
+def note_files(spark: SparkSession, files: DataFrame) -> str:
+    """Write every row of ``files`` (path, raw) as a file below a new folder of the shared storage, in tasks; gives the folder."""
+    root = shared_dir(spark, "notes")
+
+    def written(batches):
+        from pyarrow.fs import FileSystem
+
+        store, base = FileSystem.from_uri(root)
+        for batch in batches:
+            for path, raw in zip(batch["path"].to_pylist(), batch["raw"].to_pylist(), strict=True):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0])
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(raw.encode())
+            yield batch.select(["path"]).slice(0, 0)
+
+    files.select("path", "raw").mapInArrow(written, "path string").count()
+    return root
+
+
+def note_html(c: Column) -> Column:
+    """A body of two sections: the text's lines under one heading, and a short one, whose heading has a smaller rank."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return F.concat(F.lit("<h2>Main &amp; first</h2><script>var x = '</p><h2>no</h2>';</script><p>"), c, F.lit("</p><h3>More</h3><ul><li>short</li><li>tail</li></ul>"))

@@ -31,7 +31,8 @@ def test_bm25_by_hand(spark):
     assert lexical.rank_lexical(queries, chunks.where("false"), 5).count() == 0
 
 
-def test_bm25_against_plain_python(spark):
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_bm25_against_plain_python(spark, bound):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(12)]
     data = [(f"s{i % 7}", i // 7, "T", "h", " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)]
@@ -48,8 +49,9 @@ def test_bm25_against_plain_python(spark):
             if s:
                 scores.append((-round(s, 10), *key))
         want += [(q, r + 1, s, i) for r, (_, s, i) in enumerate(sorted(scores)[:5])]
-    chunks = spark.createDataFrame(data, "slug string, chunk_index int, title string, heading string, text string")
-    assert ranked(lexical.rank_lexical(spark.createDataFrame(asked, "query_id long, text string"), chunks, 5), "slug", "chunk_index") == want
+    chunks = spark.createDataFrame(data, "slug string, chunk_index int, title string, heading string, text string").repartition(3)
+    got = lexical.rank_lexical(spark.createDataFrame(asked, "query_id long, text string"), chunks, 5, broadcast_bytes=bound)
+    assert ranked(got, "slug", "chunk_index") == want
 
 
 @pytest.mark.parametrize("bound", [32 << 20, 0])
@@ -105,6 +107,32 @@ def test_search_and_widening(spark):
     assert jobs.hybrid_search(asked, chunks, notes, "2025", Ranking(top_k=0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_widening_against_plain_python(spark, bound):
+    rng, data = random.Random(5), np.random.default_rng(2)
+    tagged = [(f"s{i}", f"/n/{i}", f"T{i}", i % 9 != 4, "2024", rng.sample("abcdefghij", rng.randint(0, 3)) if i % 8 else None) for i in range(60)]
+    vectors = {(f"s{i}", j): None if (i + j) % 5 == 0 else [0.0] * 4 if (i + j) % 11 == 0 else data.standard_normal(4).astype(np.float32).tolist() for i in range(60) for j in range(2)}
+    notes = spark.createDataFrame(tagged, "slug string, url string, title string, published boolean, date string, tags array<string>")
+    chunks = spark.createDataFrame([(s, j, "h", f"text {s} {j}", v) for (s, j), v in vectors.items()], "slug string, chunk_index int, heading string, text string, embedding array<float>").repartition(3)
+    asked = {q: None if q == 3 else data.standard_normal(4).astype(np.float32).tolist() for q in range(6)}
+    hits = [(q, f"s{rng.randrange(60)}") for q in range(5) for _ in range(3)] + [(5, "gone")]
+    got = jobs.expand_neighbors(spark.createDataFrame(list(asked.items()), "query_id long, embedding array<float>"), spark.createDataFrame(hits * 2, "query_id long, slug string"), chunks, notes, "2025", 4, broadcast_bytes=bound)
+    assert set(got.columns) == {"query_id", "slug", "chunk_index", "heading", "text", "title", "url", "shared_tags", "distance", "rank"}
+    shown = {s: t or [] for s, _, _, published, _, t in tagged if published}
+    want = []
+    for q, vector in asked.items():
+        own = {s for a, s in hits if a == q}
+        tags = {x for s in own for x in shown.get(s, [])}
+        found = []
+        for (s, j), v in vectors.items():
+            if s in shown and s not in own and tags & set(shown[s]):
+                good = vector is not None and v is not None and any(v)
+                a, b = np.array(vector if good else [1.0]), np.array(v if good else [1.0])
+                found.append((round(1 - float(a @ b) / float(np.linalg.norm(a) * np.linalg.norm(b)), 9) if good else math.inf, s, j))
+        want += [(q, r + 1, s, j, [x for x in shown[s] if x in tags], f"text {s} {j}") for r, (_, s, j) in enumerate(sorted(found)[:4])]
+    assert ranked(got, "slug", "chunk_index", "shared_tags", "text") == want and len(want) > 12
+
+
 def talk(spark, *messages):
     return spark.createDataFrame([(c, i, r, t) for c, turns in messages for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
 

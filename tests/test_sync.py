@@ -84,3 +84,18 @@ def test_embedder_is_batched_and_checked(spark):
     with pytest.raises(ValueError):
         embed_texts(df, "t", load, 2, "other")
     assert embed_texts(df.where("false"), "t", load, 2).count() == 0
+
+
+def test_the_test_embedder_against_plain_python(spark):
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    texts = ["a b a C", "", "one", "b a", "é é é x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in embed_texts(df, "t", hashing_embedder(8), 8).collect():
+        v = [0.0] * 8
+        for word in texts[r["i"]].lower().split():
+            h = xxh64_intdigest(word.encode())
+            v[h % 8] += 1 if h >= 1 << 63 else -1
+        v[0] += not any(v)
+        assert r["embedding"] == pytest.approx((np.array(v) / np.linalg.norm(v)).tolist(), abs=1e-6)

@@ -23,6 +23,17 @@ def test_normalize_text(spark, raw):
     assert one(spark, text.normalize_text(F.lit(raw))) == "\n".join(line for line in lines if line)
 
 
+def test_normalize_random_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    raws = ["".join(rng.choice("ab \n\t\r\x0b\x1c\x85\u00a0\u2003\u200b  ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, t string").select("t", text.normalize_text(F.col("t")).alias("n"))
+    for r in df.collect():
+        lines = [" ".join(line.split()) for line in r["t"].split("\n")]
+        assert r["n"] == "\n".join(line for line in lines if line)
+
+
 def test_every_space_character_is_stripped(spark):
     spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
     assert one(spark, text.strip(F.lit(spaces + "a b" + spaces))) == "a b"
@@ -100,6 +111,24 @@ def test_folds_against_plain_ones(spark):
         assert r["p"] == fold_lines(body, 300)
 
 
+def test_many_lines_are_merged_and_split_in_linear_time(spark):
+    import time
+
+    lines = [f"line {i}" for i in range(100_000)]
+    df = spark.createDataFrame([([("H", x) for x in lines], "\n".join(lines))], "s array<struct<heading:string,text:string>>, t string")
+    start = time.time()
+    r = df.select(merge_small_sections(F.col("s")).alias("m"), split_long_text(F.col("t")).alias("p")).first()
+    assert time.time() - start < 30
+    assert len(r["m"]) == 1 and r["m"][0]["text"] == lines[0] + "".join(f"\nH\n{x}" for x in lines[1:])
+    assert "\n".join(r["p"]) == "\n".join(lines) and max(map(len, r["p"])) <= 2500
+
+
+def test_empty_lines_at_the_start_of_pieces_go(spark):
+    df = spark.createDataFrame([("\n\nab\n\ncd\n\n\nefgh",), ("\n" * 9,)], "t string")
+    got = [r["p"] for r in df.select(split_long_text(F.col("t"), 6).alias("p")).collect()]
+    assert got == [["ab\n\ncd", "efgh"], []]
+
+
 def test_long_sections_are_split_with_their_prefix(spark):
     body = "\n".join("p" * 600 for _ in range(8))
     df = spark.createDataFrame([([("", body)],)], "s array<struct<heading:string,text:string>>")
