@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm.common import with_locator
+from corpus_jobs.llm.common import unused, with_locator
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -108,9 +108,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     them is in it. As neighbours of others they are rows of their own, so their id can take several ranks. Rows are dealt
     to blocks by their place in the files, so neither a common id nor a common vector meets in one block.
     """
-    n, row = F.size("v").alias("n"), F.xxhash64("_locator").alias("row")
-    placed = with_locator(vectors)
-    rows = valid_vectors(placed, id_col, vector_col, ("_locator",)).select("id", "v", n, row)
+    n, place = F.size("v").alias("n"), unused(vectors, "_locator")
+    placed = with_locator(vectors, place)
+    rows = valid_vectors(placed, id_col, vector_col, (place,)).select("id", "v", n, F.xxhash64(place).alias("row"))
     queries = valid_vectors(placed.where(is_query), id_col, vector_col).select("id", "v", n).distinct()
 
     def parts(of: DataFrame, size: int, name: str) -> DataFrame:

@@ -95,10 +95,11 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: s
     Keys of more rows than a share of 1 in ``most_hot`` (so there are fewer of them) aren't shuffled: their side of the
     join goes to every task. Both sides are read twice where there are such keys.
     """
-    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    hot = F.col(count) > max(256, total // most_hot)
-    if keyed.where(hot).isEmpty():
+    total, most = keyed.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
+    least = max(256, total // most_hot)
+    if most <= least:
         return rows.join(keyed, key, how)
+    hot = F.col(count) > least
     some = F.broadcast(keyed.where(hot))
     return rows.join(some, key).unionByName(rows.join(some.select(key), key, "left_anti").join(keyed.where(~hot), key, how))
 

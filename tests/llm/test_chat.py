@@ -40,5 +40,11 @@ def test_nulls_ties_repeats_and_long_conversations(spark):
     assert hashlib.sha256(got[3]["loss"].encode()).hexdigest() and len(got[3]["turns"]) == 700
 
 
+def test_very_long_texts(spark):
+    hard = "x<|é" * 500_000
+    got = back(rows(spark, (1, 0, "user", hard), (1, 1, "assistant", hard + "!")))[1]
+    assert [t["text"] for t in got["turns"]] == [hard, hard + "!"] and got["loss"] == hard + "!"
+
+
 def test_empty_table(spark):
     assert chat.format_chats(rows(spark).where("false")).count() == 0

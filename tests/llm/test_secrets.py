@@ -115,3 +115,11 @@ def test_many_matches_and_empty_table(spark):
     (found,) = scan(spark, [text])
     assert [(f["start"], f["end"]) for f in found] == [(15 * i, 15 * i + 14) for i in range(700)]
     assert scan(spark, ["x"]) == [[]]
+
+
+def test_very_long_text(spark):
+    key = "q7Zk2Lm9Xw4Rt8Vb3Nc6Yd1Pf5Hg0Js"
+    text = "plain words " * 100_000 + f"token=abcdefgh1 {key} " + "deadbeef" * 5 + " more words" * 50_000
+    (found,) = scan(spark, [text])
+    assert [(f["kind"], f["start"], f["end"]) for f in found if f["kind"] in secrets.BASE_KINDS] == base_spans(text)
+    assert any(f["kind"] == "entropy_base64" and text[f["start"] : f["end"]] == key for f in found)

@@ -35,6 +35,13 @@ def test_round_trip(spark, broadcast_rows):
     assert sorted(again, key=str) == sorted([(1, 9), (2, 9), (None, 9), (9, 9), (3, 4)], key=str)
 
 
+def test_very_long_payloads(spark):
+    pages = [(1, "u", "é<p>" * 600_000), (2, "u", "é<p>" * 600_000), (3, "u", "WARC/1.1\r\n" * 50_000)]
+    got = {r["page_id"]: r for r in warc.read(spark, written(spark, pages)).collect()}
+    assert [got[i]["record_type"] for i in (1, 2, 3)] == ["revisit", "response", "response"]
+    assert all(bytes(got[i]["payload"]).decode() == text for i, _, text in pages[1:])
+
+
 def test_version_at_the_end_of_payloads_chunks_and_segments(spark):
     version = "WARC/1.1"
     ends = [version, "z" * 1500 + version, "z" * (4096 - len(version)) + version + "z" * 100, version * 700]
