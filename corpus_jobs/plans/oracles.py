@@ -175,7 +175,7 @@ ORACLE_SQL: dict[str, str] = {
             SELECT page_id, 0 AS pos, NULL AS heading, split_part(h, '<h2>', 1) AS body FROM plain
             UNION ALL SELECT page_id, 1, split_part(split_part(h, '<h2>', 2), '</h2>', 1), split_part(h, '</h2>', 2) FROM plain WHERE contains(h, '<h2>')),
         decoded AS (
-            SELECT page_id, pos, list_transform([heading, body], lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS x FROM parts),
+            SELECT page_id, pos, list_transform([heading, body], lambda x: replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&amp;', '&')) AS x FROM parts),
         lines AS (SELECT page_id, pos, i, trim(regexp_replace(l, '{SPACE}+', ' ', 'g')) AS l FROM (SELECT page_id, pos, unnest(string_split(x[2], chr(10))) AS l, generate_subscripts(string_split(x[2], chr(10)), 1) AS i FROM decoded)),
         texts AS (SELECT page_id, pos, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (l <> ''), '') AS text FROM lines GROUP BY page_id, pos),
         found AS (SELECT page_id, pos, regexp_replace(x[1], '^{SPACE}+|{SPACE}+\\z', '', 'g') AS heading, text FROM decoded JOIN texts USING (page_id, pos))

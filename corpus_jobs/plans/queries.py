@@ -71,7 +71,7 @@ def codec_round_trip(spark, d):
     """Tags of all notes; vectors of those whose number is a vector's, of the others a null one, and an empty one for some."""
     n = t.notes(spark, d).join(t.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     n = n.withColumn("embedding", F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")))
-    return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), codecs.decode_vector(codecs.encode_vector(F.col("embedding"))).eqNullSafe(F.col("embedding")).alias("same_vector"), F.size(codecs.decode_vector(codecs.encode_vector(F.col("embedding")))).alias("n_numbers"))
+    return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), codecs.decode_vector(codecs.encode_vector(F.col("embedding"))).eqNullSafe(F.col("embedding")).alias("same_vector"), F.coalesce(F.size(codecs.decode_vector(codecs.encode_vector(F.col("embedding")))), F.lit(-1)).alias("n_numbers"))
 
 
 @query
