@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a regular expression's character class.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: The same without the line feed, and without the line feed and the space.
-_BLANK = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
-_ODD = _BLANK.replace(r"\x1c-\x20", r"\x1c-\x1f")
+#: Its characters but the line feed and the space.
+_ODD = "".join(map(chr, (0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Characters whose case folding has ASCII letters and differs from their lower case.
 _FOLDED = "ßſŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 TOKEN = r"[a-z0-9]+(?:[._:/-][a-z0-9]+)*"
@@ -27,7 +26,7 @@ def strip(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Every line collapsed; empty lines go. Only what is to change is matched, so most texts are just looked through."""
-    lines = F.regexp_replace(c, rf"\x20{_BLANK}+|{_ODD}{_BLANK}*", " ")
+    lines = F.regexp_replace(F.translate(c, _ODD, " " * len(_ODD)), "  +", " ")
     return F.btrim(F.regexp_replace(lines, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
 
 
@@ -48,7 +47,7 @@ def casefold(c: Column) -> Column:
     folded = low
     for ch in _FOLDED:
         folded = F.replace(folded, F.lit(ch), F.lit(ch.casefold()))
-    return F.when(low.rlike(f"[{_FOLDED}]"), folded).otherwise(low)
+    return F.when(F.translate(low, _FOLDED, "") != low, folded).otherwise(low)
 
 
 def lexical_tokens(c: Column) -> Column:

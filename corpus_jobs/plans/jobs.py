@@ -9,7 +9,7 @@ from corpus_jobs.functions.text import chunk_hash
 from corpus_jobs.operators import lexical, vectors
 from corpus_jobs.operators.embed import Loader, embed_texts
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
-from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, published_tags, visible_chunks
+from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, published_tags, visible_chunks, visible_notes
 from corpus_jobs.operators.sync import KEYS, changed_chunks, sync_counts
 from corpus_jobs.operators.tags import tag_neighbors, wanted_tags
 from corpus_jobs.params import Chunking, Embedding, Ranking
@@ -63,14 +63,21 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of
     semantic = vectors.semantic_top_k(queries, visible, params.depth if params.top_k > 0 else 0)
     ranked = lexical.rank_lexical(queries, visible, params.depth if params.top_k > 0 else 0, params.k1, params.b)
     hits = reciprocal_rank_fusion(semantic, ranked, params.top_k, params.rrf_k, params.semantic_weight, params.lexical_weight)
-    return with_texts(hits, visible)
+    return with_texts(hits, chunks, notes, as_of)
 
 
-def with_texts(hits: DataFrame, visible: DataFrame) -> DataFrame:
-    """``hits`` (slug, chunk_index and what else) with the chunks' other columns but their vectors; few hits go to the chunks."""
+def with_texts(hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, *others: str) -> DataFrame:
+    """``hits`` (slug, chunk_index and what else) with the chunks' columns but their vectors, and their notes' title, url and ``others``.
+
+    Few hits go to the chunks and the notes, so that neither is shuffled.
+    """
     kept = materialise(hits, "hits")
-    rest = visible.select(*(c for c in visible.columns if c != "embedding"))
-    return rest.join(F.broadcast(kept) if kept.count() <= FEW else kept, list(KEYS))
+    rows = chunks.select(*(c for c in chunks.columns if c != "embedding"))
+    shown = visible_notes(notes, as_of).select("slug", "title", "url", *others)
+    if kept.count() <= FEW:
+        kept = F.broadcast(kept)
+        shown = shown.join(F.broadcast(kept.select("slug").distinct()), "slug", "left_semi")
+    return rows.join(kept, list(KEYS)).join(shown, "slug")
 
 
 def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -80,16 +87,16 @@ def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, not
     they are read. Beyond that every query meets its candidates in a join, keys and vectors only. In either case texts
     are joined to what was found.
     """
-    shown, tagged = visible_chunks(chunks, notes, as_of), published_tags(notes, as_of)
+    tagged = published_tags(notes, as_of)
     hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
     wanted = materialise(wanted_tags(hit, tagged), "wanted-tags")
     size = sum(df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((hit, F.octet_length("slug") + 16), (wanted, F.octet_length("tag") + 24), (queries, F.coalesce(F.size("embedding"), F.lit(0)) * 8)))
-    candidates = shown.select(*KEYS, "embedding").join(tagged, "slug")
+    candidates = chunks.select(*KEYS, "embedding").join(tagged, "slug")
     if k > 0 and size <= broadcast_bytes:
         found = vectors.tagged_top_k(queries, wanted, hit, candidates, k)
     else:
         near = vectors.chunks_in_slugs(candidates.drop("tags"), tag_neighbors(hit, tagged).select("query_id", "slug"))
         found = vectors.restricted_top_k(queries, near, k)
     own = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))
-    shared = with_texts(found, shown.join(tagged, "slug")).join(own, "query_id")
+    shared = with_texts(found, chunks, notes, as_of, "tags").join(own, "query_id")
     return shared.withColumn("shared_tags", F.array_intersect("tags", "_wanted")).drop("tags", "_wanted")
