@@ -12,7 +12,9 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import groupby
 from struct import pack
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpus_jobs.llm.common import small_batches, stretches
+from corpus_jobs.llm.common import small, stretches, unused
 
 _SPACE = "▁"
 _UNITS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
@@ -37,13 +39,16 @@ def codec(path: str) -> PieceCodec:
 
 
 class PieceCodec:
-    """Encodes and decodes by a SentencePiece BPE model; keeps twice ``keep`` words at most, the latest ones."""
+    """Encodes and decodes by a SentencePiece BPE model; keeps twice ``keep`` words at most, the latest ones.
 
-    def __init__(self, path: str, keep: int = 300_000):
+    Words of more than ``long`` characters are parted first (see _encode_long), and never kept.
+    """
+
+    def __init__(self, path: str, keep: int = 300_000, long: int = 256):
         from sentencepiece import SentencePieceProcessor
 
         self.model = m = SentencePieceProcessor(model_file=path)
-        self.keep, self.known, self.older = keep, {}, {}
+        self.keep, self.long, self.known, self.older = keep, long, {}, {}
         size = m.vocab_size()
         names = [m.id_to_piece(i) for i in range(size)]
         plain = [i for i in range(size) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
@@ -110,32 +115,100 @@ class PieceCodec:
         table[places[order[entry]], self.lengths[piece] - 1] = piece  # the edges, in order of position
         return table, starts, lengths, joined
 
-    def _relax_long(self, table: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
-        """The tokens (position, length) of one long word, with a heap of its edges."""
-        after = {start + i: start + i + 1 for i in range(length)}
-        before = {start + i + 1: start + i for i in range(length)}
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if b in after and after[b] - a <= self.longest and (piece := table[a, after[b] - a - 1]) >= 0:
-                heapq.heappush(heap, (int(self.rank[piece]), a, b, after[b]))
-
-        for i in range(length - 1):
-            offer(start + i, start + i + 1)
-        while heap:
-            _, a, b, c = heapq.heappop(heap)
-            if after.get(a) != b or after.get(b) != c:
+    def _occurrences(self, text: str, window: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, length, piece row) of all occurrences in a long text, in order, from overlapping windows."""
+        found: tuple[list, list, list] = ([], [], [])
+        for at in range(0, len(text), window):
+            table = self._edges([text[at : at + window + self.longest - 1]])[0][: min(window, len(text) - at)]
+            place, length = np.nonzero(table >= 0)
+            for parts, part in zip(found, ((place + at).astype(np.int32), (length + 1).astype(np.int8), table[place, length]), strict=True):
+                parts.append(part)
+        whole = []
+        for parts in found:
+            whole.append(np.concatenate(parts))
+            parts.clear()
+        return tuple(whole)
+
+    def _relax_long(self, place: np.ndarray, size: np.ndarray, piece: np.ndarray, n: int) -> tuple[array, array]:
+        """The tokens (position, piece row or -1) of a text of n characters: its edges in order of rank, then position.
+
+        Edges between characters are sorted once; those that appear later wait in a heap. Some 50 bytes a character.
+        """
+        first = array("i", np.searchsorted(place, np.arange(n + 1)).astype(np.int32).tobytes())
+        sizes, pieces, rank = array("b", size.tobytes()), array("i", piece.astype(np.int32).tobytes()), self.rank.tolist()
+        pairs = size == 2
+        start = np.sort((self.rank[piece[pairs]] << 32) | place[pairs])
+        after, before = array("i", range(1, n + 2)), array("i", range(-1, n))  # a token's next and previous one; -1 for none
+        heap: list[int] = []
+
+        def known(a: int, length: int) -> int:
+            for k in range(first[a], first[a + 1]):
+                if sizes[k] == length:
+                    return pieces[k]
+            return -1
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and after[b] - a <= self.longest and (row := known(a, after[b] - a)) >= 0:
+                heapq.heappush(heap, rank[row] << 32 | a)
+
+        at = 0
+        while at < len(start) or heap:
+            if heap and (at == len(start) or heap[0] < start[at]):
+                key = heapq.heappop(heap)
+            else:
+                key, at = int(start[at]), at + 1
+            a = key & 0xFFFFFFFF
+            b = after[a]
+            if b < 0 or b >= n:
                 continue
-            after[a], before[c] = c, a
-            del after[b]
-            if a in before and before[a] in after:
-                offer(before[a], a)
-            offer(a, c)
-        out, at = [], start
-        while at < start + length:
-            out.append((at, after[at] - at))
-            at = after[at]
-        return out
+            c = after[b]
+            row = known(a, c - a) if c - a <= self.longest else -1
+            if row < 0 or rank[row] != key >> 32:
+                continue
+            after[a], after[b] = c, -1
+            if c < n:
+                before[c] = a
+            if before[a] >= 0:
+                offer(before[a])
+            offer(a)
+        begins, rows = array("i"), array("i")
+        a = 0
+        while a < n:
+            begins.append(a)
+            rows.append(known(a, after[a] - a))
+            a = after[a]
+        return begins, rows
+
+    def _encode_long(self, text: str, group: int = 500_000) -> Iterator[bytes]:
+        """The ids of a long unbroken text, in parts.
+
+        It is parted wherever no occurrence of a piece goes across, which changes no id. Parts are words like any other;
+        one that is long in spite of that is relaxed by itself.
+        """
+        place, size, piece = self._occurrences(text)
+        wide = size > 1
+        cover = np.zeros(len(text) + 1, np.int32)
+        np.add.at(cover, place[wide] + 1, 1)
+        np.add.at(cover, np.minimum(place[wide] + size[wide], len(text)), -1)
+        ends = np.append(np.flatnonzero(np.cumsum(cover, out=cover)[1:-1] <= 0) + 1, len(text)).astype(np.int32)
+        del cover, wide
+        words, chars, a = [], 0, 0
+        for b in (int(x) for x in ends):
+            if b - a <= self.long:
+                words.append(text[a:b])
+                chars += b - a
+            if words and (b - a > self.long or chars >= group or b == len(text)):
+                yield self._encode_units([words])[0]
+                words, chars = [], 0
+            if b - a > self.long:
+                own = slice(*np.searchsorted(place, (a, b)))
+                begins, rows = self._relax_long(place[own] - np.int32(a), size[own], piece[own], b - a)
+                out = array("I")
+                for k, row in zip(begins, rows, strict=True):
+                    out.extend([int(self.ids[row])] if row >= 0 else self._fallback(text[a + k]))
+                yield out.tobytes()
+            a = b
 
     def _relax(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The tokens (position, length) of all words, in order: in each round every word takes its best edge."""
@@ -166,14 +239,7 @@ class PieceCodec:
 
     def _learn(self, new: list[str]) -> None:
         table, starts, lengths, joined = self._edges(new)
-        long = np.flatnonzero(lengths > 64)
-        begin, size = self._relax(table, starts, np.where(lengths > 64, 0, lengths)) if not len(long) else self._relax_some(table, starts, lengths)
-        for k in long:
-            more = np.array(self._relax_long(table, int(starts[k]), int(lengths[k])))
-            begin, size = np.concatenate((begin, more[:, 0])), np.concatenate((size, more[:, 1]))
-        if len(long):
-            order = np.argsort(begin, kind="stable")
-            begin, size = begin[order], size[order]
+        begin, size = self._relax(table, starts, lengths)
         piece = table[begin, size - 1]
         ids = np.where(piece >= 0, self.ids[piece], -1)
         cuts = np.searchsorted(begin, np.append(starts, len(table)))
@@ -187,34 +253,34 @@ class PieceCodec:
             values[k] = pack(f"<{len(out)}I", *out)
         self.known.update(zip(new, values, strict=True))
 
-    def _relax_some(self, table: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As _relax, for the words of 64 characters or fewer only."""
-        short = lengths <= 64
-        shift = np.repeat(starts[short], lengths[short])
-        own = np.concatenate(([0], np.cumsum(lengths[short] + 1)[:-1])) if short.any() else starts[short]
-        word = np.repeat(np.arange(int(short.sum())), lengths[short])
-        within = np.arange(len(word)) + word - own[word] if len(word) else word
-        packed = np.full((int((lengths[short] + 1).sum()), self.longest), -1, np.int32)
-        packed[own[word] + within] = table[shift + within]
-        begin, size = self._relax(packed, own, lengths[short])
-        of = np.searchsorted(own, begin, "right") - 1
-        return begin - own[of] + starts[short][of], size
-
     def _fallback(self, char: str) -> list[int]:
         return [self.of_byte[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes_back else [self.unknown]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit bytes."""
-        units = [self.units(t) for t in texts]
+    def _encode_units(self, units: list[list[str]], chars: int = 250_000) -> list[bytes]:
+        """The ids of lists of words, none of them long; new words are learned in batches of about so many characters."""
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
         new = set().union(*units).difference(self.known)
         old = new.intersection(self.older)
         self.known.update((w, self.older[w]) for w in old)
-        if rest := sorted(new - old):
-            self._learn(rest)
+        rest = sorted(new - old)
+        for part in stretches(rest, chars):
+            self._learn(rest[part])
         return [b"".join(map(self.known.__getitem__, u)) for u in units]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+        units = [self.units(t) for t in texts]
+        if all(len(t) <= self.long for t in texts) or all(len(w) <= self.long for u in units for w in u):
+            return self._encode_units(units)
+        out = []
+        for u in units:
+            parts = []
+            for long, words in groupby(u, lambda w: len(w) > self.long):
+                parts += (x for w in words for x in self._encode_long(w)) if long else self._encode_units([list(words)])
+            out.append(b"".join(parts))
+        return out
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: pieces in a row, bytes put together, without the space that encoding puts in front."""
         out = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
@@ -222,13 +288,12 @@ class PieceCodec:
 
 
 def _mapped(docs: DataFrame, source: str, fields: list[T.StructField], made) -> DataFrame:
-    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != source and c not in {f.name for f in fields}]
-    rows = docs.select(*others, F.col(source).alias("_in"))
+    rows = docs.select(*others, F.col(source).alias(unused(docs, "_in")))
     schema = T.StructType([*(rows.schema[c] for c in others), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.num_columns - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], *made(batch.column(k).to_pylist())], names=schema.names)
 
@@ -236,7 +301,11 @@ def _mapped(docs: DataFrame, source: str, fields: list[T.StructField], made) ->
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the text replaced by its ids, an array of int (null text: as empty, no ids)."""
+    """``docs`` with the text replaced by its ids, an array of int (null text: as empty, no ids).
+
+    A column named ``out`` is replaced, all others stay; repeated rows stay repeated, an empty table empty. Whole texts
+    are encoded: a word without a break of ten million letters takes a worker some 500 MB, one of equal letters 1.2 GB.
+    """
     def made(texts: list[str | None]) -> list[pa.Array]:
         c = codec(model)
         found = [x for s in stretches(texts) for x in c.encode([t or "" for t in texts[s]])]
@@ -246,7 +315,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``rows`` with the ids replaced by their text (null ids: empty)."""
+    """``rows`` with the ids replaced by their text (null ids: empty); a column named ``out`` is replaced, all others stay."""
     def made(lists: list[list[int] | None]) -> list[pa.Array]:
         c = codec(model)
         return [pa.array([c.decode(pack(f"<{len(x or [])}I", *(x or []))) for x in lists], pa.string())]
@@ -255,7 +324,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
 
 
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by n_tokens, ids_crc32, and the decoded text's chars and sha256, in one pass."""
+    """``docs`` with the text replaced by n_tokens, ids_crc32, and the decoded text's chars and sha256, in one pass (see encode)."""
     def made(texts: list[str | None]) -> list[pa.Array]:
         c, n, crc, chars, sha = codec(model), [], [], [], []
         for s in stretches(texts):

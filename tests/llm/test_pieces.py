@@ -1,7 +1,11 @@
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -26,6 +30,34 @@ def test_hard_texts_have_the_library_ids():
         assert CODEC.decode(raw) == SP.decode(SP.encode(text))
 
 
+def test_long_unbroken_words_have_the_library_ids():
+    rng = random.Random(8)
+    for alphabet in ("a", "ab", "ACGT", "abcdefghijklmnopqrstuvwxyz", "Aa0+/é一😀", "thein"):
+        for n in (255, 257, 30_000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            assert ids([text, f"x {text} y {text}z"]) == [SP.encode(text), SP.encode(f"x {text} y {text}z")]
+    periodic = ("thein" * 20_000)[:90_001]
+    assert ids([periodic]) == [SP.encode(periodic)]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "a"])
+def test_a_word_of_two_million_letters_in_bounded_memory(alphabet):
+    """In a process of its own, whose memory is measured."""
+    code = f"""
+import random, resource, sys
+from corpus_jobs.llm import pieces
+codec = pieces.PieceCodec({PATH!r})
+codec.encode(["some words first"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = "".join(random.Random(1).choices({alphabet!r}, k=2_000_000))
+(out,) = codec.encode([text])
+assert codec.decode(out) == text
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ, timeout=300, check=True)
+    assert int(run.stdout) < 350
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=80), max_size=4))
 def test_any_texts_have_the_library_ids_and_come_back(texts):
