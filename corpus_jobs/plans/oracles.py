@@ -136,6 +136,7 @@ ORACLE_SQL: dict[str, str] = {
             WHERE tag <> '' GROUP BY doc_id, tag) GROUP BY doc_id""",
     "codec_round_trip": _sql("""
         SELECT slug, '["' || array_to_string(tags, '","') || '"]' AS tags_json, CASE WHEN published THEN len(tags) ELSE 0 END AS n_tags, true AS same_vector, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE coalesce(len(embedding), -1) END AS n_numbers FROM notes LEFT JOIN embeddings ON vec_id = doc_id"""),
+    "jdbc_rows": _sql("""SELECT slug, '["' || array_to_string(tags, '","') || '"]' AS tags, published::INT AS published, true AS same FROM notes"""),
     "canonical_slug": _sql(f"SELECT doc_id, slug || CASE WHEN doc_id % 3 = 1 THEN '.html' ELSE '' END AS slug, url, '{_SITE}' || url AS source_url FROM notes"),
     "normalize_text": _sql("SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS text FROM documents LEFT JOIN lines USING (doc_id) GROUP BY doc_id"),
     "split_long_text": _sql("SELECT slug, chunk_index, text FROM chunks"),

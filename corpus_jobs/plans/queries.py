@@ -20,10 +20,10 @@ from corpus_jobs.plans import jobs
 from corpus_jobs.plans import tables as t
 from corpus_jobs.plans.tables import AS_OF, MODEL
 from corpus_jobs.schemas import CHUNKS, NOTES
-from corpus_jobs.sources import codecs
+from corpus_jobs.sources import codecs, tables
 from corpus_jobs.sources.files import parse_notes as parsed
 from corpus_jobs.sources.files import read_note_files
-from corpus_jobs.sources.shared import materialise
+from corpus_jobs.sources.shared import materialise, shared_dir
 
 Q = {}
 SITE = "https://notes.example"
@@ -74,6 +74,16 @@ def codec_round_trip(spark, d):
     return n.select("slug", codecs.encode_tags(F.col("tags")).alias("tags_json"), F.size(codecs.decode_tags(F.when(F.col("published"), codecs.encode_tags(F.col("tags"))))).alias("n_tags"), codecs.decode_vector(codecs.encode_vector(F.col("embedding"))).eqNullSafe(F.col("embedding")).alias("same_vector"), F.coalesce(F.size(codecs.decode_vector(codecs.encode_vector(F.col("embedding")))), F.lit(-1)).alias("n_numbers"))
 
 
+@query
+def jdbc_rows(spark, d):
+    """Notes as the rows that a database gets, and whether they come back as they were."""
+    n = t.notes(spark, d).select("slug", "tags", "published")
+    sent = tables.jdbc_row(n)
+    back = tables.from_jdbc_row(sent).select("slug", F.struct("tags", "published").alias("b"))
+    rows = sent.join(back, "slug").join(n.select("slug", F.struct("tags", "published").alias("n")), "slug")
+    return rows.select("slug", "tags", "published", F.col("b").eqNullSafe(F.col("n")).alias("same"))
+
+
 @query
 def canonical_slug(spark, d):
     raw = F.concat("slug", F.when(F.col("doc_id") % 3 == 0, ".html").when(F.col("doc_id") % 3 == 1, ".html.html").otherwise(""))
@@ -330,6 +340,13 @@ def check_embedding_dim(spark, d):
     return same.crossJoin(other)
 
 
+def _snapshot(df, schema):
+    """A table that a job before has left."""
+    path = shared_dir(df.sparkSession, "snapshot")
+    tables.write_table(df.select(*schema.fieldNames()), path)
+    return tables.read_table(df.sparkSession, path, schema)
+
+
 @query
 def sync_notes(spark, d):
     """A stored table of the known documents meets files of all but the Spanish ones."""
@@ -337,7 +354,7 @@ def sync_notes(spark, d):
     n = t.notes(spark, d)
     stored = n.join(t.known_before(spark, d).select("doc_id"), "doc_id").withColumns({"title": F.concat(F.lit("Old "), "title"), "created_at": then, "updated_at": then})
     files = n.where("lang != 'es'").select(F.concat(F.lit("/r/"), "slug", F.lit(".html")).alias("path"), F.concat(F.lit("---\ntitle: "), "title", F.lit("\n---\n"), "content_html").alias("raw"))
-    out, _ = jobs.sync_notes(files, "/r", stored.select(*NOTES.fieldNames()), now)
+    out, _ = jobs.sync_notes(files, "/r", _snapshot(stored, NOTES), now)
     return out.select("slug", "title", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
@@ -372,7 +389,7 @@ def sync_chunks(spark, d):
     old = notes.chunk_notes(n).join(n.join(t.known_before(spark, d), "doc_id").select("slug", "edited"), "slug")
     digest = text.chunk_hash(F.when(F.col("edited"), F.concat(F.lit("old "), "text")).otherwise(F.col("text")), MODEL)
     stored = old.withColumns({"content_hash": digest, "embedding": F.array_repeat(F.lit(0.5).cast("float"), 32), "updated_at": then})
-    chunks, _ = jobs.sync_chunks(n, stored.select(*CHUNKS.fieldNames()), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
+    chunks, _ = jobs.sync_chunks(n, _snapshot(stored, CHUNKS), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
     return chunks.select("slug", "chunk_index", "content_hash", F.size("embedding").alias("dim"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
