@@ -70,16 +70,19 @@ class LanguageFilter:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores (0 to 1) of whole texts: ``und`` and 0 for null and for texts without a letter."""
-        of, grams = trigrams([t or "" for t in texts])
-        n = np.bincount(of, minlength=len(texts)).astype(float)
-        counts = np.zeros((len(texts), len(self.languages)))
-        at = _slots(grams, self.hashes, self.bits)
-        for word in range(self.slots.shape[1]):
-            mask = self.slots[at[0], word]
-            for other in at[1:]:
-                mask &= self.slots[other, word]
-            for k in range(word * _BITS, min(len(self.languages), (word + 1) * _BITS)):
-                counts[:, k] = np.bincount(of, (mask >> np.uint64(k % _BITS)) & np.uint64(1), len(texts))
+        n, counts = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        owners, parts = _parts([t or "" for t in texts])
+        for s in stretches(parts):
+            of, grams = trigrams(parts[s])
+            of = owners[s][of]
+            n += np.bincount(of, minlength=len(texts))
+            at = _slots(grams, self.hashes, self.bits)
+            for word in range(self.slots.shape[1]):
+                mask = self.slots[at[0], word]
+                for other in at[1:]:
+                    mask &= self.slots[other, word]
+                for k in range(word * _BITS, min(len(self.languages), (word + 1) * _BITS)):
+                    counts[:, k] += np.bincount(of, (mask >> np.uint64(k % _BITS)) & np.uint64(1), len(texts))
         real = np.maximum(0, (counts - n[:, None] * self.false) / (1 - self.false))
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -88,9 +91,19 @@ class LanguageFilter:
         return ["und" if n[i] == 0 else self.languages[b] for i, b in enumerate(best)], score
 
 
-def _parts(texts: list[str], chosen: np.ndarray) -> Iterator[list[str]]:
-    own = [texts[i] for i in np.flatnonzero(chosen)]
-    return (own[s] for s in stretches(own))
+def _parts(texts: list[str], chars: int = 1_000_000) -> tuple[np.ndarray, list[str]]:
+    """(text, part): whole texts, or parts of about so many characters of long ones, which end where a word does."""
+    owners, parts = [], []
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = min(at + chars, len(text))
+            while end < len(text) and text[end].isalpha():
+                end += 1
+            owners.append(i)
+            parts.append(text[at:end])
+            at = max(end, 1)
+    return np.array(owners, np.int64), parts
 
 
 def count_trigrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -98,10 +111,12 @@ def count_trigrams(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts, langs = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=object)
-            for name, part in ((name, part) for name in sorted(set(langs)) for part in _parts(texts, langs == name)):
-                grams, n = np.unique(trigrams(part)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name in sorted(set(langs)):
+                _, own = _parts([t for t, of in zip(texts, langs, strict=True) if of == name])
+                for s in stretches(own):
+                    grams, n = np.unique(trigrams(own[s])[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
     return rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -145,10 +160,10 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_out
 
     A text that is null or has no letter is ``und`` with score 0. Of languages with equal counts the one learned from
     more text wins (then the smaller name). Each row is judged by itself: repeated rows get equal results, an empty
-    table stays empty, and whole texts of any length are read, some 150 bytes a character at a time for the longest.
+    table stays empty. Whole texts of any length are read, in parts of about a million characters that end with a word.
     """
     others = [c for c in docs.columns if c not in (text, lang_out, score_out)]
-    rows = docs.select(*others, F.col(text).alias(unused(docs, "_text")))
+    rows = docs.withColumn(unused(docs, "_text"), F.col(text)).drop(text, lang_out, score_out)
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -156,8 +171,7 @@ def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", lang_out
         for batch in small(batches):
             k = batch.num_columns - 1
             texts = batch.column(k).to_pylist()
-            found = [shared.value.predict(texts[s]) for s in stretches(texts)]
-            names, scores = [x for n, _ in found for x in n], [x for _, s in found for x in s.tolist()]
+            names, scores = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*others, lang_out, score_out])
 
     return rows.mapInArrow(predicted, schema)

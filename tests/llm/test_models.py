@@ -13,6 +13,13 @@ def test_trigrams():
     assert of.tolist() == [0, 0, 2, 2] and len(set(grams.tolist())) == 4
 
 
+def test_parts_of_long_texts_have_the_same_trigrams():
+    for text in ("", "ab", "ab cd, efg h" * 50, "abc" * 40 + " d", "1 2 " * 30, "é-ß " * 20):
+        owners, parts = language._parts(["x", text], chars=16)
+        assert "".join(parts[1:]) == text and owners.tolist() == [0] + [1] * (len(parts) - 1)
+        assert sorted(language.trigrams(parts)[1].tolist()) == sorted(language.trigrams(["x", text])[1].tolist())
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.fit(docs, learn=common.learns("doc_id"))
