@@ -86,7 +86,7 @@ def drop_located(docs: DataFrame, gone: DataFrame) -> DataFrame:
     name = unused(docs, "_locator")
     gone = gone.select(F.col("_locator").alias(name))
     maybe, stay = sieve(with_locator(docs, name), name, gone, gone.count())
-    return stay.unionByName(maybe.join(gone, name, "left_anti").select(*stay.columns)).drop(name)
+    return stay.unionByName(maybe.join(gone, name, "left_anti")).drop(name)
 
 
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, how: str = "inner", most_hot: int = 20_000) -> DataFrame:

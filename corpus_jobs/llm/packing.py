@@ -211,12 +211,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, small_share: float = 0.34, gro
     before = F.sum(n).over(Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
     bases = salted.groupBy("length", salt).agg(F.count("*").alias(n)).select("length", salt, F.coalesce(before, F.lit(0)).alias(base))
     others = [c for c, kind in pieces.dtypes if c not in ("doc_id", "piece", "length") and not kind.startswith(("array", "map", "struct"))]
-    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", *others)))
+    ranked = salted.withColumn(rank, F.row_number().over(Window.partitionBy("length", salt).orderBy("doc_id", "piece", *(F.col(f"`{c}`") for c in others))))
     ranked = ranked.join(F.broadcast(bases), ["length", salt]).withColumn(rank, F.col(rank) + F.col(base) - 1)
     table = spark.createDataFrame(places, f"{size} long, {first} long, {end} long, {q} long, {sequence} long, {place} long")
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(end)))
     at = F.col(rank) - F.col(first)
-    return placed.select(*pieces.columns, (F.col(sequence) + F.floor(at / F.col(q))).cast("long").alias("sequence_id"), (F.col(place) + at % F.col(q) * F.col("length")).cast("long").alias("offset"))
+    return placed.select(*(F.col(f"`{c}`") for c in pieces.columns), (F.col(sequence) + F.floor(at / F.col(q))).cast("long").alias("sequence_id"), (F.col(place) + at % F.col(q) * F.col("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -289,7 +289,7 @@ class PieceCodec:
 
 def _mapped(docs: DataFrame, source: str, fields: list[T.StructField], made) -> DataFrame:
     others = [c for c in docs.columns if c != source and c not in {f.name for f in fields}]
-    rows = docs.select(*others, F.col(source).alias(unused(docs, "_in")))
+    rows = docs.withColumn(unused(docs, "_in"), F.col(source)).drop(source, *(f.name for f in fields))
     schema = T.StructType([*(rows.schema[c] for c in others), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,7 +59,7 @@ def with_features(docs: DataFrame, text: str = "text", out: str = "features") ->
     Repeated rows stay repeated, an empty table empty; whole texts of any length are read.
     """
     others = [c for c in docs.columns if c not in (text, out)]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(unused(docs, "_text")))
+    rows = docs.withColumn(unused(docs, "_text"), F.coalesce(F.col(text), F.lit(""))).drop(text, out)
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def score(measured: DataFrame, model: AdditiveModel, out: str = "score") -> Data
     A score depends on the row's features only: repeated rows get equal ones, and an empty table stays empty.
     """
     others = [c for c in measured.columns if c not in ("features", out)]
-    rows = measured.select(*others, "features")
+    rows = measured.withColumn(unused(measured, "_features"), F.col("features")).drop("features", out)
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def score(measured: DataFrame, model: AdditiveModel, out: str = "score") -> Data
 def score_texts(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the text's score (null text: as empty) as a further column, in one pass; a column named ``out`` is replaced."""
     names = [c for c in docs.columns if c != out]
-    rows = docs.select(*names)
+    rows = docs.drop(out)
     at = names.index(text)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
 

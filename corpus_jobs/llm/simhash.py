@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     are read whole; what a worker holds beside one is some 200 bytes for each of its words.
     """
     others = [c for c in docs.columns if c not in (text, out)]
-    rows = docs.select(*others, F.coalesce(F.col(text), F.lit("")).alias(unused(docs, "_text")))
+    rows = docs.withColumn(unused(docs, "_text"), F.coalesce(F.col(text), F.lit(""))).drop(text, out)
     schema = T.StructType([*(rows.schema[c] for c in others), T.StructField(out, T.LongType())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
 
 @dataclass
 class Forest:
-    """Nodes of all trees; a child below 0 is leaf ``-1 - child``."""
+    """Nodes of all trees; a child below 0 is leaf ``-1 - child``, and ``bands`` has each leaf's band."""
 
     vantage: np.ndarray
     mask: np.ndarray
@@ -75,13 +75,17 @@ class Forest:
     radius: np.ndarray
     inner: np.ndarray
     outer: np.ndarray
-    roots: list[int]
-    leaves: int
+    roots: np.ndarray
+    bands: list[int]
 
-    def shards(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for every leaf that a fingerprint belongs to."""
-        rows = np.tile(np.arange(len(x)), len(self.roots))
-        nodes = np.repeat(np.array(self.roots), len(x))
+    @property
+    def leaves(self) -> int:
+        return len(self.bands)
+
+    def shards(self, x: np.ndarray, trees: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf that a fingerprint belongs to, in all trees or in one of ``trees`` each."""
+        rows = np.tile(np.arange(len(x)), len(self.roots)) if trees is None else np.arange(len(x))
+        nodes = np.repeat(self.roots, len(x)) if trees is None else self.roots[trees]
         found_rows, found_leaves = [], []
         while len(rows):
             done = nodes < 0
@@ -91,17 +95,21 @@ class Forest:
             d = np.bitwise_count((x[rows] ^ self.vantage[nodes]) & self.mask[nodes]).astype(np.int64)
             near, far = d <= self.mu[nodes] + self.radius[nodes], d > self.mu[nodes]
             rows, nodes = np.concatenate((rows[near], rows[far])), np.concatenate((self.inner[nodes[near]], self.outer[nodes[far]]))
-        return np.concatenate(found_rows), np.concatenate(found_leaves)
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *found_rows]), np.concatenate([none, *found_leaves])
 
 
-def grow(sample: np.ndarray, total: int, leaf: int = 2048, depth: int = 24, bands=BANDS, tries: int = 8) -> Forest:
-    """Trees from a sample of ``total`` fingerprints; a branch ends at about ``leaf`` of them, or where no vantage point parts it."""
+def grow_trees(plots: list[tuple[np.ndarray, int, int]], leaf: int = 2048, depth: int = 24, bands=BANDS, tries: int = 8) -> Forest:
+    """A tree for every plot: a sample, of how many fingerprints it is one, and the number of the band.
+
+    A branch ends at about ``leaf`` fingerprints, or where no vantage point parts it.
+    """
     rng = np.random.default_rng(7)
     nodes: list[list] = []
-    roots, leaves = [], 0
-    least = max(8, leaf * len(sample) / max(1, total))
-    for low, high, radius in bands:
-        mask = np.uint64((1 << high) - (1 << low))
+    roots, of_leaf = [], []
+    for sample, total, band in plots:
+        low, high, radius = bands[band]
+        mask, least = np.uint64((1 << high) - (1 << low)), max(8, leaf * len(sample) / max(1, total))
         todo = [(sample, 0, None, 0)]  # fingerprints, depth, parent and side
         while todo:
             part, level, parent, side = todo.pop()
@@ -115,7 +123,8 @@ def grow(sample: np.ndarray, total: int, leaf: int = 2048, depth: int = 24, band
                         if best is None or cost < best[0]:
                             best = (cost, vantage, mu, near, far)
             if best is None or best[0] > 0.9 * len(part) ** 2:
-                at, leaves = -1 - leaves, leaves + 1
+                at = -1 - len(of_leaf)
+                of_leaf.append(band)
             else:
                 at = len(nodes)
                 nodes.append([best[1], mask, best[2], radius, 0, 0])
@@ -125,7 +134,13 @@ def grow(sample: np.ndarray, total: int, leaf: int = 2048, depth: int = 24, band
             else:
                 nodes[parent][side] = at
     columns = list(zip(*nodes, strict=True)) or [()] * 6
-    return Forest(*(np.array(c, t) for c, t in zip(columns, (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64), strict=True)), roots, leaves)
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+    return Forest(*(np.array(c, kind) for c, kind in zip(columns, kinds, strict=True)), np.array(roots, np.int64), of_leaf)
+
+
+def grow(sample: np.ndarray, total: int, leaf: int = 2048, depth: int = 24, bands=BANDS, tries: int = 8) -> Forest:
+    """A tree for each band, from a sample of ``total`` fingerprints."""
+    return grow_trees([(sample, total, k) for k in range(len(bands))], leaf, depth, bands, tries)
 
 
 def close_components(x: np.ndarray, most: int) -> np.ndarray:
@@ -151,20 +166,61 @@ def close_components(x: np.ndarray, most: int) -> np.ndarray:
     return parent
 
 
+def _picked(rows: DataFrame, share: float) -> pd.DataFrame:
+    return rows.where(F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 24)) < int(share * (1 << 24))).toPandas().sort_values("fp")
+
+
+def _split_overfull(shards: DataFrame, bands: list[int], sample: int, leaf: int, shapes) -> DataFrame:
+    """``shards`` (leaf, fp) with leaves of more than 4 * ``leaf`` fingerprints split by trees over their own members.
+
+    Trees are grown from a sample of these leaves' members, no more than about ``sample``, and only such leaves' rows
+    are written again, until no leaf is overfull that a vantage point parts. The driver gets a row for each of them.
+    """
+    spark, bands, whole = shards.sparkSession, list(bands), set()
+    while True:
+        sizes = shards.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf)
+        over = {r["leaf"]: r["n"] for r in sizes.collect() if r["leaf"] not in whole}
+        if not over:
+            return shards
+        names = list(over)
+        numbered = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "leaf long, tree long"))
+        members = shards.join(numbered, "leaf").select("tree", "fp")
+        picked = _picked(members, min(1.0, sample / sum(over.values())))
+        of = dict(iter(picked.groupby("tree")["fp"]))
+        plots = [(of[k].to_numpy(np.int64).view(np.uint64) if k in of else np.zeros(0, np.uint64), over[name], bands[name]) for k, name in enumerate(names)]
+        forest = grow_trees(plots, leaf, bands=shapes)
+        whole.update(name for name, root in zip(names, forest.roots, strict=True) if root < 0)
+        parted = [k for k, root in enumerate(forest.roots) if root >= 0]
+        if not parted:
+            return shards
+        first = len(bands)
+        bands += forest.bands
+
+        def placed(batches: Iterator[pa.RecordBatch], forest=forest, first=first) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column(1).to_numpy()
+                rows, leaves = forest.shards(x.view(np.uint64), batch.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(leaves + first), pa.array(x[rows])], names=["leaf", "fp"])
+
+        parted_leaves = F.broadcast(spark.createDataFrame([(names[k], k) for k in parted], "leaf long, tree long"))
+        again = shards.join(parted_leaves, "leaf").select("tree", "fp").mapInArrow(placed, "leaf long, fp long")
+        shards = materialise(shards.join(parted_leaves, "leaf", "left_anti").unionByName(again), "shards")
+
+
 def links(prints: DataFrame, most: int = 4, sample: int = 131_072, leaf: int = 2048, part: int = 8192, bands=BANDS) -> DataFrame:
     """Edges (a, b) that connect whatever fingerprints of the column ``fp`` (distinct) are linked by ``most`` bits or fewer.
 
     Each shard gives a spanning forest of its links, not all pairs. The trees are grown from a sample: an eighth of the
     fingerprints, but no more than about ``sample``, or one in 64 where that is more, up to 8 times ``sample``. Every
-    fingerprint is searched. A leaf of more than ``part`` is searched in blocks: every pair of its blocks is a task.
-    Leaves and the table of their sizes are no more than the sample allows, whatever the number of fingerprints.
+    fingerprint is searched. Leaves that turn out overfull are split again by trees of their own; one of more than
+    ``part`` that no vantage point parts is searched in blocks: every pair of its blocks is a task. Leaves and the table
+    of their sizes are no more than the samples allow, whatever the number of fingerprints.
     """
     if sum(r + 1 for _, _, r in bands) <= most:
         raise ValueError("the bands' radii don't cover links of that many bits")
     total = prints.count()
-    share = min(0.125, max(sample, min(total / 64, 8 * sample)) / max(1, total))
-    picked = prints.where(F.pmod(F.xxhash64(F.lit("tree"), "fp"), F.lit(1 << 24)) < int(share * (1 << 24))).toPandas()
-    forest = grow(np.sort(picked["fp"].to_numpy(np.int64)).view(np.uint64), total, leaf, bands=bands)
+    picked = _picked(prints.select("fp"), min(0.125, max(sample, min(total / 64, 8 * sample)) / max(1, total)))
+    forest = grow(picked["fp"].to_numpy(np.int64).view(np.uint64), total, leaf, bands=bands)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,6 +229,7 @@ def links(prints: DataFrame, most: int = 4, sample: int = 131_072, leaf: int = 2
             yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(x[rows])], names=["leaf", "fp"])
 
     shards = materialise(prints.select("fp").mapInArrow(placed, "leaf long, fp long"), "shards")
+    shards = _split_overfull(shards, forest.bands, 8 * sample, leaf, bands)
     sizes = shards.groupBy("leaf").agg(F.ceil(F.count("*") / part).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
     tasks = shards.join(F.broadcast(sizes), "leaf").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -60,13 +60,30 @@ def test_trees_bring_every_close_pair_together():
     assert len(close) > 100 and all(of[i] & of[j] for i, j in close)
 
 
+def test_overfull_leaves_are_split_by_trees_of_their_own(spark):
+    rng = random.Random(12)
+    x = np.array(clustered(rng, 40, 8) + [rng.getrandbits(64) for _ in range(1200)], dtype=np.uint64)
+    coarse = simhash.grow(np.sort(x)[::40], len(x), leaf=20)
+    rows, leaves = coarse.shards(x)
+    shards = spark.createDataFrame(list(zip(leaves.tolist(), x.view(np.int64)[rows].tolist(), strict=True)), "leaf long, fp long")
+    sizes = [r["count"] for r in shards.groupBy("leaf").count().collect()]
+    fine = simhash._split_overfull(shards, coarse.bands, 5000, 20, simhash.BANDS)
+    assert max(sizes) > 200 and max(r["count"] for r in fine.groupBy("leaf").count().collect()) < max(sizes) / 2
+    of = {}
+    for r in fine.collect():
+        of.setdefault(r["fp"], set()).add(r["leaf"])
+    close = np.argwhere(np.triu(np.bitwise_count(x[:, None] ^ x[None]) <= 4, 1))
+    signed = x.view(np.int64).tolist()
+    assert len(of) == len(x) and len(close) > 50 and all(of[signed[i]] & of[signed[j]] for i, j in close)
+
+
 def test_links_against_brute_force(spark):
     rng = random.Random(9)
     prints = clustered(rng, 80, 8) + [rng.getrandbits(64) for _ in range(300)]
     signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
     want = brute(prints)
-    for options in ({"leaf": 30}, {"leaf": 200, "part": 25}):
+    for options in ({"leaf": 30}, {"leaf": 200, "part": 25}, {"leaf": 20, "sample": 40}):
         found = dict(components(simhash.links(df, **options)).toPandas().itertuples(index=False))
         roots = [found.get(x, x) for x in signed]
         assert len(set(roots)) == len(set(want)) and all((roots[i] == roots[w]) for i, w in enumerate(want))
