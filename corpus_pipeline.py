@@ -28,7 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     measured = common.materialise(quality.with_features(docs.select("doc_id", "text")), "features")
     model = quality.fit(measured, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = common.unused(docs, "_score")
-    return quality.score_texts(docs, model, out=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score_texts(docs, model, out=score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     spans = common.unused(docs, "_findings")
     found = secrets.scan_secrets(docs, out=spans)
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans)))
-    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(spans)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
