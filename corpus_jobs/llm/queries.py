@@ -10,6 +10,7 @@ from corpus_jobs.llm import ann, chat, common, exact_dedup, language, packing, p
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
