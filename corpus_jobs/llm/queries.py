@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import ann, chat, common, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
+from corpus_jobs.llm import ann, chat, common, decontamination, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,8 +90,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece)}
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), span=10)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece, op11_benchmark_decontamination)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _NORMALISED = r"regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')"
 
 ORACLE_SQL = {
@@ -112,6 +119,17 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256({_NORMALISED}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, count(*) AS group_size, arg_min(doc_id, (-n, doc_id)) AS keep_id FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op11_benchmark_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+        i AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS ws, least(len(ws), 10) AS n FROM benchmark WHERE len(ws) > 0),
+        iw AS (SELECT DISTINCT item, n, array_to_string(ws[pos:pos + n - 1], ' ') AS w FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS pos FROM i)),
+        dw AS (SELECT r, n, pos, array_to_string(ws[pos:pos + n - 1], ' ') AS w
+               FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+        h AS (SELECT r, n, pos, item FROM dw JOIN iw USING (n, w)),
+        p AS (SELECT r, count(DISTINCT pos + k) AS n_hit FROM (SELECT DISTINCT r, n, pos FROM h), range(10) AS t(k) WHERE k < n GROUP BY r),
+        s AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN p USING (r) LEFT JOIN s USING (r)""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         q AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS payload_digest, sha256(body) AS equal FROM p),
