@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import ann, chat, common, decontamination, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
+from corpus_jobs.llm import ann, chat, common, decontamination, dialog_repair, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,12 +96,79 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece, op11_benchmark_decontamination)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = _read(spark, sf_dir, "conversations")
+    turns = dialog_repair.damaged(original)
+    plans = common.materialise(dialog_repair.plan_repairs(turns), "plans")
+    texts = dialog_repair.repaired_digests(turns, plans).withColumnRenamed("conv_id", "_conv")
+    found = plans.join(texts, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv").withColumnRenamed("conv_id", "_conv")
+    every = original.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece, op11_benchmark_decontamination, op12_conversation_repair)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _NORMALISED = r"regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')"
 
+
+
+def _least(*paths: str) -> str:
+    """SQL for the least of paths (cost, audit, lines), null ones left out."""
+    return f"list_sort(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _then(path: str, cost: str, edit: str, line: str = "''", condition: str = "true") -> str:
+    """SQL for a path with one more edit."""
+    return f"CASE WHEN {path} IS NOT NULL AND {condition} THEN {{'c': {path}.c + {cost}, 'a': {path}.a || '{edit}', 'o': {path}.o || {line}}} END"
+
+
+_KEPT = "chr(10) || role || ':' || text"
+_INSERTED = (  # u: after a user turn, a: after an assistant turn, with turns inserted
+    _least("u", *(_then(x, "3", "I", "chr(10) || 'user:'") for x in "nsa")),
+    _least("a", _then("u", "3", "I", "chr(10) || 'assistant:'")),
+)
+
+
+def _row(then: str, before: str, name: str, initial: str) -> str:
+    """SQL for the least path to the state ``then``: by deletion, or by keeping or changing a row after the states ``before``."""
+    kept = [_then(x, "more", "K", _KEPT, f"fault NOT IN ('blank', 'duplicate') AND role[1] = '{initial}'") for x in before]
+    changed = [_then(x, "3 + more", "R", f"chr(10) || '{name}:' || text", "fault NOT IN ('blank', 'duplicate')") for x in before if name]
+    return _least(_then(then, "4", "D"), *kept, *changed)
+
+
 ORACLE_SQL = {
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes FROM conversations),
+        h AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]))),
+                                      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 20 AS how FROM k),
+        d AS (
+            SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM h, range(2) AS t(copy) WHERE how <> 0 AND (copy = 0 OR how = 3)),
+        o AS (SELECT *, row_number() OVER w AS i,
+                     lag(role[1]) OVER w AS before, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid
+              FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, CASE WHEN solid = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN solid[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM o),
+        c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (i > 1 AND before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+        p AS (
+            SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': ''}} AS n, NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR) AS s,
+                   {{'c': 3, 'a': 'I', 'o': chr(10) || 'user:'}} AS u, {{'c': 6, 'a': 'II', 'o': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS a FROM c
+            UNION ALL
+            SELECT conv_id, i, n, s, u, {_INSERTED[1]} AS a FROM (
+                SELECT conv_id, i, n, s, {_INSERTED[0]} AS u, a FROM (
+                    SELECT f.conv_id, f.i, {_then("n", "4", "D")} AS n, {_row("s", "n", "", "s")} AS s, {_row("u", "nsa", "user", "u")} AS u, {_row("a", "u", "assistant", "a")} AS a
+                    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1))),
+        r AS (SELECT c.*, {_least("n", "a")} AS best FROM c JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.rows)
+        SELECT q.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.o[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS q LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM q.conv_id""",
     "op1_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
