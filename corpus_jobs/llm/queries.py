@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.llm import ann, chat, common, decontamination, dialog_repair, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
+from corpus_jobs.llm import ann, chat, collocations, common, decontamination, dialog_repair, exact_dedup, language, packing, pieces, quality, secrets, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -107,9 +107,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece, op11_benchmark_decontamination, op12_conversation_repair)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=30, top=2000, longest=4, share=80)
 
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_secret_scans, op4_language_id, op5_exact_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_warc, op9_nearest_neighbours, op10_sentencepiece, op11_benchmark_decontamination, op12_conversation_repair, op13_phrase_collocations)}
+
+_LOWER = r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _NORMALISED = r"regexp_replace(coalesce(text, ''), '[\x09-\x0D\x20]', '', 'g')"
 
 
@@ -139,6 +144,21 @@ def _row(then: str, before: str, name: str, initial: str) -> str:
 
 
 ORACLE_SQL = {
+    "op13_phrase_collocations": rf"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+        n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM t GROUP BY lang),
+        p AS (SELECT lang, ws[pos:pos + m - 1] AS ws, count(*) AS f FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS pos FROM t), range(1, 5) AS s(m)
+              WHERE pos + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, ws, f AS a FROM p WHERE len(ws) >= 2),
+        k AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM c),
+        s AS (SELECT k.lang, k.ws, a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * a // (l.f + r.f) AS score
+              FROM k JOIN p AS l ON l.lang = k.lang AND l.ws = k.ws[1:k] JOIN p AS r ON r.lang = k.lang AND r.ws = k.ws[k + 1:len(k.ws)]),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+        o AS (SELECT lang, ws[pos:pos + m - 1] AS ws, max(a) AS longer FROM (SELECT lang, ws, a, unnest(range(1, len(ws) + 1)) AS pos FROM c), range(2, 4) AS v(m)
+              WHERE m < len(ws) AND pos + m - 1 <= len(ws) GROUP BY ALL),
+        g AS (SELECT b.*, array_to_string(b.ws, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.ws = b.ws WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM g JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op12_conversation_repair": rf"""
         WITH RECURSIVE k AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
