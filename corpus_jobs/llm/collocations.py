@@ -21,8 +21,6 @@ from corpus_jobs.llm.common import materialise, partitions, small, stretches
 #: Ends of pieces, and the one that stands for all of them.
 _ENDS, _END = b".,;:!?\n\x0b\x0c\r", b"."
 _TO_END = bytes.maketrans(_ENDS, _END * len(_ENDS))
-#: Buckets of word pairs, 4 MB as a bitmap.
-_PAIR_BITS = 25
 _NO_LANG = "und"
 
 
@@ -99,11 +97,11 @@ def _lead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
 
-def _mixed(lang: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A bucket for every pair of words of a language."""
+def _mixed(lang: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A bucket of ``2 ** bits`` for every pair of words of a language."""
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lang.astype(np.uint64)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _hashed(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,7 +116,7 @@ def _hashed(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[tuple[list[str],
         yield names, own, words, np.array([xxhash.xxh64_intdigest(name.encode()) for name in names], np.uint64)[own]
 
 
-def _pair_counts(docs: DataFrame, seed: int, bits: int, kept) -> DataFrame:
+def _pair_counts(docs: DataFrame, seed: int, bits: int, kept, pair_bits: int) -> DataFrame:
     """(bucket, n): how many pairs of frequent words fall into each bucket, counted within batches before they are shuffled."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(seed, bits, kept.value)
@@ -127,7 +125,7 @@ def _pair_counts(docs: DataFrame, seed: int, bits: int, kept) -> DataFrame:
             for _, _, words, langs in _hashed(batch, hashes):
                 second = _lead(words, 1)
                 pair = (words != 0) & (second != 0)
-                found.append(_mixed(langs[pair], words[pair], second[pair]))
+                found.append(_mixed(langs[pair], words[pair], second[pair], pair_bits))
             if found:
                 buckets, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
@@ -145,7 +143,7 @@ def _distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _windows(docs: DataFrame, seed: int, bits: int, kept, pairs, longest: int) -> DataFrame:
+def _windows(docs: DataFrame, seed: int, bits: int, kept, pairs, pair_bits: int, longest: int) -> DataFrame:
     """(lang, w1 to w<longest>, n): padded windows of hashes and how often each occurs, in batches.
 
     A window stops at the end of its piece, before a word that isn't frequent, and before a pair that can't be. The
@@ -159,7 +157,7 @@ def _windows(docs: DataFrame, seed: int, bits: int, kept, pairs, longest: int) -
             for langs, own, words, lang_hashes in _hashed(batch, hashes):
                 columns = [own, words]
                 second = _lead(words, 1)
-                at = _mixed(lang_hashes, words, second)
+                at = _mixed(lang_hashes, words, second, pair_bits)
                 goes_on = (words != 0) & (second != 0) & (often[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
                 on = goes_on
                 for i in range(1, longest):
@@ -177,11 +175,12 @@ def _windows(docs: DataFrame, seed: int, bits: int, kept, pairs, longest: int) -
     return docs.mapInArrow(counted, f"lang string, {', '.join(f'{n} bigint' for n in names)}, n bigint")
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", bits: int = 64, pair_bits: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, vocabulary, totals): (lang, words, f) of phrases that occur ``least`` times, as hashes; (lang, word, n, h); (lang, n).
 
     Pairs of frequent words are counted in buckets first; where all pairs of a bucket occur fewer times, no window needs
-    to go across. That leaves out nothing that counts, and rare pairs are most of a corpus.
+    to go across. That leaves out nothing that counts, and rare pairs are most of a corpus. A bitmap of the
+    ``2 ** pair_bits`` buckets (4 MB) and one of the frequent words (32 MB at most) go to every task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
@@ -189,10 +188,10 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col:
     vocabulary, seed = _vocabulary(words, least, bits)
     frequent = vocabulary.select("h").distinct()
     kept = spark.sparkContext.broadcast(_bitmap(frequent, "h", 28, frequent.count()))
-    buckets = _pair_counts(rows, seed, bits, kept).where(F.col("n") >= least).select(F.col("bucket").cast("long").alias("bucket"))
-    pairs = spark.sparkContext.broadcast(_bitmap(buckets, "bucket", _PAIR_BITS, 1 << _PAIR_BITS))
+    buckets = _pair_counts(rows, seed, bits, kept, pair_bits).where(F.col("n") >= least).select(F.col("bucket").cast("long").alias("bucket"))
+    pairs = spark.sparkContext.broadcast(_bitmap(buckets, "bucket", pair_bits, 1 << pair_bits))
     names = [f"w{i + 1}" for i in range(longest)]
-    windows = materialise(_windows(rows, seed, bits, kept, pairs, longest).groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
+    windows = materialise(_windows(rows, seed, bits, kept, pairs, pair_bits, longest).groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     size = F.lit(longest) - F.bit_count("g")  # the grouping id has a bit for each column that is summed over
     end = F.element_at(F.array(*names), F.greatest(size, F.lit(1)))
@@ -205,7 +204,7 @@ def _wide(name: str) -> Column:
     return F.col(name).cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, share: int = 80, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, share: int = 80, text_col: str = "text", lang_col: str = "lang", bits: int = 64, pair_bits: int = 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that stick together.
 
     ``a`` is how often a phrase occurs within pieces, overlaps included, ``least`` times or more; ``l`` and ``r`` are the
@@ -214,9 +213,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int
     occurs ``share`` percent as often. Best score first, then greatest ``a``, then the phrase by its UTF-8 bytes.
 
     A null text has no words, a null language is ``und``; repeated rows count each. Texts of any length are read
-    whole. An empty table gives no rows; other columns aren't read, whatever their names.
+    whole. An empty table gives no rows; other columns aren't read, whatever their names. ``bits`` and ``pair_bits`` are
+    those of phrase_counts.
     """
-    phrases, vocabulary, totals = phrase_counts(docs, least, longest, text_col, lang_col)
+    phrases, vocabulary, totals = phrase_counts(docs, least, longest, text_col, lang_col, bits, pair_bits)
     candidates = phrases.where(F.size("words") >= 2).withColumnRenamed("f", "a")
     size = F.size("words")
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select("*", F.slice("words", F.lit(1), F.col("k")).alias("_first"), F.slice("words", F.col("k") + 1, size - F.col("k")).alias("_rest"))
