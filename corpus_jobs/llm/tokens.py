@@ -16,6 +16,15 @@ def word_ids(path: str) -> WordIds:
     return _WORKER[path]
 
 
+def _composed(text: str) -> bool:
+    return unicodedata.is_normalized("NFC", text)
+
+
+def _letters_only(text: str) -> bool:
+    """Whether lower-casing and normalising a text leave it as it is, letters only."""
+    return _composed(text) and (low := text.lower()).isalpha() and _composed(low)
+
+
 class _Spelling(dict):
     """How the tokenizer's splitter spells a letter for its model, asked for once."""
 
@@ -60,13 +69,17 @@ class WordIds:
         return pack(f"<{len(ids)}I", *ids)
 
     def _words(self, text: str) -> list[bytes]:
-        if self.folds and "Σ" not in text and unicodedata.is_normalized("NFC", text):
-            text = text.lower()  # capital sigma folds by context in Python only
+        # capital sigma folds by context in Python only; a text that isn't NFC, or no longer, would be composed after the fold
+        if self.folds and "Σ" not in text and _composed(text) and _composed(low := text.lower()):
+            text = low
         return text.encode().split()  # of bytes: at ASCII white space only
 
     def _learn(self, new: set[bytes]) -> None:
-        """Add words to the known ones; letters with marks behind them are the letters and the marks."""
-        ends = {w: root for w in new if (root := w.rstrip(self.marks)) != w and root.decode().isalpha()}
+        """Add words to the known ones; letters with marks behind them are the letters and the marks.
+
+        Letters that normalising or lower-casing takes apart give marks that would go with those behind them.
+        """
+        ends = {w: root for w in new if (root := w.rstrip(self.marks)) != w and _letters_only(root.decode())}
         parts = {part for w, root in ends.items() for part in (root, w[len(root) :])}
         unknown = []
         for w in new.difference(ends).union(parts):
@@ -74,7 +87,7 @@ class WordIds:
                 continue
             if w in self.older:
                 self.known[w] = self.older[w]
-            elif self.direct and (text := w.decode()).isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            elif self.direct and (text := w.decode()).isalpha() and text == text.lower() and _composed(text):
                 self.known[w] = self._letters(text)
             else:
                 unknown.append(w)

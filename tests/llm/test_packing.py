@@ -48,6 +48,31 @@ def test_words_give_the_ids_of_whole_texts():
             assert np.frombuffer(raw, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+#: Letters that lower-casing or normalising takes apart or reorders, marks that combine, and what stands beside them.
+ODD = [*"aAzZÉéßÀÅΣςσİıŒǅǈＡﬁﬀ１", *"WTJYHweo", *(chr(c) for c in (0x300, 0x301, 0x307, 0x308, 0x30A, 0x30C, 0x327, 0x323, 0x345, 0x93C, 0x5BC, 0x94D, 0x200D)), *"जडढगड़ढ़क़שׁאּכּ가각ᄀ", *"  \t\n\x1c\x85\xa0\u2028", *".,!?;:'\"()*-_#$[]{}<>@/\\|~`^%&+=", *"日本東漢豈", "\u0130\u0327", "W\u030a", "T\u0308", "J\u030c", "जड़,", "गढ़.", "\ufb2a.", "😀", "a" * 120, "<|endoftext|>", "\ufdfa", "\U0001d400", "\u1e9e"]
+
+
+@pytest.fixture(scope="module")
+def words():
+    return WordIds(PATH, keep=2000)
+
+
+def hold(words, texts):
+    for text, raw in zip(texts, words(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=30), st.lists(st.sampled_from(ODD), max_size=25).map("".join)), max_size=30))
+def test_ids_are_the_librarys_over_all_of_unicode(words, texts):
+    hold(words, texts)
+
+
+@pytest.mark.parametrize("text", ["W\u030ar", "T\u0308", "J\u030c", "\u0130\u0327", "जड़,", "गढ़.", "\ufb2a.", "\u095c\u095d, x", "É\u0301\u0327.", "ΑΣ. ΣΑ", "\u0130, \u0958"])
+def test_letters_that_come_apart(words, text):
+    hold(words, [text, f"a {text} b", f"{text}{text}", text.lower(), text.upper()])
+
+
 def test_documents_are_cut_and_packed_whole(spark):
     texts = ["word " * 40, "a b c", "", None, "x, " * 300, "a b c", "é" * 50]
     docs = spark.createDataFrame([(i if i != 4 else None, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, length string, offset int")
