@@ -113,7 +113,8 @@ _RAW_TAGS = "[' ' || lang || '  ' || source || ' ', upper(lang), '', lang, upper
 
 ORACLE_SQL: dict[str, str] = {
     "parse_notes": _sql("""
-        SELECT slug, url, title, CASE WHEN doc_id % 3 = 0 THEN 'Other: heading' ELSE title END AS heading, title AS list_title, NULL::VARCHAR AS description, lang, 'Notes' AS category, date, '' AS date_text,
+        SELECT CASE doc_id % 5 WHEN 0 THEN '_drafts/.h/' || slug WHEN 1 THEN '.' || category || '/_' || doc_id ELSE slug END AS slug, '/notes/' || (CASE doc_id % 5 WHEN 0 THEN '_drafts/.h/' || slug WHEN 1 THEN '.' || category || '/_' || doc_id ELSE slug END) || '.html' AS url,
+               title, CASE WHEN doc_id % 3 = 0 THEN 'Other: heading' ELSE title END AS heading, title AS list_title, NULL::VARCHAR AS description, lang, 'Notes' AS category, date, '' AS date_text,
                md5(regexp_replace(body, '^""" + SPACE + "+|" + SPACE + r"""+\z', '', 'g')) AS content_md5, published, array_to_string(list_transform(tags, lambda x: lower(x)) || ['odd-tag'], ',') AS tags FROM notes"""),
     "front_matter": _sql("SELECT slug, CASE WHEN published THEN 3 ELSE 4 END AS n_entries, title, title AS heading, lang, 'Notes' AS category, '' AS date, published FROM notes"),
     "merge_small_sections": _sql("""

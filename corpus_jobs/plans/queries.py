@@ -40,8 +40,12 @@ def _joined(c):
 
 @query
 def parse_notes(spark: SparkSession, d: str) -> DataFrame:
-    """A file per document, written to a tree in shared storage and read back: front matter, defaults, tags, slugs."""
-    n = t.notes(spark, d)
+    """A file per document, written to a tree in shared storage and read back: front matter, defaults, tags, slugs.
+
+    Some have hidden names or lie in hidden folders.
+    """
+    where = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("_drafts/.h/"), "slug")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("."), "source", F.lit("/_"), "doc_id")).otherwise(F.col("slug"))
+    n = t.notes(spark, d).withColumnRenamed("category", "source").withColumn("slug", where)
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), "title"), F.when(F.col("doc_id") % 3 == 0, F.lit("heading:  Other: heading ")), F.lit(""), F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("date:"), "date"), F.when(~F.col("published"), F.lit("published: False")), F.concat(F.lit("tags: "), F.concat_ws(" , ", F.transform("tags", F.upper)), F.lit(", ,Odd  Tag")), F.lit("---\n"))
     files = n.select(F.concat("slug", F.lit(".html")).alias("path"), F.concat(head, F.lit("\n "), "content_html", F.lit(" \n")).alias("raw"))
     root = t.note_files(spark, files)

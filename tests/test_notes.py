@@ -3,8 +3,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpus_jobs.operators import notes
+from corpus_jobs.plans import jobs
 from corpus_jobs.schemas import NOTES, PARSED
 from corpus_jobs.sources import codecs, tables
+from corpus_jobs.sources import files as source_files
 from corpus_jobs.sources.files import parse_notes, read_note_files
 
 FULL = """---
@@ -39,6 +41,37 @@ def test_files_are_found_and_parsed(spark, tmp_path):
     assert (note["slug"], note["url"], note["title"], note["content_html"]) == ("sub dir/one+a", "/notes/sub dir/one+a.html", "X", "body")
 
 
+def test_no_file_is_overlooked(spark, tmp_path):
+    names = ["a.html", "_b.html", ".d.html", "_drafts/c.html", ".hidden/deep/er/_x.y.html", "sub/a.html", "sub/A B%20c#?.html", "é/ü.html", "x.html/inner.html"]
+    for name in [*names, "no.htm", "sub/b.HTML", "c.html.bak"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"---\ntitle: {name}\n---\n{name}")
+    (tmp_path / "empty folder").mkdir()
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "link.html").symlink_to(tmp_path / "a.html")
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+        files = read_note_files(spark, root)
+        assert sorted(r["slug"] for r in parse_notes(files, root).collect()) == sorted(n.removesuffix(".html") for n in [*names, "link.html"])
+    (tmp_path / "sub" / "_none.html").write_text("")
+    with pytest.raises(PySparkException, match="_none.html: a note file must start"):
+        jobs.sync_notes(read_note_files(spark, str(tmp_path)), str(tmp_path), spark.createDataFrame([], NOTES), F.current_timestamp())[0].collect()
+    (tmp_path / "sub" / "_none.html").write_bytes(b"---\ntitle: \xff\n---\n")
+    with pytest.raises(PySparkException, match="_none.html is not UTF-8"):
+        read_note_files(spark, str(tmp_path)).collect()
+    with pytest.raises(PySparkException, match="nowhere"):
+        read_note_files(spark, f"{tmp_path}/nowhere").collect()
+    assert read_note_files(spark, str(tmp_path / "empty folder")).count() == 0
+
+
+def test_files_are_listed_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        (tmp_path / f"d{i % 30}" / f"e{i % 60}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 30}" / f"e{i % 60}" / f"{i}.html").write_text(f"---\ntitle: {i}\n---\n{i}")
+    monkeypatch.setattr(source_files, "FILES_A_TASK", 20)
+    found = read_note_files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 15 and found.count() == 300
+
+
 def test_front_matter(spark):
     (n,) = parsed(spark, FULL)
     assert n.asDict() == {
