@@ -87,18 +87,17 @@ def matched_terms(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
     return tokens.select(*CHUNK, "tokens").mapInArrow(matched, "slug string, chunk_index int, doc_len int, terms array<int>, tf array<int>")
 
 
-def _score_blocks(matched: DataFrame, entries: blocks.Entries, ids: pa.Array, kind: str, mean: float, k: int, k1: float, b: float) -> DataFrame:
-    """Every batch's k best chunks for every query, by products of chunks x terms with terms x queries."""
+def _best_of_tasks(matched: DataFrame, sums: blocks.BoundedSums, ids: pa.Array, kind: str, mean: float, k: int, k1: float, b: float) -> DataFrame:
+    """Every task's k best chunks for every query, once at its end."""
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = blocks.Best(sums.queries, k)
         for batch in blocks.small(batches):
-            slugs, numbers = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             rows, terms = pc.list_parent_indices(batch.column(3)).to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy()
             tf, length = batch.column(4).flatten().to_numpy().astype(float), batch.column(2).to_numpy()[rows]
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
-            for own, wanted, weights in entries.blocks():
-                scores = np.round(blocks.dense(rows, terms, part, batch.num_rows, wanted) @ weights, 10).T
-                q, at = blocks.k_smallest(np.where(scores > 0, -scores, np.nan), slugs, numbers, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + own.start)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(scores[q, at])], names=["query_id", "slug", "chunk_index", "score"])
+            sums.offer(kept, rows, terms, part, batch.column(0).to_pylist(), batch.column(1).to_numpy(), blocks.in_order(batch.column(0), batch.column(1)))
+        query, slugs, numbers, key = kept.found()
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(slugs, pa.string()), pa.array(numbers, pa.int32()), pa.array(-key)], names=["query_id", "slug", "chunk_index", "score"])
 
     return matched.mapInArrow(best, f"query_id {kind}, slug string, chunk_index int, score double")
 
@@ -108,8 +107,8 @@ def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5,
 
     Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. Query terms of ``broadcast_bytes`` or
     fewer go to every task: the corpus is tokenised once into a narrow table of the query terms that each chunk has,
-    which gives the statistics and then each batch's k best, so no postings are shuffled. More query terms meet the
-    postings in a join; the corpus is then tokenised twice.
+    which gives the statistics and then each task's k best by sparse sums with bounds (see blocks.BoundedSums), so no
+    postings are shuffled. More query terms meet the postings in a join; the corpus is then tokenised twice.
     """
     tokens, terms = tokenized(chunks), query_terms(queries)
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -132,6 +131,6 @@ def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5,
         idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
         term = words.indices.to_numpy().astype(np.int64)
         weight = np.where(df[term] > 0, asked["qtf"].to_numpy() * idf[term], 0.0)
-        entries = blocks.Entries(ids.indices.to_numpy().astype(np.int64), term, weight, len(ids.dictionary))
-        scores = _score_blocks(matched, entries, ids.dictionary, kind, mean or 1.0, k, k1, b)
+        sums = blocks.BoundedSums(ids.indices.to_numpy().astype(np.int64), term, weight, len(ids.dictionary), len(words.dictionary))
+        scores = _best_of_tasks(matched, sums, ids.dictionary, kind, mean or 1.0, k, k1, b)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

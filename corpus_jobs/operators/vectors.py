@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -24,25 +23,44 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
         return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def block_top_k(query_ids: np.ndarray, queries: np.ndarray, slugs: np.ndarray, numbers: np.ndarray, vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of one block of unit vectors for each unit query; distances that aren't numbers come last."""
-    distance = np.round(1.0 - queries @ vectors.T, DIGITS)
-    q, best = blocks.k_smallest(np.where(np.isnan(distance), np.inf, distance), slugs, numbers, k)
-    d = distance[q, best]
-    return pd.DataFrame({"query_id": query_ids[q], "slug": slugs[best], "chunk_index": numbers[best], "distance": d})
+class _Queries:
+    """Unit vectors of queries by their size; a query has no distance to a vector of another size."""
+
+    def __init__(self, vectors: list):
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        self.n = len(vectors)
+        self.of_size = [(int(size), own := np.flatnonzero(sizes == size), _unit(np.array([vectors[i] for i in own], dtype=np.float64).reshape(len(own), size))) for size in np.unique(sizes)]
+
+    def offer(self, best: blocks.Best, slugs: pa.Array, numbers: pa.Array, vectors: pa.Array, block: int = 1024) -> None:
+        """Give a batch of chunks to ``best``, by distance; without one, as of a zero vector, they come last."""
+        order, names, places = blocks.in_order(slugs, numbers), slugs.to_pylist(), numbers.to_numpy()
+        sizes = pc.list_value_length(vectors)
+        for size, queries, units in self.of_size:
+            same = pc.equal(sizes, size)
+            known = same.to_numpy(zero_copy_only=False)
+            x = _unit(vectors.filter(same).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(1, size)))
+            for at in range(0, len(queries), block):
+                own = queries[at : at + block]
+                distance = np.full((len(own), len(known)), np.inf)
+                if size and len(x):
+                    near = np.round(1.0 - units[at : at + block] @ x.T, DIGITS)
+                    distance[:, known] = np.where(np.isnan(near), np.inf, near)
+                q, row = np.nonzero(distance <= best.worst[own][:, None])
+                best.offer(own[q], row, distance[q, row], names, places, order)
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return _unit(np.stack(column.to_numpy()).astype(np.float64))
+def _kept(best: blocks.Best, ids: pa.Array) -> pa.RecordBatch:
+    query, slugs, numbers, key = best.found()
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(slugs, pa.string()), pa.array(numbers, pa.int32()), pa.array(key, mask=np.isinf(key))], names=["query_id", "slug", "chunk_index", "distance"])
 
 
 def semantic_top_k(queries: DataFrame, chunks: DataFrame, k: int, broadcast_bytes: int = 32 << 20, block: int = 4096) -> DataFrame:
     """(query_id, slug, chunk_index, distance, rank): the k chunks (slug, chunk_index, embedding) nearest to each query.
 
-    Queries (query_id, embedding) of ``broadcast_bytes`` or fewer go to every task in one matrix, and only each
-    batch's k best are shuffled. More queries are dealt into blocks that meet blocks of chunks, a pair to a task.
-    Distances count to 12 digits; ties go to the smaller slug, then chunk_index. Null embeddings take no part; a zero
-    vector has no distance and comes last. k <= 0 gives no rows.
+    Queries (query_id, embedding) of ``broadcast_bytes`` or fewer go to every task, and only each task's k best are
+    shuffled. More queries are dealt into blocks that meet blocks of chunks, a pair to a task. Distances count to 12
+    digits; ties go to the smaller slug, then chunk_index. Null embeddings take no part; a zero vector, and one of
+    another size than the query's, has no distance and comes last. k <= 0 gives no rows.
     """
     spark = queries.sparkSession
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
@@ -52,30 +70,31 @@ def semantic_top_k(queries: DataFrame, chunks: DataFrame, k: int, broadcast_byte
         return spark.createDataFrame([], schema + ", rank int")
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("c")).first()
     if size["c"] * 8 <= broadcast_bytes:
-        local = asked.toPandas()
-        ids, matrix = local["query_id"].to_numpy(), _matrix(local["embedding"]) if len(local) else np.zeros((0, 1))
+        local = asked.toArrow().combine_chunks()
+        ids, known = local["query_id"].combine_chunks(), _Queries(local["embedding"].to_pylist())
 
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(ids):
-                    vectors = _matrix(batch["embedding"])
-                    for at in range(0, len(ids), 1024):
-                        yield block_top_k(ids[at : at + 1024], matrix[at : at + 1024], batch["slug"].to_numpy(), batch["chunk_index"].to_numpy(), vectors, k)
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = blocks.Best(known.n, k)
+            for batch in blocks.small(batches):
+                known.offer(best, *batch.columns)
+            yield _kept(best, ids)
 
-        found = rows.mapInPandas(search, schema)
+        found = rows.mapInArrow(search, schema)
     else:
         q_blocks, c_blocks = -(-size["n"] // 1024), max(1, -(-rows.count() // block))
         left = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"), "c": F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))})
         right = rows.withColumns({"c": F.pmod(F.xxhash64(*CHUNK), F.lit(c_blocks)).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
 
-        def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "slug": [], "chunk_index": [], "distance": []})
-            return block_top_k(a["query_id"].to_numpy(), _matrix(a["embedding"]), b["slug"].to_numpy(), b["chunk_index"].to_numpy(), _matrix(b["embedding"]), k)
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            a, b = a.combine_chunks(), b.combine_chunks()
+            known = _Queries(a["embedding"].to_pylist())
+            best = blocks.Best(known.n, k)
+            for batch in blocks.small(b.to_batches()):
+                known.offer(best, *(batch.column(name) for name in (*CHUNK, "embedding")))
+            return pa.Table.from_batches([_kept(best, a["query_id"].combine_chunks())])
 
-        found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(meet, schema)
+        found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), *CHUNK)
-    found = found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

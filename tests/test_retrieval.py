@@ -3,10 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_jobs.operators import dialogs, lexical, tags, vectors
+from corpus_jobs.operators import blocks, dialogs, lexical, tags, vectors
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.params import Chunking, Dialogs, Embedding, Ranking
 from corpus_jobs.plans import jobs
@@ -54,6 +55,66 @@ def test_bm25_against_plain_python(spark, bound):
     assert ranked(got, "slug", "chunk_index") == want
 
 
+def test_bounded_sums_of_many_queries():
+    """2,000 queries of frequent and rare terms over batches of chunks, many of them equal, against all products."""
+    rng = np.random.default_rng(4)
+    n_terms, n_queries, n_rows, k = 3000, 2000, 4096, 10
+    shares = 1 / np.arange(1, n_terms + 1)
+    shares /= shares.sum()
+    chunks = [dict(zip(*np.unique(rng.choice(n_terms, rng.integers(0, 120), p=shares), return_counts=True), strict=True)) for _ in range(n_rows // 2)]
+    chunks = [c for c in chunks for _ in range(2)]
+    df = np.zeros(n_terms)
+    for c in chunks:
+        df[list(c)] += 1
+    idf = np.log(1 + (n_rows - df + 0.5) / (df + 0.5))
+    asked = [np.unique(rng.choice(n_terms, 12, p=shares)) for _ in range(n_queries)]
+    query, term = np.repeat(np.arange(n_queries), [len(a) for a in asked]), np.concatenate(asked)
+    sums = blocks.BoundedSums(query, term, idf[term], n_queries, n_terms)
+    best = blocks.Best(n_queries, k)
+    names, numbers = [f"s{i * 7919 % 1000:04}" for i in range(n_rows)], np.arange(n_rows)
+    dense, weights = np.zeros((n_rows, n_terms)), np.zeros((n_terms, n_queries))
+    np.add.at(weights, (term, query), idf[term])
+    for i, c in enumerate(chunks):
+        for t, tf in c.items():
+            dense[i, t] = tf * 2.5 / (tf + 1.5)
+    for at in range(0, n_rows, 1024):
+        own = slice(at, at + 1024)
+        rows, terms = np.nonzero(dense[own])
+        order = blocks.in_order(pa.array(names[own]), pa.array(numbers[own]))
+        sums.offer(best, rows, terms, dense[own][rows, terms], names[own], numbers[own], order, most=300_000)
+    scores = np.round(dense @ weights, 10)
+    matching = ((dense > 0).astype(float) @ (weights > 0)).sum()
+    assert sums.products < matching  # fewer than all matching entries, far below rows x terms x queries
+    got = {}
+    for q, slug, number, key in zip(*best.found(), strict=True):
+        got.setdefault(q, []).append((key, slug, number))
+    for q in range(n_queries):
+        near = np.flatnonzero(scores[:, q] > 0)
+        want = sorted((-scores[i, q], names[i], i) for i in near)[:k]
+        assert [(round(x, 9), s, i) for x, s, i in got.get(q, [])] == [(round(x, 9), s, i) for x, s, i in want]
+
+
+def test_a_task_gives_each_query_once(spark):
+    chunks = spark.createDataFrame([(f"s{i}", 0, "T", "h", f"cat w{i % 5}") for i in range(5000)], "slug string, chunk_index int, title string, heading string, text string").repartition(3)
+    asked = pa.table({"query_id": [1, 2], "term": ["cat", "w1"]})
+    matched = lexical.matched_terms(lexical.tokenized(chunks), asked["term"].to_pylist())
+    sums = blocks.BoundedSums(np.array([0, 1]), np.array([0, 1]), np.array([1.0, 1.0]), 2, 2)
+    found = lexical._best_of_tasks(matched, sums, asked["query_id"].combine_chunks(), "bigint", 4.0, 7, 1.5, 0.75)
+    assert found.count() == 3 * 2 * 7
+
+
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_vectors_of_other_sizes_come_last(spark, bound):
+    chunks = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("c", 0, [1.0, 0.0, 0.0]), ("d", 0, []), ("e", 0, [0.0, 0.0]), ("f", 0, None), ("g", 0, [1.0, None])], "slug string, chunk_index int, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, []), (4, None)], "query_id long, embedding array<float>")
+    got = ranked(vectors.semantic_top_k(queries, chunks, 9, broadcast_bytes=bound, block=2), "slug", "distance")
+    assert got == [
+        *((1, i + 1, s, d) for i, (s, d) in enumerate([("a", 0.0), ("b", 1.0), ("c", None), ("d", None), ("e", None), ("g", None)])),
+        *((2, i + 1, s, d) for i, (s, d) in enumerate([("c", 1.0), ("a", None), ("b", None), ("d", None), ("e", None), ("g", None)])),
+        *((3, i + 1, s, None) for i, s in enumerate("abcdeg")),
+    ]
+
+
 @pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_nearest_vectors_in_either_way(spark, bound):
     x = np.random.default_rng(0).standard_normal((200, 8)).astype(np.float32)
