@@ -87,13 +87,31 @@ def matched_terms(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
     return tokens.select(*CHUNK, "tokens").mapInArrow(matched, "slug string, chunk_index int, doc_len int, terms array<int>, tf array<int>")
 
 
+def _with_titles(matched: DataFrame, titles: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``matched`` of chunks without titles, with what the titles (slug, tokens) of their slugs add; other slugs' chunks go."""
+    heads = matched_terms(titles.select("slug", F.lit(0).alias("chunk_index"), "tokens"), vocabulary).select("slug", F.col("doc_len").alias("_len"), F.col("terms").alias("_terms"), F.col("tf").alias("_tf"))
+    return matched.join(heads, "slug").select(*CHUNK, (F.col("doc_len") + F.col("_len")).alias("doc_len"), F.concat("terms", "_terms").alias("terms"), F.concat("tf", "_tf").alias("tf"))
+
+
+def _postings_with_titles(body: DataFrame, titles: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of ``terms``, corpus_stats) of chunks whose titles (slug, tokens) stand apart; only keys, terms and counts are shuffled."""
+    sizes = materialise(body.select(*CHUNK, F.size("tokens").alias("_n")).join(titles.select("slug", F.size("tokens").alias("_t")), "slug").select(*CHUNK, (F.col("_n") + F.col("_t")).alias("doc_len")), "lengths")
+    own = lexical_index(body, terms).select("term", *CHUNK, "tf")
+    heads = lexical_index(titles.select("slug", F.lit(0).alias("chunk_index"), "tokens"), terms).select("term", "slug", "tf").join(sizes.select(*CHUNK), "slug").select("term", *CHUNK, "tf")
+    postings = own.unionByName(heads).groupBy("term", *CHUNK).agg(F.sum("tf").alias("tf")).join(sizes, list(CHUNK))
+    return postings, sizes.agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avg_len"))
+
+
 def _best_of_tasks(matched: DataFrame, sums: blocks.BoundedSums, ids: pa.Array, kind: str, mean: float, k: int, k1: float, b: float) -> DataFrame:
     """Every task's k best chunks for every query, once at its end."""
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = blocks.Best(sums.queries, k)
         for batch in blocks.small(batches):
             rows, terms = pc.list_parent_indices(batch.column(3)).to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy()
-            tf, length = batch.column(4).flatten().to_numpy().astype(float), batch.column(2).to_numpy()[rows]
+            # a term may be there twice, from a chunk's title and from its text
+            keys, of = np.unique(rows * sums.terms + terms, return_inverse=True)
+            rows, terms = np.divmod(keys, max(1, sums.terms))
+            tf, length = np.bincount(of, batch.column(4).flatten().to_numpy(), len(keys)), batch.column(2).to_numpy()[rows]
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
             sums.offer(kept, rows, terms, part, batch.column(0).to_pylist(), batch.column(1).to_numpy(), blocks.in_order(batch.column(0), batch.column(1)))
         query, slugs, numbers, key = kept.found()
@@ -102,14 +120,21 @@ def _best_of_tasks(matched: DataFrame, sums: blocks.BoundedSums, ids: pa.Array,
     return matched.mapInArrow(best, f"query_id {kind}, slug string, chunk_index int, score double")
 
 
-def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, broadcast_bytes: int = 32 << 20, titles: DataFrame | None = None) -> DataFrame:
     """(query_id, slug, chunk_index, score, rank): the k best chunks of each query; scores of 0 and k <= 0 give no rows.
 
     Ties (scores rounded to 10 digits) go to the smaller slug, then chunk_index. Query terms of ``broadcast_bytes`` or
     fewer go to every task: the corpus is tokenised once into a narrow table of the query terms that each chunk has,
     which gives the statistics and then each task's k best by sparse sums with bounds (see blocks.BoundedSums), so no
     postings are shuffled. More query terms meet the postings in a join; the corpus is then tokenised twice.
+
+    With ``titles`` (slug, title, a row each) chunks need no title, and those of other slugs take no part. Titles meet
+    counts of terms then, so that no text is shuffled.
     """
+    heads = None
+    if titles is not None:
+        chunks = chunks.select(*CHUNK, F.lit("").alias("title"), "heading", "text")
+        heads = titles.select("slug", lexical_tokens(F.col("title")).alias("tokens"))
     tokens, terms = tokenized(chunks), query_terms(queries)
     kind = queries.schema["query_id"].dataType.simpleString()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *CHUNK)
@@ -118,14 +143,22 @@ def rank_lexical(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5,
         return queries.sparkSession.createDataFrame([], f"query_id {kind}, slug string, chunk_index int, score double, rank int")
     if size > broadcast_bytes:
         distinct = terms.select("term").distinct()
-        stats, frequencies = term_statistics(tokens, distinct)
-        scores = bm25_scores(terms, lexical_index(tokens, distinct), stats, frequencies, k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
+        if heads is None:
+            stats, frequencies = term_statistics(tokens, distinct)
+            postings = lexical_index(tokens, distinct)
+        else:
+            postings, stats = _postings_with_titles(tokens, heads, distinct)
+            postings = materialise(postings, "postings")
+            frequencies = document_frequencies(postings)
+        scores = bm25_scores(terms, postings, stats, frequencies, k1, b).withColumn("score", F.round("score", 10)).where("score > 0")
     else:
         asked = terms.toArrow()
         words, ids = asked["term"].combine_chunks().dictionary_encode(), asked["query_id"].combine_chunks().dictionary_encode()
-        matched = materialise(matched_terms(tokens, words.dictionary.to_pylist()), "matched-terms")
+        vocabulary = words.dictionary.to_pylist()
+        matched = matched_terms(tokens, vocabulary)
+        matched = materialise(matched if heads is None else _with_titles(matched, heads, vocabulary), "matched-terms")
         count, mean = matched.agg(F.count("*"), F.avg("doc_len")).first()
-        found = matched.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toPandas()
+        found = matched.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).toPandas()
         df = np.zeros(len(words.dictionary))
         df[found["t"].to_numpy(np.int64)] = found["df"]
         idf = np.log(1 + (count - df + 0.5) / (df + 0.5))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpus_jobs.functions.text import chunk_hash
 from corpus_jobs.operators import lexical, vectors
+from corpus_jobs.operators.bitmaps import rows_of
 from corpus_jobs.operators.embed import Loader, embed_texts
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
-from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, published_tags, visible_chunks, visible_notes
+from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, visible_notes
 from corpus_jobs.operators.sync import KEYS, changed_chunks, sync_counts
 from corpus_jobs.operators.tags import tag_neighbors, wanted_tags
 from corpus_jobs.params import Chunking, Embedding, Ranking
@@ -57,46 +58,67 @@ def sync_chunks(notes: DataFrame, stored: DataFrame, load: Loader, now: Column,
     return same.select(*columns).unionByName(embedded.select(*columns)), sync_counts(changes)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking()) -> DataFrame:
-    """The fused best hits of queries (query_id, text, embedding) over visible chunks: rank, score, distance and the chunk's text."""
-    visible = visible_chunks(chunks, notes, as_of)
-    semantic = vectors.semantic_top_k(queries, visible, params.depth if params.top_k > 0 else 0)
-    ranked = lexical.rank_lexical(queries, visible, params.depth if params.top_k > 0 else 0, params.k1, params.b)
+def _shown(notes: DataFrame, as_of: str) -> DataFrame:
+    """(slug, title, url, tags) of the visible notes, written, as searches read them several times."""
+    return materialise(visible_notes(notes, as_of).select("slug", "title", "url", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")), "visible-notes")
+
+
+def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking(), broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The fused best hits of queries (query_id, text, embedding) over visible chunks: rank, score, distance and the chunk's text.
+
+    Which chunks are visible is told where they are read (see bitmaps.rows_of); the searches shuffle keys, distances
+    and counts of terms, and texts only of what was found. Up to ``broadcast_bytes`` of slugs, vectors or query terms go
+    to every task; see the searches for what they do beyond.
+    """
+    shown = _shown(notes, as_of)
+    visible = rows_of(chunks, "slug", shown, broadcast_bytes)
+    depth = params.depth if params.top_k > 0 else 0
+    semantic = vectors.semantic_top_k(queries, visible, depth, broadcast_bytes)
+    ranked = lexical.rank_lexical(queries, visible, depth, params.k1, params.b, broadcast_bytes, shown.select("slug", "title"))
     hits = reciprocal_rank_fusion(semantic, ranked, params.top_k, params.rrf_k, params.semantic_weight, params.lexical_weight)
-    return with_texts(hits, chunks, notes, as_of)
+    return _with_texts(hits, chunks, shown, broadcast_bytes)
 
 
-def with_texts(hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, *others: str) -> DataFrame:
+def _with_texts(hits: DataFrame, chunks: DataFrame, shown: DataFrame, broadcast_bytes: int, *others: str) -> DataFrame:
     """``hits`` (slug, chunk_index and what else) with the chunks' columns but their vectors, and their notes' title, url and ``others``.
 
-    Few hits go to the chunks and the notes, so that neither is shuffled.
+    Only chunks of hits leave the place where they are read.
     """
     kept = materialise(hits, "hits")
+    few = kept.count() <= FEW
+    wanted = shown.select("slug", "title", "url", *others)
+    if few:
+        wanted = wanted.join(F.broadcast(kept.select("slug").distinct()), "slug", "left_semi")
+    named = kept.join(wanted, "slug")
     rows = chunks.select(*(c for c in chunks.columns if c != "embedding"))
-    shown = visible_notes(notes, as_of).select("slug", "title", "url", *others)
-    if kept.count() <= FEW:
-        kept = F.broadcast(kept)
-        shown = shown.join(F.broadcast(kept.select("slug").distinct()), "slug", "left_semi")
-    return rows.join(kept, list(KEYS)).join(shown, "slug")
+    if few:
+        return rows.join(F.broadcast(named), list(KEYS))
+    return rows_of(rows, "slug", kept.select("slug"), broadcast_bytes).join(named, list(KEYS))
 
 
 def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest chunks of notes that share tags with a query's hits, with the tags they share.
 
     Queries, their hits and the tags they want go to every task up to ``broadcast_bytes``: chunks are then scored where
-    they are read. Beyond that every query meets its candidates in a join, keys and vectors only. In either case texts
-    are joined to what was found.
+    they are read. Beyond that every query meets its candidates in a join, keys and vectors only. Of the corpus only
+    chunks of notes with a wanted tag take part in either, and texts are joined to what was found.
     """
-    tagged = published_tags(notes, as_of)
+    shown = _shown(notes, as_of)
     hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
-    wanted = materialise(wanted_tags(hit, tagged), "wanted-tags")
+    wanted = materialise(wanted_tags(hit, shown), "wanted-tags")
     size = sum(df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((hit, F.octet_length("slug") + 16), (wanted, F.octet_length("tag") + 24), (queries, F.coalesce(F.size("embedding"), F.lit(0)) * 8)))
-    candidates = chunks.select(*KEYS, "embedding").join(tagged, "slug")
+    tagged = shown.select("slug", "tags")
     if k > 0 and size <= broadcast_bytes:
+        # tags that nobody wants would only make the rows wider
+        near = tagged.crossJoin(F.broadcast(wanted.agg(F.collect_set("tag").alias("_all")))).select("slug", F.array_intersect("tags", "_all").alias("tags")).where(F.size("tags") > 0)
+        near = materialise(near, "notes-near")
+        bytes_near = near.agg(F.coalesce(F.sum(F.octet_length("slug") + 16 + F.octet_length(F.array_join("tags", "")) + 8 * F.size("tags")), F.lit(0))).first()[0]
+        candidates = chunks.select(*KEYS, "embedding").join(F.broadcast(near) if bytes_near <= broadcast_bytes else near, "slug")
         found = vectors.tagged_top_k(queries, wanted, hit, candidates, k)
     else:
-        near = vectors.chunks_in_slugs(candidates.drop("tags"), tag_neighbors(hit, tagged).select("query_id", "slug"))
+        pairs = tag_neighbors(hit, tagged).select("query_id", "slug")
+        near = vectors.chunks_in_slugs(rows_of(chunks.select(*KEYS, "embedding"), "slug", pairs, broadcast_bytes), pairs)
         found = vectors.restricted_top_k(queries, near, k)
     own = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))
-    shared = with_texts(found, chunks, notes, as_of, "tags").join(own, "query_id")
+    shared = _with_texts(found, chunks, shown, broadcast_bytes, "tags").join(own, "query_id")
     return shared.withColumn("shared_tags", F.array_intersect("tags", "_wanted")).drop("tags", "_wanted")

@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_jobs.operators import blocks, dialogs, lexical, tags, vectors
+from corpus_jobs.operators import bitmaps, blocks, dialogs, lexical, tags, vectors
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
+from corpus_jobs.operators.notes import visible_chunks
 from corpus_jobs.params import Chunking, Dialogs, Embedding, Ranking
 from corpus_jobs.plans import jobs
 
@@ -168,6 +169,76 @@ def test_search_and_widening(spark):
     assert jobs.hybrid_search(asked, chunks, notes, "2025", Ranking(top_k=0)).count() == 0
 
 
+def exchanged(df):
+    """The names of the columns that go through each shuffle of a plan."""
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            found.append([node.output().apply(i).name() for i in range(node.output().size())])
+    return found
+
+
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_search_shuffles_no_text_or_vector_of_the_corpus(spark, tmp_path, bound, monkeypatch):
+    """With broadcast joins off, nothing but keys and counts of the corpus goes through a shuffle, in any job of a search."""
+    rng = random.Random(2)
+    notes = spark.createDataFrame([(f"s{i}", f"/n/{i}", f"T{i} w{i % 7}", i % 9 != 4, "2024", ["x"]) for i in range(80)], "slug string, url string, title string, published boolean, date string, tags array<string>")
+    data = [(f"s{i}", j, "h", " ".join(rng.choices([f"w{n}" for n in range(20)], k=8)), np.random.default_rng(i * 2 + j).standard_normal(4).astype(np.float32).tolist()) for i in range(90) for j in range(2)]
+    spark.createDataFrame(data, "slug string, chunk_index int, heading string, text string, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = spark.createDataFrame([(q, f"w{q} w3 t{q}", np.random.default_rng(900 + q).standard_normal(4).astype(np.float32).tolist()) for q in range(5)], "query_id long, text string, embedding array<float>")
+    want = ranked(jobs.hybrid_search(asked, chunks, notes, "2025"), "slug", "chunk_index", "score", "text", "title")
+    titled = visible_chunks(chunks, notes, "2025")
+    both = reciprocal_rank_fusion(vectors.semantic_top_k(asked, titled, 24), lexical.rank_lexical(asked, titled, 24), 6)
+    assert [w[:5] for w in want] == ranked(both, "slug", "chunk_index", "score") and len(want) == 30
+    plans = []
+    for module in (bitmaps, lexical, jobs):
+        monkeypatch.setattr(module, "materialise", lambda df, label, write=module.materialise: plans.append((label, df)) or write(df, label))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = jobs.hybrid_search(asked, chunks, notes, "2025", broadcast_bytes=bound)
+        assert ranked(found, "slug", "chunk_index", "score", "text", "title") == want
+        visible = bitmaps.rows_of(chunks, "slug", notes.where("published"), bound)
+        assert all(names == ["slug"] for names in exchanged(visible)) or bound == 0
+        assert {r["slug"] for r in visible.collect()} == {f"s{i}" for i in range(80) if i % 9 != 4}
+        if bound:
+            assert len(plans) >= 3
+            for label, df in [*plans, ("result", found)]:
+                assert not {"text", "embedding", "tokens"} & {n for names in exchanged(df) for n in names}, label
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_rows_of_keys_exactly(spark, bits, monkeypatch):
+    """Also where bitmaps are so small that most other keys pass them."""
+    monkeypatch.setattr(bitmaps, "MOST_BITS", bits)
+    rows = spark.createDataFrame([(f"k{i % 300}" if i % 50 else None, i, "x") for i in range(1000)], "slug string, n int, _bucket string").repartition(3)
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 400, 3)] * 2 + [(None,)], "slug string")
+    for bound in (0, 1 << 20):
+        got = bitmaps.rows_of(rows, "slug", keys, bound)
+        assert got.columns == rows.columns
+        assert sorted(r["n"] for r in got.collect()) == [i for i in range(1000) if i % 50 and (i % 300) % 3 == 0]
+    assert bitmaps.rows_of(rows, "slug", keys.where("false"), 0).count() == 0
+    assert bitmaps.rows_of(rows.where("false"), "slug", keys, 0).count() == 0
+
+
+@pytest.mark.parametrize("bound", [32 << 20, 0])
+def test_titles_apart_give_the_same_ranking(spark, bound):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9)]
+    notes = spark.createDataFrame([(f"s{i}", " ".join(rng.choices(words, k=rng.randint(0, 3)))) for i in range(12)], "slug string, title string")
+    chunks = spark.createDataFrame([(f"s{i % 14}", i // 14, rng.choice(words), " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(70)], "slug string, chunk_index int, heading string, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=3))) for q in range(6)], "query_id long, text string")
+    want = ranked(lexical.rank_lexical(asked, chunks.join(notes, "slug"), 7), "slug", "chunk_index", "score")
+    assert ranked(lexical.rank_lexical(asked, chunks, 7, broadcast_bytes=bound, titles=notes), "slug", "chunk_index", "score") == want and len(want) > 30
+
+
 @pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_widening_against_plain_python(spark, bound):
     rng, data = random.Random(5), np.random.default_rng(2)
