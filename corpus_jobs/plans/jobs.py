@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpus_jobs.functions.text import chunk_hash
 from corpus_jobs.operators import lexical, vectors
 from corpus_jobs.operators.bitmaps import rows_of
-from corpus_jobs.operators.embed import Loader, embed_texts
+from corpus_jobs.operators.embed import Loader, embed_once
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, visible_notes
 from corpus_jobs.operators.sync import KEYS, changed_chunks, sync_counts
@@ -35,27 +35,79 @@ def sync_notes(files: DataFrame, root: str, stored: DataFrame, now: Column) -> t
     return both.withColumns(times).select(*stored.columns), files.agg(F.count("*").alias("seeded"))
 
 
-def check_embedding_dim(stored: DataFrame, dim: int) -> DataFrame:
-    """``stored``, or no rows of it if one of its vectors has another size."""
-    if stored.where(F.size("embedding") != dim).limit(1).count():
-        return stored.limit(0)
-    return stored
+def check_embedding_dim(stored: DataFrame, dim: int, stats: DataFrame | None = None) -> DataFrame:
+    """``stored``, or no rows of it if one of its vectors has another size.
+
+    With what was observed when it was written (see tables.write_chunks) no vector is read for that. A snapshot of
+    which nothing was observed is looked through.
+    """
+    seen = None if stats is None else stats.first()
+    if seen is None:
+        other = stored.where(F.size("embedding") != dim).limit(1).count()
+    else:
+        other = seen["least_dim"] is not None and (seen["least_dim"] != dim or seen["greatest_dim"] != dim)
+    return stored.limit(0) if other else stored
+
+
+def note_digest(embedding: Embedding, chunking: Chunking) -> Column:
+    """Fingerprint of all that a note's chunks and their hashes follow from."""
+    return F.sha2(F.to_json(F.struct("title", "heading", "content_html", F.lit(embedding.model).alias("model"), F.lit(chunking.min_section).alias("least"), F.lit(chunking.max_piece).alias("most"))), 256)
+
+
+def _marks(chunks: DataFrame) -> DataFrame:
+    """(slug, n, mark): how many chunks of a note there are, and a fingerprint of their numbers and hashes."""
+    return chunks.groupBy("slug").agg(F.count("*").alias("n"), F.sum(F.xxhash64("chunk_index", "content_hash").cast("decimal(38,0)")).alias("mark"))
+
+
+#: What is known of the notes of a chunks snapshot: the digest of the note, how many chunks it gave, and their mark.
+DIGESTS = "slug string, digest string, n bigint, mark decimal(38,0)"
+
+
+def sync_changed_notes(
+    notes: DataFrame, stored: DataFrame, known: DataFrame | None, load: Loader, now: Column, embedding: Embedding = Embedding(), chunking: Chunking = Chunking(), stats: DataFrame | None = None, vectors_at: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The new chunks snapshot, one row (embedded, unchanged), and the new digests, which the next sync gets as ``known``.
+
+    A note whose digest is known, and whose stored chunks are those that it gave then, is neither parsed nor chunked;
+    its rows stay. Other notes are chunked once, into a written table; of their chunks those with the stored hash keep
+    the stored row. Each text that is left goes to the model once (see embed_once, whose store is ``vectors_at``). Chunks
+    of notes that aren't published any more, and tails, fall away. Of stored rows only keys and hashes are shuffled, and
+    whole rows of changed notes. ``stats`` is what was observed of the stored snapshot.
+    """
+    spark = notes.sparkSession
+    kept = check_embedding_dim(stored, embedding.dim, stats)
+    current = embeddable_notes(notes).select("slug", "title", "heading", "content_html", note_digest(embedding, chunking).alias("digest"))
+    before = spark.createDataFrame([], DIGESTS) if known is None else known.select("slug", "digest", "n", "mark")
+    there = _marks(kept).select("slug", F.col("n").alias("_n"), F.col("mark").alias("_mark"))
+    whole = before.join(there, "slug", "left").where((F.col("n") == F.coalesce("_n", F.lit(0))) & F.col("mark").eqNullSafe(F.coalesce("_mark", F.lit(0).cast("decimal(38,0)"))))
+    same_notes = materialise(current.select("slug", "digest").join(whole.select("slug", "digest", "n", "mark"), ["slug", "digest"]), "unchanged-notes")
+    changed = current if known is None else current.join(same_notes.select("slug"), "slug", "left_anti")
+    new = materialise(chunk_notes(changed, chunking).withColumn("content_hash", chunk_hash(F.col("text"), embedding.model)), "new-chunks")
+    changes = materialise(changed_chunks(new.select(*KEYS, "content_hash"), kept).select(*KEYS, "is_changed"), "changes")
+
+    pending = new.join(changes.where("is_changed").select(*KEYS), list(KEYS), "left_semi").repartition(F.xxhash64(*KEYS))
+    embedded = embed_once(pending, "text", "content_hash", load, embedding.dim, "passage", embedding.batch_size, vectors_at).withColumn("updated_at", now)
+    same = changes.where(~F.col("is_changed")).select(*KEYS)
+    columns = [f.name for f in CHUNKS.fields]
+    stays = [rows_of(kept, "slug", same).join(same, list(KEYS), "left_semi")] + ([] if known is None else [rows_of(kept, "slug", same_notes)])
+    snapshot = embedded.select(*columns)
+    for part in stays:
+        snapshot = snapshot.unionByName(part.select(*columns))
+
+    counts = sync_counts(changes).crossJoin(same_notes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n")))
+    counts = counts.select("embedded", (F.col("unchanged") + F.col("_n")).alias("unchanged"))
+    nothing = (F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark"))
+    digests = changed.select("slug", "digest").join(_marks(new), "slug", "left").select("slug", "digest", *nothing)
+    return snapshot, counts, same_notes.select("slug", "digest", "n", "mark").unionByName(digests)
 
 
 def sync_chunks(notes: DataFrame, stored: DataFrame, load: Loader, now: Column, embedding: Embedding = Embedding(), chunking: Chunking = Chunking()) -> tuple[DataFrame, DataFrame]:
-    """The new chunks snapshot, and one row (embedded, unchanged).
+    """The new chunks snapshot, and one row (embedded, unchanged), where nothing is known of the notes but their stored chunks.
 
     Its keys are those of the published notes' chunks as they are now, so tails and stale notes fall away by
-    themselves. Chunks with the stored hash keep the stored row; the others are dealt out anew and embedded.
+    themselves. Chunks with the stored hash keep the stored row. See sync_changed_notes.
     """
-    kept = check_embedding_dim(stored, embedding.dim)
-    new = chunk_notes(embeddable_notes(notes), chunking).withColumn("content_hash", chunk_hash(F.col("text"), embedding.model))
-    changes = changed_chunks(new, kept)
-    pending = changes.where("is_changed").drop("is_changed").repartition(F.xxhash64(*KEYS))
-    embedded = embed_texts(pending, "text", load, embedding.dim, "passage", embedding.batch_size).withColumn("updated_at", now)
-    same = kept.join(changes.where(~F.col("is_changed")).select(*KEYS), list(KEYS), "left_semi")
-    columns = [f.name for f in CHUNKS.fields]
-    return same.select(*columns).unionByName(embedded.select(*columns)), sync_counts(changes)
+    return sync_changed_notes(notes, stored, None, load, now, embedding, chunking)[:2]
 
 
 def _shown(notes: DataFrame, as_of: str) -> DataFrame:

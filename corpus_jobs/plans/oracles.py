@@ -183,6 +183,9 @@ ORACLE_SQL: dict[str, str] = {
         found AS (SELECT page_id, pos, regexp_replace(x[1], '^{SPACE}+|{SPACE}+\\z', '', 'g') AS heading, text FROM decoded JOIN texts USING (page_id, pos))
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, nullif(heading, '') AS heading, text FROM found WHERE text <> '' OR coalesce(heading, '') <> ''""",
     "chunk_notes": _sql("SELECT slug, chunk_index, heading, text FROM noted", _NOTED),
+    "sync_changed_notes": _sql(
+        f"""SELECT slug, chunk_index, sha256('{MODEL}' || chr(0) || text) AS content_hash, 32 AS dim, CASE WHEN edited IS NULL OR edited THEN '2024-03-01' ELSE '2024-01-01' END AS updated
+        FROM noted LEFT JOIN known USING (doc_id) WHERE published""", _CHANGES, _NOTED),
     "sync_chunks": _sql(f"""
         SELECT slug, chunk_index, sha256('{MODEL}' || chr(0) || text) AS content_hash, 32 AS dim, CASE WHEN edited THEN '2024-03-01' WHEN edited IS NULL THEN '2024-03-01' ELSE '2024-01-01' END AS updated
         FROM noted LEFT JOIN known USING (doc_id) WHERE published""", _NOTED, _CHANGES),

@@ -397,4 +397,18 @@ def sync_chunks(spark, d):
     return chunks.select("slug", "chunk_index", "content_hash", F.size("embedding").alias("dim"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+@query
+def sync_changed_notes(spark, d):
+    """Two syncs: of the known documents, some with another title then, and of all; the second skips the notes that are as they were."""
+    load, params = hashing_embedder(32), Embedding(MODEL, 32)
+    n = t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html")))
+    old = n.join(t.known_before(spark, d), "doc_id").withColumn("title", F.when(F.col("edited"), F.concat(F.lit("Old "), "title")).otherwise(F.col("title"))).drop("edited")
+    path, vectors_at = shared_dir(spark, "snapshot"), shared_dir(spark, "vectors")
+    nothing = spark.createDataFrame([], CHUNKS)
+    first, _, digests = jobs.sync_changed_notes(old, nothing, spark.createDataFrame([], jobs.DIGESTS), load, F.lit("2024-01-01 00:00:00").cast("timestamp"), params, vectors_at=vectors_at)
+    stats = tables.write_chunks(first, path)
+    chunks, _, _ = jobs.sync_changed_notes(n, tables.read_table(spark, path, CHUNKS), materialise(digests, "digests"), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params, stats=stats, vectors_at=vectors_at)
+    return chunks.select("slug", "chunk_index", "content_hash", F.size("embedding").alias("dim"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 QUERIES = dict(Q)

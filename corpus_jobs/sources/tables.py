@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpus_jobs.sources.codecs import decode_tags, decode_vector, encode_tags, encode_vector
 
+#: Rows of a snapshot, and the sizes of its vectors (null vectors left out).
+STATS = "n_rows bigint, least_dim int, greatest_dim int"
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A snapshot; where there is none yet and a schema is given, an empty table."""
     if schema is None:
         return spark.read.parquet(path)
@@ -25,6 +30,22 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_chunks(df: DataFrame, path: str) -> DataFrame:
+    """A new snapshot of chunks, and beside it one row of what was observed while it was written: n_rows, least_dim, greatest_dim."""
+    seen = Observation("chunks")
+    size = F.size("embedding")
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.min(size).alias("least_dim"), F.max(size).alias("greatest_dim")), path)
+    got = seen.get
+    stats = df.sparkSession.createDataFrame([(got["n_rows"], got["least_dim"], got["greatest_dim"])], STATS)
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}.stats")
+    return stats
+
+
+def chunk_stats(spark: SparkSession, path: str) -> DataFrame:
+    """What write_chunks has observed of a snapshot; no row where it wasn't written by that."""
+    return read_table(spark, f"{path.rstrip('/')}.stats", STATS)
+
+
 def jdbc_row(df: DataFrame) -> DataFrame:
     """``df`` with tags and vectors as JSON text and the published flag as a number."""
     out = df
