@@ -40,8 +40,8 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> tuple[DataFr
     return marked.where(maybe).drop(*extra), marked.where(~maybe).drop(*extra)
 
 
-def rows_of(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """The rows whose ``column`` is one of the ``keys`` (column of that name), exactly, without a shuffle of the rows.
+def split_rows(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``column`` is one of the ``keys`` (column of that name), and the others, exactly, without a shuffle of the rows.
 
     Keys of ``broadcast_bytes`` or fewer go to every task. Beyond that a cascade of bitmaps does: one of the keys, one of
     the other keys of ``rows`` that pass it, one of the keys that pass both, and so on until none is left in the wrong
@@ -51,7 +51,7 @@ def rows_of(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int
     inside = keys.select(column).where(F.col(column).isNotNull()).distinct()
     size = inside.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")) + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:
-        return rows.join(F.broadcast(inside), column, "left_semi").select(*rows.columns)
+        return tuple(rows.join(F.broadcast(inside), column, how).select(*rows.columns) for how in ("left_semi", "left_anti"))
     inside = materialise(inside, "keys")
     outside = materialise(rows.select(column).where(F.col(column).isNotNull()).distinct().join(inside, column, "left_anti"), "other-keys")
     levels: list[tuple[DataFrame, int]] = []
@@ -60,18 +60,20 @@ def rows_of(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int
         levels.append((mine, n))
         marked, maybe, extra = _marked(others, column, mine, n, len(levels))
         mine, others = materialise(marked.where(maybe).drop(*extra), "passing-keys"), mine
-    out = rows.where(F.col(column).isNotNull())
-    passed = F.lit(True)  # all levels so far
-    chosen = F.lit(False)
-    names: list[str] = []
+    out, names = rows, []
+    passed, chosen = F.col(column).isNotNull(), F.lit(False)
     for level, (own, n) in enumerate(levels, 1):
         out, maybe, extra = _marked(out, column, own, n, level)
-        flag = _free(out, f"_level{level}")
-        out = out.withColumn(flag, maybe).drop(*extra)
-        names.append(flag)
-        # stopped at an even level: it passed the level of the keys before; passed all: the last level decides
-        chosen = chosen | (passed & ~F.col(flag)) if level % 2 == 0 else chosen
-        passed = passed & F.col(flag)
+        names.append(_free(out, f"_level{level}"))
+        out = out.withColumn(names[-1], maybe).drop(*extra)
+        # a key that passes every level but an even one isn't among the others of that level
+        chosen = chosen | (passed & ~F.col(names[-1])) if level % 2 == 0 else chosen
+        passed = passed & F.col(names[-1])
     if len(levels) % 2:
         chosen = chosen | passed
-    return out.where(chosen).select(*rows.columns)
+    return tuple(out.where(part).select(*rows.columns) for part in (chosen, ~chosen))
+
+
+def rows_of(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The first part of split_rows."""
+    return split_rows(rows, column, keys, broadcast_bytes)[0]

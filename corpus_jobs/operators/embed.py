@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_jobs.sources.shared import shared_dir
-from corpus_jobs.sources.tables import read_table
 
 #: Makes, once per worker, what turns (texts, kind) into a list of vectors.
 Loader = Callable[[], Callable[[list[str], str], list]]
@@ -88,7 +87,6 @@ def _fill(missing: DataFrame, hash_col: str, text_col: str, out: str, store: str
 
         embed = None
         files, base = FileSystem.from_uri(store)
-        files.create_dir(base, recursive=True)
         hashes: list[str] = []
         texts: list[str] = []
 
@@ -133,10 +131,11 @@ def embed_once(df: DataFrame, text_col: str, hash_col: str, load: Loader, dim: i
     spark = df.sparkSession
     store = store or shared_dir(spark, "vectors")
     schema = _STORED.format(hash=f"`{hash_col}`", out=f"`{out}`")
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(store)
     wanted = df.where(F.col(text_col).isNotNull()).groupBy(hash_col).agg(F.first(text_col).alias(text_col))
-    missing = wanted.join(read_table(spark, store, schema).select(hash_col), hash_col, "left_anti")
+    missing = wanted.join(spark.read.schema(schema).parquet(store).select(hash_col), hash_col, "left_anti")
     _fill(missing, hash_col, text_col, out, store, load, dim, kind, batch_size, texts_a_file)
-    known = read_table(spark, store, schema).dropDuplicates([hash_col])
+    known = spark.read.schema(schema).parquet(store).dropDuplicates([hash_col])
     vectors = known.select(F.col(hash_col).alias("_hash"), F.col(out).alias("_vector"))
     rows = df.drop(out)
     key = F.when(F.col(text_col).isNotNull(), F.col(hash_col))

@@ -221,8 +221,9 @@ def test_rows_of_keys_exactly(spark, bits, monkeypatch):
     rows = spark.createDataFrame([(f"k{i % 300}" if i % 50 else None, i, "x") for i in range(1000)], "slug string, n int, _bucket string").repartition(3)
     keys = spark.createDataFrame([(f"k{i}",) for i in range(0, 400, 3)] * 2 + [(None,)], "slug string")
     for bound in (0, 1 << 20):
-        got = bitmaps.rows_of(rows, "slug", keys, bound)
-        assert got.columns == rows.columns
+        got, others = bitmaps.split_rows(rows, "slug", keys, bound)
+        assert got.columns == others.columns == rows.columns
+        assert sorted(r["n"] for r in others.collect()) == [i for i in range(1000) if not (i % 50 and (i % 300) % 3 == 0)]
         assert sorted(r["n"] for r in got.collect()) == [i for i in range(1000) if i % 50 and (i % 300) % 3 == 0]
     assert bitmaps.rows_of(rows, "slug", keys.where("false"), 0).count() == 0
     assert bitmaps.rows_of(rows.where("false"), "slug", keys, 0).count() == 0
