@@ -30,16 +30,6 @@ def _marked(rows: DataFrame, column: str, keys: DataFrame, n: int, seed: int) ->
     return rows.withColumn(bucket, F.bitmap_bucket_number(at)).join(marks, bucket, "left"), maybe, [bucket, bitmap]
 
 
-def sieve(rows: DataFrame, column: str, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two parts: those whose ``column`` may be one of the ``n`` ``keys`` (same column), and those for which it can't.
-
-    A bitmap of the keys' hashes goes to every task: 64 bits a key, 32 MB at most. Beyond that more of the other rows
-    pass, so whoever joins the first part with the keys is right in any case, and spares the second part a shuffle.
-    """
-    marked, maybe, extra = _marked(rows, column, keys, n, 0)
-    return marked.where(maybe).drop(*extra), marked.where(~maybe).drop(*extra)
-
-
 def split_rows(rows: DataFrame, column: str, keys: DataFrame, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """The rows whose ``column`` is one of the ``keys`` (column of that name), and the others, exactly, without a shuffle of the rows.
 
