@@ -97,13 +97,29 @@ def _lead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
 
-def _mixed(lang: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """A bucket of ``2 ** bits`` for every pair of words of a language."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lang.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+def _buckets(langs: np.ndarray, words: np.ndarray, m: int, at: np.ndarray, bits: int) -> np.ndarray:
+    """A bucket of ``2 ** bits`` for each run of ``m`` words of a language that starts at one of the places ``at``."""
+    x = langs[at]
+    for k in range(m):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[at + k].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _runs(langs: np.ndarray, words: np.ndarray, longest: int, maps: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """For each length up to ``longest``: where a run of so many words starts, all of whose parts may be frequent by ``maps`` (of runs of 2, 3 and so on)."""
+    on = words != 0
+    out = [on]
+    for m in range(2, longest + 1):
+        on = on & _lead(on, 1)
+        if m - 2 < len(maps):
+            at = np.flatnonzero(on)
+            b = _buckets(langs, words, m, at, bits)
+            on = np.zeros(len(words), bool)
+            on[at[maps[m - 2][b >> 3] >> (b & 7).astype(np.uint8) & 1 == 1]] = True
+        out.append(on)
+    return out
+
+
 def _hashed(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(languages, number of each word's language, its hash, hash of its language), texts parted by zeros, in stretches."""
     langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -116,16 +132,15 @@ def _hashed(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[tuple[list[str],
         yield names, own, words, np.array([xxhash.xxh64_intdigest(name.encode()) for name in names], np.uint64)[own]
 
 
-def _pair_counts(docs: DataFrame, seed: int, bits: int, kept, pair_bits: int) -> DataFrame:
-    """(bucket, n): how many pairs of frequent words fall into each bucket, counted within batches before they are shuffled."""
+def _run_counts(docs: DataFrame, seed: int, bits: int, kept, m: int, maps: list, bucket_bits: int) -> DataFrame:
+    """(bucket, n): how many runs of ``m`` words fall into each bucket, counted within batches before they are shuffled."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes(seed, bits, kept.value)
+        hashes, before = _Hashes(seed, bits, kept.value), [x.value for x in maps]
         for batch in small(batches):
             found = []
             for _, _, words, langs in _hashed(batch, hashes):
-                second = _lead(words, 1)
-                pair = (words != 0) & (second != 0)
-                found.append(_mixed(langs[pair], words[pair], second[pair], pair_bits))
+                at = np.flatnonzero(_runs(langs, words, m, before, bucket_bits)[-1])
+                found.append(_buckets(langs, words, m, at, bucket_bits))
             if found:
                 buckets, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
@@ -143,44 +158,36 @@ def _distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _windows(docs: DataFrame, seed: int, bits: int, kept, pairs, pair_bits: int, longest: int) -> DataFrame:
+def _windows(docs: DataFrame, seed: int, bits: int, kept, maps: list, bucket_bits: int, longest: int) -> DataFrame:
     """(lang, w1 to w<longest>, n): padded windows of hashes and how often each occurs, in batches.
 
-    A window stops at the end of its piece, before a word that isn't frequent, and before a pair that can't be. The
-    words without a window of their own count under zeros.
+    A window stops at the end of its piece, before a word that isn't frequent, and before a run that can't be.
     """
     names = [f"w{i + 1}" for i in range(longest)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, often = _Hashes(seed, bits, kept.value), pairs.value
+        hashes, often = _Hashes(seed, bits, kept.value), [x.value for x in maps]
         for batch in small(batches):
             for langs, own, words, lang_hashes in _hashed(batch, hashes):
-                columns = [own, words]
-                second = _lead(words, 1)
-                at = _mixed(lang_hashes, words, second, pair_bits)
-                goes_on = (words != 0) & (second != 0) & (often[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
-                on = goes_on
-                for i in range(1, longest):
-                    columns.append(np.where(on, _lead(words, i), 0))
-                    on = on & _lead(goes_on, i)
-                one = words != 0
-                few = one & ~goes_on
-                parts = [(few, 1), (one & goes_on, longest)]
-                for mask, n_columns in parts:
-                    picked = [x[mask] for x in columns[: n_columns + 1]]
+                starts = _runs(lang_hashes, words, longest, often, bucket_bits)
+                columns = [own, *(np.where(on, _lead(words, i), 0) for i, on in enumerate(starts))]
+                alone = starts[0] & ~starts[1] if longest > 1 else starts[0]
+                for mask, size in ((alone, 1), (starts[0] & ~alone, longest)):  # most words are alone, and quickly told apart
+                    picked = [x[mask] for x in columns[: size + 1]]
                     first, n = _distinct_rows(picked)
-                    rows = [x[first] for x in picked[1:]] + [np.zeros(len(first), np.int64)] * (longest - n_columns)
+                    rows = [x[first] for x in picked[1:]] + [np.zeros(len(first), np.int64)] * (longest - size)
                     yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(picked[0][first])), *map(pa.array, rows), pa.array(n.astype(np.int64))], names=["lang", *names, "n"])
 
     return docs.mapInArrow(counted, f"lang string, {', '.join(f'{n} bigint' for n in names)}, n bigint")
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", bits: int = 64, pair_bits: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang", bits: int = 64, bucket_bits: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, vocabulary, totals): (lang, words, f) of phrases that occur ``least`` times, as hashes; (lang, word, n, h); (lang, n).
 
-    Pairs of frequent words are counted in buckets first; where all pairs of a bucket occur fewer times, no window needs
-    to go across. That leaves out nothing that counts, and rare pairs are most of a corpus. A bitmap of the
-    ``2 ** pair_bits`` buckets (4 MB) and one of the frequent words (32 MB at most) go to every task.
+    Shorter runs of frequent words are counted in buckets first, without telling apart what falls into one; where all of
+    a bucket occur fewer times, no window needs to hold such a run. That leaves out nothing that counts, and rare runs
+    are most of a corpus. A bitmap of the ``2 ** bucket_bits`` buckets for each length (4 MB) and one of the frequent words
+    (32 MB at most) go to every task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(_NO_LANG)).alias("lang"), F.col(text_col).alias("text"))
@@ -188,10 +195,12 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, text_col:
     vocabulary, seed = _vocabulary(words, least, bits)
     frequent = vocabulary.select("h").distinct()
     kept = spark.sparkContext.broadcast(_bitmap(frequent, "h", 28, frequent.count()))
-    buckets = _pair_counts(rows, seed, bits, kept, pair_bits).where(F.col("n") >= least).select(F.col("bucket").cast("long").alias("bucket"))
-    pairs = spark.sparkContext.broadcast(_bitmap(buckets, "bucket", pair_bits, 1 << pair_bits))
+    maps: list = []
+    for m in range(2, longest):
+        often = _run_counts(rows, seed, bits, kept, m, maps, bucket_bits).where(F.col("n") >= least).select(F.col("bucket").cast("long").alias("bucket"))
+        maps.append(spark.sparkContext.broadcast(_bitmap(often, "bucket", bucket_bits, 1 << bucket_bits)))
     names = [f"w{i + 1}" for i in range(longest)]
-    windows = materialise(_windows(rows, seed, bits, kept, pairs, pair_bits, longest).groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
+    windows = _windows(rows, seed, bits, kept, maps, bucket_bits, longest).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     size = F.lit(longest) - F.bit_count("g")  # the grouping id has a bit for each column that is summed over
     end = F.element_at(F.array(*names), F.greatest(size, F.lit(1)))
@@ -204,7 +213,7 @@ def _wide(name: str) -> Column:
     return F.col(name).cast("decimal(20,0)")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, share: int = 80, text_col: str = "text", lang_col: str = "lang", bits: int = 64, pair_bits: int = 25) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int = 4, share: int = 80, text_col: str = "text", lang_col: str = "lang", bits: int = 64, bucket_bits: int = 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words that stick together.
 
     ``a`` is how often a phrase occurs within pieces, overlaps included, ``least`` times or more; ``l`` and ``r`` are the
@@ -213,10 +222,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, longest: int
     occurs ``share`` percent as often. Best score first, then greatest ``a``, then the phrase by its UTF-8 bytes.
 
     A null text has no words, a null language is ``und``; repeated rows count each. Texts of any length are read
-    whole. An empty table gives no rows; other columns aren't read, whatever their names. ``bits`` and ``pair_bits`` are
+    whole. An empty table gives no rows; other columns aren't read, whatever their names. ``bits`` and ``bucket_bits`` are
     those of phrase_counts.
     """
-    phrases, vocabulary, totals = phrase_counts(docs, least, longest, text_col, lang_col, bits, pair_bits)
+    phrases, vocabulary, totals = phrase_counts(docs, least, longest, text_col, lang_col, bits, bucket_bits)
     candidates = phrases.where(F.size("words") >= 2).withColumnRenamed("f", "a")
     size = F.size("words")
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).select("*", F.slice("words", F.lit(1), F.col("k")).alias("_first"), F.slice("words", F.col("k") + 1, size - F.col("k")).alias("_rest"))

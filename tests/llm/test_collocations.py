@@ -57,12 +57,12 @@ def test_phrases_as_counted_one_by_one(spark, least, top, bits):
     assert got == brute(rows, least, top)
 
 
-def test_rare_pairs_are_cut_and_nothing_else(spark):
-    """With few buckets all pairs pass, with many only frequent ones; the phrases are the same."""
+def test_rare_runs_are_cut_and_nothing_else(spark):
+    """With few buckets all runs pass, with many only frequent ones; the phrases are the same."""
     docs = spark.createDataFrame(corpus(), "text string, lang string")
     found = []
     for bits in (15, 25):
-        found.append(sorted(map(tuple, collocations.collocations(docs, least=4, pair_bits=bits).collect())))
+        found.append(sorted(map(tuple, collocations.collocations(docs, least=4, bucket_bits=bits).collect())))
     assert found[0] == found[1] and found[0]
 
 
