@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_jobs.llm.common import let, materialise, with_locator
+from corpus_jobs.operators.bitmaps import split_rows
 
 _VERSION, _GAP = "WARC/1.1\r\n", "\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -42,28 +43,29 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat_ws("", *(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in fields))
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = 8192, chunk: int = 4096, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 100_000) -> DataFrame:
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000, segment: int = 8192, chunk: int = 4096, date: str = "1970-01-01T00:00:00Z", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The records of all pages, a row each: value.
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the largest id (null: smallest; then the last
     in the files) is written whole, and the others as revisits of it. A null html is an empty payload, a null url is
-    left out, line ends in a url are escaped. Which rows are revisits is found and written first, without payloads; up
-    to ``broadcast_rows`` of them (some 300 bytes each) go to every task, so that no payload is shuffled for them.
+    left out, line ends in a url are escaped. Repeated rows are pages of their own, revisits of the last of them. An
+    empty table gives no records; other columns aren't read. Which rows are revisits is found and written first, without
+    payloads, and told where rows are read (see bitmaps.split_rows), however many they are; of these rows the payload's
+    digest alone is shuffled.
     """
     located = with_locator(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
     rows = located.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), "_locator")
     keys = rows.select("page_id", F.sha2(F.col("payload").cast("binary"), 256).alias("equal"), F.octet_length("payload").alias("bytes"), "_locator").where(F.col("bytes") >= least)
     groups = keys.groupBy("equal").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "_locator")).alias("kept")).where("n > 1")
     revisits = keys.join(groups, "equal").where(F.col("_locator") != F.col("kept._locator"))
-    revisits = revisits.select(F.col("_locator.file").alias("_file"), F.col("_locator.row").alias("_row"), _urn(F.col("kept._locator")).alias("refers"))
+    revisits = revisits.select("_locator", _urn(F.col("kept._locator")).alias("refers"))
     revisits = materialise(revisits, "revisits")
-    if revisits.count() <= broadcast_rows:
-        revisits = F.broadcast(revisits)
-    rows = rows.withColumns({"_file": F.col("_locator.file"), "_row": F.col("_locator.row")}).join(revisits, ["_file", "_row"], "left")
-
-    new = F.col("refers").isNull()
-    block = F.when(new, F.concat(F.lit(_HTTP + "Transfer-Encoding: chunked\r\n\r\n"), _chunked(F.col("payload"), chunk))).otherwise(F.lit(_HTTP + "\r\n"))
-    rows = rows.select("page_id", "url", "refers", _urn(F.col("_locator")).alias("id"), F.sha1(F.col("payload").cast("binary")).alias("sha1"), block.cast("binary").alias("block"))
+    sha1 = F.sha1(F.col("payload").cast("binary")).alias("sha1")
+    again, whole = split_rows(rows, "_locator", revisits, broadcast_bytes)
+    again = again.select("page_id", "url", sha1, "_locator").join(revisits, "_locator").withColumn("block", F.lit(_HTTP + "\r\n"))
+    block = F.concat(F.lit(_HTTP + "Transfer-Encoding: chunked\r\n\r\n"), _chunked(F.col("payload"), chunk))
+    whole = whole.select("page_id", "url", sha1, "_locator", F.lit(None).cast("string").alias("refers"), block.alias("block"))
+    rows = whole.unionByName(again).select("page_id", "url", "refers", _urn(F.col("_locator")).alias("id"), "sha1", F.col("block").cast("binary").alias("block"))
     total = F.octet_length("block")
     rows = rows.withColumns({"total": total, "segments": F.ceil(total / segment).cast("int")})
     parts = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("segments"))).alias("k"))
@@ -92,7 +94,7 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
-    """Write the records of ``pages`` as WARC files below ``path`` (see records)."""
+    """Write the records of ``pages`` as WARC files below ``path`` (see records); an empty table gives files without records."""
     records(pages, **options).write.option("lineSep", _GAP).text(path)
 
 

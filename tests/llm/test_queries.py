@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from sentencepiece import SentencePieceProcessor
@@ -41,14 +42,45 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def rare_cases():
+    """Tables with what the given ones don't have: nulls, repeated rows, equal pages, odd texts."""
+    page = "<p>équal</p>" * 200
+    texts = [None, "", " \t", "a b", "A\u00a0b", "ab", "x" * 5000, "The first, the LAST of the words again and again, here it is."]
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    return {
+        "documents": [(i, t, ("en", None, "de")[i % 3], "s", len(t or "")) for i, t in enumerate([*texts, *texts, f"Say {passage}! {passage}", passage.upper()] + ["new york city, new york; " * 9, "in new york city of the"] * 20)] + [(0, None, "en", "s", 0)] * 2,
+        "pages": [(i, "u", h) for i, h in enumerate([None, page, page, page, "", "short", "short", page + "!", page + "!", "x" * 999, "x" * 999, "x" * 1000, "x" * 1000])],
+        "conversations": [(c, t, r, x) for c in (1, 2, 3, None) for t, r, x in [(None, "user", "no turn."), (0, "system", None), (1, "user", "what?"), (2, None, "<|im_end|>"), (3, "assistant", "that."), (4, "assistant", "that."), (9, "user", "cut"), (11, "assistant", " ")]],
+        "benchmark": [(1, passage), (2, "of the"), (3, None), (4, "?!"), (5, passage + " thirteen"), (5, passage)],
+    }
+
+
+SCHEMAS = {
+    "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]),
+    "pages": pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())]),
+    "conversations": pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]),
+    "benchmark": pa.schema([("item_id", pa.int64()), ("text", pa.string())]),
+}
+
+
+@pytest.fixture(scope="module")
+def rare(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("rare")
+    for name, rows in rare_cases().items():
+        pq.write_table(pa.Table.from_pylist([dict(zip(SCHEMAS[name].names, r, strict=True)) for r in rows], SCHEMAS[name]), folder / f"{name}.parquet", row_group_size=7)
+    return str(folder)
+
+
+@pytest.mark.parametrize("given", [True, False])
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_queries_equal_their_sql(spark, name):
+def test_queries_equal_their_sql(spark, rare, name, given):
+    folder = SMALL if given else rare
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    for t in SCHEMAS:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
-    df = queries.QUERIES[name](spark, SMALL)
+    df = queries.QUERIES[name](spark, folder)
     assert sorted(df.columns) == sorted(columns)
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted(found.fetchall(), key=str)
 

@@ -18,9 +18,9 @@ def written(spark, pages, **options):
     return path
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_round_trip(spark, broadcast_rows):
-    path = written(spark, PAGES, broadcast_rows=broadcast_rows)
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_round_trip(spark, broadcast_bytes):
+    path = written(spark, PAGES, broadcast_bytes=broadcast_bytes)
     found = warc.read(spark, path).collect()
     assert len(found) == len(PAGES)
     by_id = {r["id"]: r for r in found}
