@@ -58,7 +58,7 @@ class Best:
         near = near[np.lexsort((order[row[near]], key[near], query[near]))]
         query, row, key = query[near], row[near], key[near]
         starts = np.flatnonzero(np.diff(query, prepend=-1))
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(query)], strict=True):
+        for start, end in zip(starts.tolist(), np.append(starts, len(query))[1:].tolist(), strict=True):
             own = slice(start, min(end, start + self.k))
             new = [(x, slugs[r], n) for x, r, n in zip(key[own].tolist(), row[own].tolist(), numbers[row[own]].tolist(), strict=True)]
             q = int(query[start])
@@ -157,20 +157,6 @@ class BoundedSums:
             best.offer(q[good], (pairs % n_rows)[good], -score[good], slugs, numbers, order)
 
 
-def k_smallest(keys: np.ndarray, slugs: Sequence[str], numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of the k smallest keys of every row of queries x rows; ties by slug, then number. NaN keys aren't candidates."""
-    found = []
-    slugs = np.asarray(slugs, dtype=object)
-    for i, key in enumerate(keys):
-        near = np.flatnonzero(~np.isnan(key))
-        if len(near) > k:
-            near = near[key[near] <= np.partition(key[near], k - 1)[k - 1]]
-        best = near[np.lexsort((numbers[near], slugs[near], key[near]))][:k]
-        found.append((np.full(len(best), i), best))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *(q for q, _ in found)]), np.concatenate([none, *(r for _, r in found)])
-
-
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches in slices of at most so many rows."""
     for batch in batches:

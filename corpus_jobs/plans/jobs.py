@@ -12,7 +12,7 @@ from corpus_jobs.operators.embed import Loader, embed_once
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.operators.notes import chunk_notes, embeddable_notes, visible_notes
 from corpus_jobs.operators.sync import KEYS, changed_chunks, sync_counts
-from corpus_jobs.operators.tags import tag_neighbors, wanted_tags
+from corpus_jobs.operators.tags import wanted_tags
 from corpus_jobs.params import Chunking, Embedding, Ranking
 from corpus_jobs.schemas import CHUNKS
 from corpus_jobs.sources.files import parse_notes
@@ -151,26 +151,21 @@ def _with_texts(hits: DataFrame, chunks: DataFrame, shown: DataFrame, broadcast_
 def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The k nearest chunks of notes that share tags with a query's hits, with the tags they share.
 
-    Queries, their hits and the tags they want go to every task up to ``broadcast_bytes``: chunks are then scored where
-    they are read. Beyond that every query meets its candidates in a join, keys and vectors only. Of the corpus only
-    chunks of notes with a wanted tag take part in either, and texts are joined to what was found.
+    Chunks are scored where they are read, by queries with the tags they want and their hits, which go to every task or
+    to files (see vectors.tagged_top_k). Of the corpus only chunks of notes with a wanted tag take part; those notes'
+    tags go to every task up to ``broadcast_bytes``, beyond that they meet the chunks' keys and vectors in a join. Texts
+    are joined to what was found.
     """
     shown = _shown(notes, as_of)
     hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
     wanted = materialise(wanted_tags(hit, shown), "wanted-tags")
-    size = sum(df.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] for df, n in ((hit, F.octet_length("slug") + 16), (wanted, F.octet_length("tag") + 24), (queries, F.coalesce(F.size("embedding"), F.lit(0)) * 8)))
-    tagged = shown.select("slug", "tags")
-    if k > 0 and size <= broadcast_bytes:
-        # tags that nobody wants would only make the rows wider
-        near = tagged.crossJoin(F.broadcast(wanted.agg(F.collect_set("tag").alias("_all")))).select("slug", F.array_intersect("tags", "_all").alias("tags")).where(F.size("tags") > 0)
-        near = materialise(near, "notes-near")
-        bytes_near = near.agg(F.coalesce(F.sum(F.octet_length("slug") + 16 + F.octet_length(F.array_join("tags", "")) + 8 * F.size("tags")), F.lit(0))).first()[0]
-        candidates = chunks.select(*KEYS, "embedding").join(F.broadcast(near) if bytes_near <= broadcast_bytes else near, "slug")
-        found = vectors.tagged_top_k(queries, wanted, hit, candidates, k)
-    else:
-        pairs = tag_neighbors(hit, tagged).select("query_id", "slug")
-        near = vectors.chunks_in_slugs(rows_of(chunks.select(*KEYS, "embedding"), "slug", pairs, broadcast_bytes), pairs)
-        found = vectors.restricted_top_k(queries, near, k)
-    own = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))
-    shared = _with_texts(found, chunks, shown, broadcast_bytes, "tags").join(own, "query_id")
+    # tags that nobody wants would only make the rows wider
+    own = shown.select("slug", F.explode("tags").alias("tag")).join(wanted.select("tag").distinct(), "tag")
+    tagged = materialise(own.groupBy("slug").agg(F.collect_set("tag").alias("tags")), "notes-near")
+    size = tagged.agg(F.coalesce(F.sum(F.octet_length("slug") + F.octet_length(F.array_join("tags", "")) + 8 * F.size("tags") + 16), F.lit(0))).first()[0]
+    vectors_of = chunks.select(*KEYS, "embedding")
+    candidates = vectors_of.join(F.broadcast(tagged), "slug") if size <= broadcast_bytes else rows_of(vectors_of, "slug", tagged, broadcast_bytes).join(tagged, "slug")
+    found = vectors.tagged_top_k(queries, wanted, hit, candidates, k, broadcast_bytes)
+    wants = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))
+    shared = _with_texts(found, chunks, shown, broadcast_bytes, "tags").join(wants, "query_id")
     return shared.withColumn("shared_tags", F.array_intersect("tags", "_wanted")).drop("tags", "_wanted")

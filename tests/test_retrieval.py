@@ -104,6 +104,27 @@ def test_a_task_gives_each_query_once(spark):
     assert found.count() == 3 * 2 * 7
 
 
+@pytest.mark.parametrize("kind,most", [("clustered", 0.12), ("uniform", 1.0)])
+def test_balls_leave_out_what_is_too_far(kind, most):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 24))
+    if kind == "clustered":
+        x = x * 0.05 + rng.standard_normal((60, 24))[rng.integers(0, 60, 6000)]
+    x[100:140] = x[99]  # more equal ones than are asked for
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    balls = vectors.Balls(np.arange(6000), x)
+    asked = np.concatenate([x[::97], rng.standard_normal((20, 24))])
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    best = blocks.Best(len(asked), 10)
+    names, numbers = [f"{i * 7919 % 6000:04}" for i in range(6000)], np.arange(6000)
+    balls.offer(best, np.arange(len(asked)), asked, names, numbers, blocks.in_order(pa.array(names), pa.array(numbers)))
+    distance = np.round(1 - asked @ x.T, vectors.DIGITS)
+    for q in range(len(asked)):
+        want = sorted(zip(distance[q].tolist(), names, range(6000), strict=True))[:10]
+        assert [(s, i) for _, s, i in sorted(best.kept[q])] == [(s, i) for _, s, i in want]
+    assert balls.scored <= most * balls.possible
+
+
 @pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_vectors_of_other_sizes_come_last(spark, bound):
     chunks = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 0, [0.0, 1.0]), ("c", 0, [1.0, 0.0, 0.0]), ("d", 0, []), ("e", 0, [0.0, 0.0]), ("f", 0, None), ("g", 0, [1.0, None])], "slug string, chunk_index int, embedding array<float>")
