@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpus_jobs.functions.text import lexical_document, lexical_tokens, term_counts
 from corpus_jobs.operators import blocks
+from corpus_jobs.operators.bitmaps import rows_of
 from corpus_jobs.sources.shared import materialise
 
 CHUNK = ("slug", "chunk_index")
@@ -46,16 +47,54 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_statistics(tokens: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What corpus_stats and document_frequencies give, the latter for ``terms``, from one pass over the tokens.
+    """What corpus_stats and document_frequencies give, the latter for ``terms``, from one pass over the tokens."""
+    wanted = terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
+    return statistics_of(_totals(_signed(tokens, 1).join(wanted, "term", "left_semi")))
 
-    Each chunk adds an entry for the empty term, which no text has, with its length.
-    """
+
+def _signed(tokens: DataFrame, sign: int) -> DataFrame:
+    """(term, df, size) for every term of a chunk, and for the empty term, which no text has: one chunk, and its length."""
     length = F.array(F.struct(F.lit("").alias("term"), F.size("tokens").cast("long").alias("tf")))
-    rows = tokens.select(F.explode(F.concat(term_counts(F.col("tokens")), length)).alias("t")).select("t.*")
-    wanted = terms.unionByName(terms.sparkSession.createDataFrame([("",)], "term string"))
-    counts = rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("size"))
-    every = counts.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_chunks"), F.coalesce(F.max(F.col("size") / F.col("df")), F.lit(0.0)).alias("avg_len"))
-    return every, counts.where("term != ''").select("term", "df")
+    rows = tokens.select(F.explode(F.concat(term_counts(F.col("tokens")), length)).alias("t"))
+    return rows.select("t.term", F.lit(sign).cast("long").alias("df"), (F.col("t.tf") * sign).cast("long").alias("size"))
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size")).where("df != 0 OR size != 0")
+
+
+def term_totals(tokens: DataFrame) -> DataFrame:
+    """(term, df, size): in how many chunks a term is, and how often in all; under the empty term, the chunks and their tokens.
+
+    A table to keep: moved_totals follows a changing corpus with it, statistics_of reads off what a search needs.
+    """
+    return _totals(_signed(tokens, 1))
+
+
+def moved_totals(totals: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """``totals`` after some chunks have gone and others have come (tokens of both): only these are counted."""
+    return _totals(totals.select("term", "df", "size").unionByName(_signed(gone, -1)).unionByName(_signed(come, 1)))
+
+
+def document_changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gone, come): the chunks of two states (slug, chunk_index, title, heading, text) whose indexed text isn't the same in the other.
+
+    Keys and digests meet; texts stay where they are read until it is known whose are needed.
+    """
+    def keyed(chunks: DataFrame) -> DataFrame:
+        document = lexical_document(F.col("title"), F.col("heading"), F.col("text"))
+        return chunks.withColumn("_key", F.sha2(F.to_json(F.struct(*CHUNK, document.alias("document"))), 256))
+
+    old, new = keyed(before), keyed(after)
+    keys = [materialise(side.select("_key").distinct(), "document-keys") for side in (old, new)]
+    only = [materialise(a.join(b, "_key", "left_anti"), "changed-keys") for a, b in (keys, keys[::-1])]
+    return tuple(rows_of(side, "_key", some).drop("_key") for side, some in zip((old, new), only, strict=True))
+
+
+def statistics_of(totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What corpus_stats and document_frequencies give, out of term totals."""
+    every = totals.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n_chunks"), F.coalesce(F.max(F.col("size") / F.col("df")), F.lit(0.0)).alias("avg_len"))
+    return every, totals.where("term != ''").select("term", "df")
 
 
 def bm25_scores(terms: DataFrame, postings: DataFrame, stats: DataFrame, frequencies: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:

@@ -191,6 +191,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM noted LEFT JOIN known USING (doc_id) WHERE published""", _NOTED, _CHANGES),
     "lexical_index": _sql("SELECT term, slug, chunk_index, tf, doc_len FROM postings"),
     "corpus_stats": _sql("SELECT n_chunks, round(avg_len, 9) AS avg_len FROM stats"),
+    "moved_totals": _sql("SELECT term, count(*) AS df, sum(tf)::BIGINT AS size FROM postings GROUP BY term UNION ALL SELECT '', count(*), sum(len(ts))::BIGINT FROM tokens HAVING count(*) > 0"),
     "document_frequencies": _sql("SELECT term, df FROM freq"),
     "rank_lexical": _sql("SELECT query_id, rank, slug, chunk_index, round(score, 6) AS score FROM lexical"),
     "semantic_top_k": """

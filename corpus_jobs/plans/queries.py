@@ -273,6 +273,17 @@ def document_frequencies(spark, d):
     return lexical.document_frequencies(lexical.lexical_index(lexical.tokenized(_titled(spark, d))))
 
 
+@query
+def moved_totals(spark, d):
+    """Term totals of an older chunk table, kept up by the difference to the chunks that are visible now."""
+    n = t.notes(spark, d)
+    before = materialise(notes.visible_chunks(t.stored_chunks(spark, d).drop("doc_id", "content_hash"), n, AS_OF), "chunks")
+    after = materialise(_titled(spark, d), "chunks")
+    gone, come = lexical.document_changes(before, after)
+    totals = materialise(lexical.term_totals(lexical.tokenized(before)), "totals")
+    return lexical.moved_totals(totals, lexical.tokenized(gone), lexical.tokenized(come))
+
+
 @query
 def bm25_scores(spark, d):
     tokens, terms = lexical.tokenized(materialise(_titled(spark, d), "chunks")), lexical.query_terms(t.questions(spark, d))

@@ -95,6 +95,39 @@ def test_bounded_sums_of_many_queries():
         assert [(round(x, 9), s, i) for x, s, i in got.get(q, [])] == [(round(x, 9), s, i) for x, s, i in want]
 
 
+def test_totals_follow_random_syncs(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(15)]
+
+    def state(old):
+        """Some chunks stay, some change, some go, some come; texts may be empty or repeated."""
+        rows = {key: (title, text) for key, (title, text) in old.items() if rng.random() < 0.7}
+        for _ in range(25):
+            rows[f"s{rng.randrange(20)}", rng.randrange(3)] = (rng.choice(["", "T w1"]), rng.choice(["", "w1 w1", " ".join(rng.choices(words, k=rng.randint(0, 9)))]))
+        return rows
+
+    def table(rows):
+        return spark.createDataFrame([(s, i, title, None, text) for (s, i), (title, text) in rows.items()], "slug string, chunk_index int, title string, heading string, text string")
+
+    now = {}
+    totals = lexical.term_totals(lexical.tokenized(table({("x", 0): ("", "")}).where("false")))
+    for step in range(4):
+        then, now = now, state(now) if step < 3 else {}
+        gone, come = lexical.document_changes(table(then or {("x", 0): ("", "")}).where("slug != 'x'"), table(now or {("x", 0): ("", "")}).where("slug != 'x'"))
+        kept = lexical.moved_totals(totals, lexical.tokenized(gone), lexical.tokenized(come)).collect()
+        want = {}
+        for title, text in now.values():
+            ts = f"{title} {text}".lower().split()
+            for term, n in [*Counter(ts).items(), ("", len(ts))]:
+                df, size = want.get(term, (0, 0))
+                want[term] = df + 1, size + n
+        assert {r["term"]: (r["df"], r["size"]) for r in kept} == want
+        totals = spark.createDataFrame(kept, "term string, df long, size long")
+        stats, frequencies = lexical.statistics_of(totals)
+        assert tuple(stats.first()) == ((len(now), want[""][1] / len(now)) if now else (0, 0.0))
+        assert {r["term"]: r["df"] for r in frequencies.collect()} == {term: df for term, (df, _) in want.items() if term}
+
+
 def test_a_task_gives_each_query_once(spark):
     chunks = spark.createDataFrame([(f"s{i}", 0, "T", "h", f"cat w{i % 5}") for i in range(5000)], "slug string, chunk_index int, title string, heading string, text string").repartition(3)
     asked = pa.table({"query_id": [1, 2], "term": ["cat", "w1"]})
