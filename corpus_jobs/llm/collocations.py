@@ -7,11 +7,11 @@ Words travel as 64-bit hashes, which are made sure to be unambiguous for the wor
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,45 +22,62 @@ from corpus_jobs.llm.common import materialise, partitions, small, stretches
 _ENDS, _END = b".,;:!?\n\x0b\x0c\r", b"."
 _TO_END = bytes.maketrans(_ENDS, _END * len(_ENDS))
 _NO_LANG = "und"
+_MARKS = {".": 0, "..": 1}
+#: Characters of texts whose words are in memory at once.
+_CHARS = 4_000_000
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z in lower case, with ``.`` between its pieces."""
-    raw = (text or "").encode().lower().translate(_TO_END)  # of bytes: A-Z only
-    return raw.replace(_END, b" . ").split()
+def _spaced(text: str | None) -> bytes:
+    """A text in UTF-8, A-Z in lower case, with `` . `` for the ends of its pieces."""
+    return (text or "").encode().lower().translate(_TO_END).replace(_END, b" . ")  # of bytes: A-Z only
+
+
+def tokens(texts: Iterable[str | None]) -> pa.DictionaryArray:
+    """The words of texts, with ``.`` between their pieces and ``..`` behind each text; no word holds a ``.``."""
+    raw = b"".join(_spaced(text) + b" .. " for text in texts).strip()
+    whole = pa.Array.from_buffers(pa.large_utf8(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int64)), pa.py_buffer(raw)])
+    # other white space is in none of the pieces
+    return pc.list_flatten(pc.ascii_split_whitespace(whole)).dictionary_encode()
 
 
 class _Hashes(dict):
-    """Hashes of words, asked for once; 0 stands for the end of a piece and for words that a bitmap leaves out."""
+    """Hashes of words, asked for once; 0 stands for the end of a piece and for words that a bitmap leaves out, 1 for that of a text."""
 
     def __init__(self, seed: int, bits: int, kept: np.ndarray | None):
-        super().__init__({_END: 0})
+        super().__init__(_MARKS)
         self.seed, self.mask, self.kept = seed, (1 << bits) - 1, kept
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word, seed=self.seed) & self.mask
         if self.kept is not None and not self.kept[h % (8 * len(self.kept)) >> 3] >> (h & 7) & 1:
             h = 0
+        elif h == 1:
+            h = 0  # not a frequent word's, see _vocabulary
         self[word] = h = h - (1 << 64) if h >> 63 else h
         return h
 
-    def of(self, words: list[bytes]) -> list[int]:
+    def of(self, words: pa.DictionaryArray) -> np.ndarray:
         if len(self) > 1_000_000:
             self.clear()
-            self[_END] = 0
-        return list(map(self.__getitem__, words))
+            self.update(_MARKS)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False)
+        return np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of all words, counted within batches before they are shuffled."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            counts: dict[str, Counter] = {}
+            of_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(tokens(text))
-            for lang, own in counts.items():
-                own.pop(_END, None)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([w.decode() for w in own], pa.string()), pa.array(own.values(), pa.int64())], names=["lang", "word", "n"])
+                of_lang.setdefault(lang, []).append(text)
+            for lang, texts in of_lang.items():
+                for part in stretches(texts, _CHARS):
+                    found = tokens(texts[part])
+                    counts = pa.array(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)).astype(np.int64))
+                    own = pa.table({"word": found.dictionary.cast(pa.string()), "n": counts}).filter(pc.invert(pc.is_in(found.dictionary, value_set=pa.array(list(_MARKS), found.dictionary.type))))
+                    own = own.add_column(0, "lang", pa.array([lang] * len(own), pa.string()))
+                    yield from own.combine_chunks().to_batches()
 
     return docs.mapInArrow(counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -76,7 +93,7 @@ def _vocabulary(words: DataFrame, least: int, bits: int) -> tuple[DataFrame, int
         h = F.xxhash64(F.lit(k), F.col("word")).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
         hashed = words.withColumn("h", h)
         # of equal hashes with a frequent word among them, all must be of one word
-        clash = hashed.groupBy("h").agg(F.max("n").alias("n"), F.min("word").alias("a"), F.max("word").alias("b")).where((F.col("n") >= least) & ((F.col("a") != F.col("b")) | (F.col("h") == 0)))
+        clash = hashed.groupBy("h").agg(F.max("n").alias("n"), F.min("word").alias("a"), F.max("word").alias("b")).where((F.col("n") >= least) & ((F.col("a") != F.col("b")) | F.col("h").isin(0, 1)))
         if clash.isEmpty():
             return hashed.where(F.col("n") >= least), _seed(words.sparkSession, k)
     raise ValueError("no seed tells the words' hashes apart")
@@ -97,11 +114,15 @@ def _lead(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
 
 
+def _mix(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + column.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+
+
 def _buckets(langs: np.ndarray, words: np.ndarray, m: int, at: np.ndarray, bits: int) -> np.ndarray:
     """A bucket of ``2 ** bits`` for each run of ``m`` words of a language that starts at one of the places ``at``."""
     x = langs[at]
     for k in range(m):
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[at + k].astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        x = _mix(x, words[at + k])
     return ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -123,12 +144,13 @@ def _runs(langs: np.ndarray, words: np.ndarray, longest: int, maps: list[np.ndar
 def _hashed(batch: pa.RecordBatch, hashes: _Hashes) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """(languages, number of each word's language, its hash, hash of its language), texts parted by zeros, in stretches."""
     langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    for part in stretches(texts):
+    for part in stretches(texts, _CHARS):
         names = sorted(set(langs[part]))
         number = {name: i for i, name in enumerate(names)}
-        ids = [hashes.of(tokens(t)) for t in texts[part]]
-        own = np.repeat([number[name] for name in langs[part]], [len(x) + 1 for x in ids])
-        words = np.array([h for x in ids for h in (*x, 0)], np.int64)
+        words = hashes.of(tokens(texts[part]))
+        ends = words == 1
+        own = np.array([number[name] for name in langs[part]])[np.cumsum(ends) - ends]
+        words[ends] = 0
         yield names, own, words, np.array([xxhash.xxh64_intdigest(name.encode()) for name in names], np.uint64)[own]
 
 
@@ -150,11 +172,17 @@ def _run_counts(docs: DataFrame, seed: int, bits: int, kept, m: int, maps: list,
 
 def _distinct_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(a row of each kind, how many there are) of equally long columns."""
-    key = np.zeros(len(columns[0]), np.int64)
+    key = np.zeros(len(columns[0]), np.uint64)
     for x in columns:
-        _, at = np.unique(x, return_inverse=True)
-        _, key = np.unique(key * (at.max(initial=0) + 1) + at, return_inverse=True)
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
+        key = _mix(key, x)
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    first, n = order[starts], np.diff(np.append(starts, len(order)))
+    like = np.repeat(first, n)
+    if any((x[order] != x[like]).any() for x in columns):  # other rows have the same key: sort them whole
+        order = np.lexsort(columns)
+        starts = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] + 1) != 0 for x in columns], axis=0))
+        first, n = order[starts], np.diff(np.append(starts, len(order)))
     return first, n
 
 

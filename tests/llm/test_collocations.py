@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpus_jobs.llm import collocations
@@ -66,6 +67,17 @@ def test_rare_runs_are_cut_and_nothing_else(spark):
     assert found[0] == found[1] and found[0]
 
 
+def test_rows_with_equal_keys_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 4, 500), rng.integers(-3, 3, 500), np.zeros(500, np.int64)]
+    want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+    for mix in (collocations._mix, lambda x, column: x):
+        monkeypatch.setattr(collocations, "_mix", mix)
+        first, n = collocations._distinct_rows(columns)
+        assert dict(zip(zip(*(c[first].tolist() for c in columns), strict=True), n.tolist(), strict=True)) == want and len(first) == len(want)
+    assert [len(x) for x in collocations._distinct_rows([np.zeros(0, np.int64)])] == [0, 0]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([("a b", "en")], "text string, lang string")
     assert collocations.collocations(docs.where("false")).count() == 0
