@@ -34,7 +34,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Turns are sorted by turn, then role and text, nulls first; repeated rows stay. A null role or text counts as
     empty; rows of a null conversation form one conversation. Turns of one role that follow each other share a block
     and are set apart by NEXT, which reading back undoes. Loss spans hold the texts of ``loss_roles`` only.
-    Other columns are not read. A conversation is one row, so it must fit one.
+    Other columns are not read. An empty table gives no rows. A conversation is one row, so it must fit one.
     """
     empty = F.lit("")
     rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text")).alias("t"))

@@ -135,7 +135,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay (see exact_groups), all columns as they were."""
+    """The rows of ``docs`` that stay, all columns as they were.
+
+    Of equal texts (without white space; null as empty) the longest stays, of these the smallest id (null last), of
+    repeated rows the first in the files. Whole texts of any length are compared; an empty table stays empty.
+    """
     docs = rereadable(docs)
     gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("_locator")
     return drop_located(docs, materialise(gone, "gone"))

@@ -25,7 +25,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 (and ids, if asked for).
 
     A document's ids are those of its whole text (null: empty) and ``end_id``; only documents longer than
-    ``capacity`` are cut, each piece but the last being full. Repeated rows give repeated pieces.
+    ``capacity`` are cut, each piece but the last being full. Repeated rows give repeated pieces. Texts of any length are
+    tokenised whole; an empty table gives no pieces. Other columns aren't read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fields = [rows.schema["doc_id"], *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))]
@@ -220,5 +221,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, small_share: float = 0.34, gro
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Cut and pack: one row per piece, with doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids)."""
+    """Cut and pack: one row per piece, with doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids).
+
+    Nulls, repeated rows, very long texts and empty tables are as in cut and pack. Executors with little memory want
+    common.small_batches set by the application, which bounds the Arrow batches of texts that come to a Python worker.
+    """
     return pack(materialise(cut(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces"), capacity)

@@ -315,7 +315,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``rows`` with the ids replaced by their text (null ids: empty); a column named ``out`` is replaced, all others stay."""
+    """``rows`` with the ids replaced by their text (null ids: empty); a column named ``out`` is replaced, all others stay.
+
+    Lists of any length are decoded whole; repeated rows stay repeated, an empty table empty.
+    """
     def made(lists: list[list[int] | None]) -> list[pa.Array]:
         c = codec(model)
         return [pa.array([c.decode(pack(f"<{len(x or [])}I", *(x or []))) for x in lists], pa.string())]
@@ -324,7 +327,10 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
 
 
 def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with the text replaced by n_tokens, ids_crc32, and the decoded text's chars and sha256, in one pass (see encode)."""
+    """``docs`` with the text replaced by n_tokens, ids_crc32, and the decoded text's chars and sha256, in one pass.
+
+    Nulls, repeated rows, very long texts and an empty table are as in encode. Columns of these four names are replaced.
+    """
     def made(texts: list[str | None]) -> list[pa.Array]:
         c, n, crc, chars, sha = codec(model), [], [], [], []
         for s in stretches(texts):

@@ -219,7 +219,11 @@ def score(measured: DataFrame, model: AdditiveModel, out: str = "score") -> Data
 
 
 def score_texts(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the text's score (null text: as empty) as a further column, in one pass; a column named ``out`` is replaced."""
+    """``docs`` with the text's score (null text: as empty) as a further column, in one pass; a column named ``out`` is replaced.
+
+    Whole texts of any length are measured, some at a time. A score depends on the text only, so repeated rows and equal
+    texts get equal ones; an empty table stays empty. All other columns stay, whatever their names.
+    """
     names = [c for c in docs.columns if c != out]
     rows = docs.drop(out)
     at = names.index(text)

@@ -155,7 +155,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "findings", win
     always stay. Entropy kinds are stretches of overlapping windows in runs of ``window`` characters or more with a
     digit. Base findings (for hex, base64 ones too) and what ``allow`` hides are cut out of them: matches of its
     patterns within a run, with all of the letters and digits that they are part of. Every part left that holds a
-    window of enough entropy is a finding. A null or empty text has none.
+    window of enough entropy is a finding. A null or empty text has none. Each row is scanned by itself: repeated rows
+    get repeated findings, an empty table stays empty, and texts of any length are read whole.
 
     The steps are columns of their own, since the analyzer takes a pass for every level of nested lambdas.
     """
@@ -176,7 +177,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", out: str = "findings", win
 
 
 def redact(text: Column, findings: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every finding (overlapping ones as one) replaced by ``mask``; null stays null."""
+    """The text with every finding (overlapping ones as one) replaced by ``mask``; null stays null, and what has no findings as it is."""
     def cut(t: Column, fs: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
 

@@ -170,7 +170,8 @@ def decode_http(block: bytes) -> bytes | None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Responses and revisits below ``path``: id, page_id, url, record_type, digest, refers, payload.
 
-    The payload is null for revisits, and where a record isn't whole, its framing is broken or its digest differs.
+    The payload is null for revisits, and where a record isn't whole, its framing is broken or its digest differs. Archives
+    without records give no rows, records that are there twice come twice.
     """
     whole = reassemble(read_records(spark, path)).where(F.col("type").isin("response", "revisit"))
 
