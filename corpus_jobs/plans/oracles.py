@@ -215,3 +215,5 @@ ORACLE_SQL: dict[str, str] = {
         good AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) <= 20 AND bool_and(coalesce(role IN ('user', 'assistant'), false)) AND bool_and(length(coalesce(text, '')) BETWEEN 1 AND 4000) AND arg_max(role, turn) = 'user'),
         recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations SEMI JOIN good USING (conv_id)) WHERE back <= 8)"""),
 }
+
+ORACLE_SQL["upsert_bucketed_chunks"] = ORACLE_SQL["upsert_chunks"]  # the same rows in another way

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -236,6 +237,15 @@ def upsert_chunks(spark, d):
     return sync.upsert_chunks(stored, new, now).select("slug", "chunk_index", "content_hash", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+@query
+def upsert_bucketed_chunks(spark, d):
+    """The same with a stored table in buckets, whose rows aren't shuffled."""
+    now, then = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    stored = tables.save_bucketed(t.stored_chunks(spark, d).drop("doc_id").withColumn("updated_at", then), f"chunks_{uuid.uuid4().hex}")
+    new = sync.changed_chunks(_new_chunks(spark, d), stored).where("is_changed").drop("doc_id", "is_changed")
+    return sync.upsert_chunks(stored, new, now).select("slug", "chunk_index", "content_hash", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
 @query
 def delete_stale_notes(spark, d):
     n = t.notes(spark, d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpus_jobs.sources.codecs import decode_tags, decode_vector, encode_tags, encode_vector
+from corpus_jobs.sources.shared import shared_dir
 
 #: Rows of a snapshot, and the sizes of its vectors (null vectors left out).
 STATS = "n_rows bigint, least_dim int, greatest_dim int"
@@ -30,6 +31,19 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: tuple[str, ...] = ("slug", "chunk_index"), buckets: int | None = None) -> DataFrame:
+    """A new snapshot as a table of the catalog, bucketed and sorted by ``keys``, its files in shared storage.
+
+    A sync joins it by these keys without a shuffle of its rows: only what is new is dealt to the buckets. Rows of one
+    slug are spread over the buckets. There should be as many buckets as shuffle partitions (the default) or more.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, *keys)  # one file a bucket
+    dealt.write.bucketBy(n, *keys).sortBy(*keys).option("path", shared_dir(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_chunks(df: DataFrame, path: str) -> DataFrame:
     """A new snapshot of chunks, and beside it one row of what was observed while it was written: n_rows, least_dim, greatest_dim."""
     seen = Observation("chunks")

@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,42 @@ def test_changes_and_upsert(spark):
     assert got == {("a", 0): ("old", 1), ("a", 1): ("y", 2), ("b", 0): ("w", 2), ("z", 0): ("kept", 1)}
 
 
+def scans(df):
+    """(tables that are read, those of them whose rows go through a shuffle), by the scans of a plan and those below an exchange."""
+    every, found, nodes = set(), set(), [(df._jdf.queryExecution().executedPlan(), False)]
+    while nodes:
+        node, below = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("Scan"):
+            every.add(name.split(".")[-1])
+            found |= {name.split(".")[-1]} if below else set()
+        nodes += [(node.children().apply(i), below or name == "Exchange") for i in range(node.children().size())]
+    return every, found
+
+
+def test_a_bucketed_table_is_not_shuffled(spark):
+    rows = [(f"s{i % 40}", i // 40, f"h{i}", [float(i)], f"t{i}") for i in range(200)]
+    schema = "slug string, chunk_index int, content_hash string, embedding array<float>, text string"
+    plain = spark.createDataFrame(rows, schema).withColumn("updated_at", day(1))
+    name = f"stored_{uuid.uuid4().hex}"
+    stored = tables.save_bucketed(plain, name)
+    new = spark.createDataFrame([(s, i, h if int(h[1:]) % 3 else "other", e, "new") for s, i, h, e, _ in rows[::2]] + [("s99", 0, "h", [1.0], "new")], schema)
+    before = {conf: spark.conf.get(conf) for conf in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        changes = sync.changed_chunks(new, stored)
+        out = sync.upsert_chunks(stored, changes.where("is_changed").drop("is_changed"), day(2))
+        for df, other in ((changes, sync.changed_chunks(new, plain)), (out, sync.upsert_chunks(plain, changes.where("is_changed").drop("is_changed"), day(2)))):
+            every, shuffled = scans(df)
+            assert name in every and name not in shuffled
+            assert sorted(map(str, df.collect())) == sorted(map(str, other.collect())) and df.count() > 100
+    finally:
+        for conf, value in before.items():
+            spark.conf.set(conf, value)
+        spark.sql(f"DROP TABLE {name}")
+
+
 def notes(spark, **bodies):
     return spark.createDataFrame([(k, k.upper(), "H", v, k != "draft") for k, v in bodies.items()], "slug string, title string, heading string, content_html string, published boolean")
 
