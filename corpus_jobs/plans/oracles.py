@@ -128,6 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "visible_notes": _sql("SELECT slug, date, category FROM visible"),
     "bm25_scores": _sql("SELECT query_id, slug, chunk_index, round(score, 6) AS score FROM scored"),
     "chunks_in_slugs": _sql("SELECT query_id, slug, chunk_index FROM (SELECT DISTINCT query_id, slug FROM lexical WHERE rank <= 6) JOIN chunks USING (slug)"),
+    "embed_once": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE 64 END AS dim, true AS same FROM documents",
     "check_embedding_dim": "SELECT count(*) AS n_same, 0::BIGINT AS n_other FROM embeddings WHERE len(embedding) = 64",
     "sync_notes": _sql("""
         SELECT slug, title, CASE WHEN doc_id IN (SELECT doc_id FROM known) THEN '2024-01-01' ELSE '2024-03-01' END AS created, '2024-03-01' AS updated FROM notes WHERE lang <> 'es'""", _CHANGES),

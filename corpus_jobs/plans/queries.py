@@ -13,6 +13,7 @@ from corpus_jobs.functions.chunking import compose_chunks as composed
 from corpus_jobs.functions.chunking import merge_small_sections as merged
 from corpus_jobs.functions.html import html_sections as sections_of
 from corpus_jobs.operators import dialogs, lexical, notes, sync, tags, vectors
+from corpus_jobs.operators.embed import embed_once as once
 from corpus_jobs.operators.embed import embed_texts as embed
 from corpus_jobs.operators.embed import hashing_embedder
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion as fuse
@@ -406,6 +407,14 @@ def embed_texts(spark, d):
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 4).alias("norm"))
 
 
+@query
+def embed_once(spark, d):
+    """Vectors by way of the store, and whether they are what the model gives each text by itself."""
+    docs = t.table(spark, d, "documents").select("doc_id", "text").withColumn("content_hash", text.chunk_hash(F.col("text"), MODEL))
+    direct = embed(once(docs, "text", "content_hash", hashing_embedder(64), 64), "text", hashing_embedder(64), 64, out="direct")
+    return direct.select("doc_id", F.size("embedding").alias("dim"), F.col("embedding").eqNullSafe(F.col("direct")).alias("same"))
+
+
 @query
 def sync_chunks(spark, d):
     """Notes of two sections meet a stored table of those with labels; edited ones have another hash there."""
