@@ -77,10 +77,13 @@ def sync_changed_notes(
     spark = notes.sparkSession
     kept = check_embedding_dim(stored, embedding.dim, stats)
     current = embeddable_notes(notes).select("slug", "title", "heading", "content_html", note_digest(embedding, chunking).alias("digest"))
-    before = spark.createDataFrame([], DIGESTS) if known is None else known.select("slug", "digest", "n", "mark")
-    there = _marks(kept).select("slug", F.col("n").alias("_n"), F.col("mark").alias("_mark"))
-    whole = before.join(there, "slug", "left").where((F.col("n") == F.coalesce("_n", F.lit(0))) & F.col("mark").eqNullSafe(F.coalesce("_mark", F.lit(0).cast("decimal(38,0)"))))
-    same_notes = materialise(current.select("slug", "digest").join(whole.select("slug", "digest", "n", "mark"), ["slug", "digest"]), "unchanged-notes")
+    if known is None:
+        same_notes = spark.createDataFrame([], DIGESTS)
+    else:
+        there = _marks(kept).select("slug", F.col("n").alias("_n"), F.col("mark").alias("_mark"))
+        nothing = F.lit(0).cast("decimal(38,0)")
+        whole = known.join(there, "slug", "left").where((F.col("n") == F.coalesce("_n", F.lit(0))) & F.col("mark").eqNullSafe(F.coalesce("_mark", nothing)))
+        same_notes = materialise(current.select("slug", "digest").join(whole.select("slug", "digest", "n", "mark"), ["slug", "digest"]), "unchanged-notes")
     changed = current if known is None else current.join(same_notes.select("slug"), "slug", "left_anti")
     new = materialise(chunk_notes(changed, chunking).withColumn("content_hash", chunk_hash(F.col("text"), embedding.model)), "new-chunks")
     changes = materialise(changed_chunks(new.select(*KEYS, "content_hash"), kept).select(*KEYS, "is_changed"), "changes")
@@ -96,8 +99,8 @@ def sync_changed_notes(
 
     counts = sync_counts(changes).crossJoin(same_notes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n")))
     counts = counts.select("embedded", (F.col("unchanged") + F.col("_n")).alias("unchanged"))
-    nothing = (F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark"))
-    digests = changed.select("slug", "digest").join(_marks(new), "slug", "left").select("slug", "digest", *nothing)
+    given = (F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("mark", F.lit(0).cast("decimal(38,0)")).alias("mark"))
+    digests = changed.select("slug", "digest").join(_marks(new), "slug", "left").select("slug", "digest", *given)
     return snapshot, counts, same_notes.select("slug", "digest", "n", "mark").unionByName(digests)
 
 

@@ -155,7 +155,7 @@ def html_sections(spark, d):
 @query
 def chunk_notes(spark, d):
     """Every document as a note of two sections, the second of which is merged into the first before that is split."""
-    return notes.chunk_notes(t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html"))))
+    return notes.chunk_notes(t.spread(t.notes(spark, d)).withColumn("content_html", t.note_html(F.col("content_html"))))
 
 
 @query
@@ -419,8 +419,9 @@ def embed_once(spark, d):
 def sync_chunks(spark, d):
     """Notes of two sections meet a stored table of those with labels; edited ones have another hash there."""
     load, params, then = hashing_embedder(32), Embedding(MODEL, 32), F.lit("2024-01-01 00:00:00").cast("timestamp")
-    n = t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html")))
-    old = notes.chunk_notes(n).join(n.join(t.known_before(spark, d), "doc_id").select("slug", "edited"), "slug")
+    n = t.spread(t.notes(spark, d)).withColumn("content_html", t.note_html(F.col("content_html")))
+    before = n.join(t.known_before(spark, d), "doc_id")
+    old = notes.chunk_notes(before).join(before.select("slug", "edited"), "slug")
     digest = text.chunk_hash(F.when(F.col("edited"), F.concat(F.lit("old "), "text")).otherwise(F.col("text")), MODEL)
     stored = old.withColumns({"content_hash": digest, "embedding": F.array_repeat(F.lit(0.5).cast("float"), 32), "updated_at": then})
     chunks, _ = jobs.sync_chunks(n, _snapshot(stored, CHUNKS), load, F.lit("2024-03-01 00:00:00").cast("timestamp"), params)
@@ -431,7 +432,7 @@ def sync_chunks(spark, d):
 def sync_changed_notes(spark, d):
     """Two syncs: of the known documents, some with another title then, and of all; the second skips the notes that are as they were."""
     load, params = hashing_embedder(32), Embedding(MODEL, 32)
-    n = t.notes(spark, d).withColumn("content_html", t.note_html(F.col("content_html")))
+    n = t.spread(t.notes(spark, d)).withColumn("content_html", t.note_html(F.col("content_html")))
     old = n.join(t.known_before(spark, d), "doc_id").withColumn("title", F.when(F.col("edited"), F.concat(F.lit("Old "), "title")).otherwise(F.col("title"))).drop("edited")
     path, vectors_at = shared_dir(spark, "snapshot"), shared_dir(spark, "vectors")
     nothing = spark.createDataFrame([], CHUNKS)
