@@ -54,6 +54,8 @@ class Best:
 
     def offer(self, query: np.ndarray, row: np.ndarray, key: np.ndarray, slugs: Sequence[str], numbers: np.ndarray, order: np.ndarray) -> None:
         """Pairs of a query and a row of a batch, with the rows' slugs, numbers and places in the order of both (see in_order)."""
+        if self.k <= 0:
+            return
         near = np.flatnonzero(key <= self.worst[query])
         near = near[np.lexsort((order[row[near]], key[near], query[near]))]
         query, row, key = query[near], row[near], key[near]
