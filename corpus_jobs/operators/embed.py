@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -83,7 +84,7 @@ def _fill(missing: DataFrame, hash_col: str, text_col: str, out: str, store: str
     """Embed every row of ``missing`` (hash, text), a file of the store at a time; gives the number of vectors."""
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
-        from pyarrow.fs import FileSystem
+        from pyarrow.fs import FileSystem, FileType
 
         embed = None
         files, base = FileSystem.from_uri(store)
@@ -92,15 +93,16 @@ def _fill(missing: DataFrame, hash_col: str, text_col: str, out: str, store: str
 
         def kept() -> int:
             nonlocal embed, hashes, texts
-            embed = embed or load()
-            vectors = [v for at in range(0, len(texts), batch_size) for v in _embedded(embed, texts[at : at + batch_size], kind, dim)]
-            table = pa.table({hash_col: pa.array(hashes, pa.string()), out: pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))})
-            # the name follows from the hashes, so that a task that runs again writes the same file again
-            name = hashlib.sha256("\n".join(hashes).encode()).hexdigest()
-            hidden = f"{base}/_{name}.{hashlib.sha256(np.random.default_rng().bytes(16)).hexdigest()[:16]}"  # readers pass over it
-            with files.open_output_stream(hidden) as stream:
-                pq.write_table(table, stream)
-            files.move(hidden, f"{base}/{name}.parquet")
+            # the name follows from the hashes, so that a task that runs again finds what it has finished
+            name = hashlib.sha256("\n".join([str(dim), *hashes]).encode()).hexdigest()
+            if files.get_file_info(f"{base}/{name}.parquet").type == FileType.NotFound:
+                embed = embed or load()
+                vectors = [v for at in range(0, len(texts), batch_size) for v in _embedded(embed, texts[at : at + batch_size], kind, dim)]
+                table = pa.table({hash_col: pa.array(hashes, pa.string()), out: pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))})
+                hidden = f"{base}/_{name}.{os.urandom(8).hex()}"  # readers pass over it
+                with files.open_output_stream(hidden) as stream:
+                    pq.write_table(table, stream)
+                files.move(hidden, f"{base}/{name}.parquet")
             hashes, texts, n = [], [], len(hashes)
             return n
 
@@ -133,9 +135,10 @@ def embed_once(df: DataFrame, text_col: str, hash_col: str, load: Loader, dim: i
     schema = _STORED.format(hash=f"`{hash_col}`", out=f"`{out}`")
     spark.createDataFrame([], schema).write.mode("ignore").parquet(store)
     wanted = df.where(F.col(text_col).isNotNull()).groupBy(hash_col).agg(F.first(text_col).alias(text_col))
-    missing = wanted.join(spark.read.schema(schema).parquet(store).select(hash_col), hash_col, "left_anti")
+    sized = F.size(out) == dim  # vectors of another size are another model's
+    missing = wanted.join(spark.read.schema(schema).parquet(store).where(sized).select(hash_col), hash_col, "left_anti")
     _fill(missing, hash_col, text_col, out, store, load, dim, kind, batch_size, texts_a_file)
-    known = spark.read.schema(schema).parquet(store).dropDuplicates([hash_col])
+    known = spark.read.schema(schema).parquet(store).where(sized).dropDuplicates([hash_col])
     vectors = known.select(F.col(hash_col).alias("_hash"), F.col(out).alias("_vector"))
     rows = df.drop(out)
     key = F.when(F.col(text_col).isNotNull(), F.col(hash_col))

@@ -184,6 +184,7 @@ def test_each_text_goes_to_the_model_once(spark, tmp_path):
     assert len(calls(log)) == 5  # the hashes decide
     with pytest.raises(Exception, match="vector of 16 numbers instead of 8"):
         embed_once(df, "t", "h", counting(log), 8).collect()
+    assert {len(r["embedding"]) for r in embed_once(df.where("t IS NOT NULL"), "t", "h", hashing_embedder(8), 8, store=store).collect()} == {8}
     assert embed_once(df.where("false"), "t", "h", counting(log), 16).count() == 0
 
 
