@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ _ODD = "".join(map(chr, (0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA
 #: Characters whose case folding has ASCII letters and differs from their lower case.
 _FOLDED = "ßſŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 TOKEN = r"[a-z0-9]+(?:[._:/-][a-z0-9]+)*"
+#: By byte: 1 for what makes tokens, 2 for what may stand inside one.
+_KIND = np.array([1 if chr(i) in "abcdefghijklmnopqrstuvwxyz0123456789" else 2 if chr(i) in "._:/-" else 0 for i in range(256)], np.uint8)
 
 
 def collapse(c: Column) -> Column:
@@ -26,8 +33,12 @@ def strip(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Every line collapsed; empty lines go. Only what is to change is matched, so most texts are just looked through."""
-    lines = F.regexp_replace(F.translate(c, _ODD, " " * len(_ODD)), "  +", " ")
-    return F.btrim(F.regexp_replace(lines, r" \n[ \n]*|\n[ \n]+", "\n"), F.lit(" \n"))
+    def changed(t: Column, parts: list[str], pattern: str, by: str) -> Column:
+        # looking for bytes is much faster than a pattern, which few texts need
+        return F.when(functools.reduce(operator.or_, (t.contains(part) for part in parts)), F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    lines = let(F.translate(c, _ODD, " " * len(_ODD)), lambda t: changed(t, ["  "], "  +", " "))
+    return F.btrim(let(lines, lambda t: changed(t, [" \n", "\n ", "\n\n"], r" \n[ \n]*|\n[ \n]+", "\n")), F.lit(" \n"))
 
 
 def normalize_tags(c: Column) -> Column:
@@ -55,6 +66,20 @@ def lexical_tokens(c: Column) -> Column:
     return F.regexp_extract_all(casefold(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+    """(row, token) of all tokens of a batch of texts, the same ones as by lexical_tokens."""
+    parts = [(text or "").casefold().encode() for text in texts]
+    found = np.frombuffer(b" ".join([*parts, b""]) or b" ", np.uint8)
+    kind = _KIND[found]
+    inside = kind == 1
+    inside[1:-1] |= (kind[1:-1] == 2) & inside[:-2] & inside[2:]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    rows = np.searchsorted(np.cumsum([len(part) + 1 for part in parts]), starts, "right")
+    return rows, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(found[inside]))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where the body uses it inside a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

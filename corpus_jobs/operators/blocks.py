@@ -159,7 +159,8 @@ class BoundedSums:
             best.offer(q[good], (pairs % n_rows)[good], -score[good], slugs, numbers, order)
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of at most so many rows."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many rows and bytes at most."""
     for batch in batches:
-        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        n = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        yield from (batch.slice(at, n) for at in range(0, batch.num_rows, n))

@@ -56,6 +56,26 @@ def test_bm25_against_plain_python(spark, bound):
     assert ranked(got, "slug", "chunk_index") == want
 
 
+def test_all_scores_are_made_where_chunks_are_read(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    data = [(f"s{i % 50}", i // 50, "T", "h", " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(2500)]
+    chunks = spark.createDataFrame(data, "slug string, chunk_index int, title string, heading string, text string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(rng.choices([*words, "none"], k=3))) for q in range(300)] + [(None, "w1"), (300, "none"), (301, None)], "query_id long, text string")
+    near = lexical.score_lexical(queries, chunks)
+    got, want = ({tuple(r)[:3]: r["score"] for r in df.collect()} for df in (near, lexical.score_lexical(queries, chunks, broadcast_bytes=0)))
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == near.count() and (None, "s0", 0) in {(q, "s0", 0) for q, *_ in got}
+    assert not exchanged(near)
+    assert lexical.score_lexical(queries.where("false"), chunks).count() == lexical.score_lexical(queries, chunks.where("false")).count() == 0
+
+
+def test_terms_are_summed_by_batch(spark):
+    chunks = spark.createDataFrame([(f"s{i}", 0, "T", "h", f"a a b {'ß' * (i % 2)} c.d.") for i in range(3000)], "slug string, chunk_index int, title string, heading string, text string").repartition(2)
+    for rows in (lexical.documents(chunks), lexical.tokenized(chunks)):
+        assert lexical._signed(rows, 1).count() <= 2 * 2 * 7
+        assert {r["term"]: (r["df"], r["size"]) for r in lexical.term_totals(rows).collect()} == {"": (3000, 19500), **{x: (3000, 3000) for x in ("t", "h", "b", "c.d")}, "a": (3000, 6000), "ss": (1500, 1500)}
+
+
 def test_bounded_sums_of_many_queries():
     """2,000 queries of frequent and rare terms over batches of chunks, many of them equal, against all products."""
     rng = np.random.default_rng(4)

@@ -25,6 +25,7 @@ def test_normalize_text(spark, raw):
 
 def test_normalize_random_texts(spark):
     import random
+    import re
 
     rng = random.Random(4)
     raws = ["".join(rng.choice("ab \n\t\r\x0b\x1c\x85\u00a0\u2003\u200b  ") for _ in range(rng.randint(0, 40))) for _ in range(300)]
@@ -142,3 +143,17 @@ def test_chunk_notes(spark):
     assert set(got) == {("a", 0), ("c", 0)}
     assert got["a", 0]["text"] == "T — Main\n\n" + "x" * 250 + "\nSmall\ntail"
     assert got["c", 0]["text"] == "T — Only\n\n"
+
+
+def test_tokens_of_batches_are_those_of_the_column():
+    import random
+    import re
+
+    rng = random.Random(4)
+    texts = [None, "", "...", "a", "-a.b-", "a..b", "Straße ŉ ﬀ/x_y:z", *("".join(rng.choices("ab1._:/- \nßÄéK\u0130", k=rng.randint(0, 40))) for _ in range(500))]
+    rows, tokens = text.tokens_of(texts)
+    found = [[] for _ in texts]
+    for row, token in zip(rows.tolist(), tokens.to_pylist(), strict=True):
+        found[row].append(token)
+    assert found == [re.findall(text.TOKEN, (t or "").casefold()) for t in texts]
+    assert [len(x) for x in text.tokens_of([])] == [0, 0]
