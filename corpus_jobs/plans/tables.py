@@ -47,13 +47,20 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pieces() -> Column:
+    """Pieces of a document's normalised text."""
+    none = F.array().cast("array<string>")
+    return let(normalize_text(F.col("text")), lambda t: F.when(t == "", none).otherwise(split_long_text(t)))
+
+
+def _exploded(docs: DataFrame, pieces: Column) -> DataFrame:
+    rows = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("slug"), F.posexplode(pieces).alias("chunk_index", "text"))
+    return rows.select("slug", "chunk_index", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("heading"), "text", "doc_id")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document's normalised text: slug, chunk_index, heading, text, doc_id."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    none = F.array().cast("array<string>")
-    body = let(normalize_text(F.col("text")), lambda t: F.when(t == "", none).otherwise(split_long_text(t)))
-    pieces = docs.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("slug"), F.posexplode(body).alias("chunk_index", "text"))
-    return pieces.select("slug", "chunk_index", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("heading"), "text", "doc_id")
+    return _exploded(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), _pieces())
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +83,14 @@ def known_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older chunk table: the known documents; those edited since had another text and a chunk more."""
-    rows = chunks(spark, sf_dir).join(known_before(spark, sf_dir), "doc_id")
-    now = rows.withColumn("text", F.when(F.col("edited"), F.concat(F.lit("old "), F.col("text"))).otherwise(F.col("text"))).drop("edited")
-    last = rows.where("edited").groupBy("slug", "heading", "doc_id").agg((F.max("chunk_index") + 1).alias("chunk_index")).withColumn("text", F.lit("gone"))
-    return now.unionByName(last).select("slug", "chunk_index", "heading", "text", F.sha2(F.concat(F.lit(MODEL), F.lit("\0"), F.col("text")), 256).alias("content_hash"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).join(known_before(spark, sf_dir), "doc_id")
+
+    def then(pieces: Column) -> Column:
+        old = F.concat(F.transform(pieces, lambda x: F.concat(F.lit("old "), x)), F.array(F.lit("gone")))
+        return F.when(F.col("edited") & (F.size(pieces) > 0), old).otherwise(pieces)
+
+    rows = _exploded(docs, let(_pieces(), then))
+    return rows.select("slug", "chunk_index", "heading", "text", F.sha2(F.concat(F.lit(MODEL), F.lit("\0"), F.col("text")), 256).alias("content_hash"), "doc_id")
 
 
 def note_files(spark: SparkSession, files: DataFrame) -> str:
