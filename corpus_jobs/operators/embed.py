@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_jobs.operators import blocks
 from corpus_jobs.sources.shared import shared_dir
 
 #: Makes, once per worker, what turns (texts, kind) into a list of vectors.
@@ -107,7 +108,7 @@ def _fill(missing: DataFrame, hash_col: str, text_col: str, out: str, store: str
             return n
 
         done = 0
-        for batch in batches:
+        for batch in blocks.small(batches, texts_a_file):
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes.append(h)
                 texts.append(text)
