@@ -9,9 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.sources.shared import materialise, shared_dir
+from corpus_jobs.sources.shared import materialise, shared_dir, small_batches
 
-__all__ = ["materialise", "shared_dir"]
+__all__ = ["materialise", "shared_dir", "small_batches"]
 
 #: The characters of [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,15 +24,6 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 16 <<
         yield from (batch.slice(at, n) for at in range(0, batch.num_rows, n))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold 1,000 rows or 16 MB at most from the start, which spares executors some hundred MB.
-
-    It sets the session, so applications call it, as the registered queries do, and operators don't.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def stretches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[slice]:
     """Cut a batch into slices of about so many characters, so that arrays over them stay small."""
     start = size = 0
