@@ -51,6 +51,26 @@ def split_long_text(text: Column, most: int = 2500) -> Column:
     return F.when(F.length(text) <= most, F.array(text)).otherwise(let(F.split(text, "\n"), pieces))
 
 
+def _packed(text: str, most: int) -> list[str]:
+    pieces, held, size = [], [], 0
+    for line in text.split("\n"):
+        line = " ".join(line.split())  # its white space is text.SPACE
+        if held and line and size + 1 + len(line) > most:
+            pieces.append("\n".join(held))
+            held = []
+        if line:
+            size = size + 1 + len(line) if held else len(line)
+            held.append(line)
+    return [*pieces, "\n".join(held)] if held else pieces
+
+
+def pieces_of(texts: list[str | None], most: int = 2500) -> tuple[list[int], list[int], list[str]]:
+    """(row, number, piece) of a batch of texts, the same pieces as by split_long_text of normalize_text; a text without words has none."""
+    found = [(row, number, piece) for row, text in enumerate(texts) for number, piece in enumerate(_packed(text or "", most))]
+    rows, numbers, pieces = zip(*found, strict=True) if found else ((), (), ())
+    return list(rows), list(numbers), list(pieces)
+
+
 def compose_chunks(sections: Column, title: Column, heading: Column, most: int = 2500) -> Column:
     """Array of (heading, text): every piece with title and heading in front; a section without heading takes the note's."""
     def composed(s: Column) -> Column:

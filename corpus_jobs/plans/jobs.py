@@ -118,17 +118,19 @@ def _shown(notes: DataFrame, as_of: str) -> DataFrame:
     return materialise(visible_notes(notes, as_of).select("slug", "title", "url", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")), "visible-notes")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking(), broadcast_bytes: int = 32 << 20) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking(), broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None) -> DataFrame:
     """The fused best hits of queries (query_id, text, embedding) over visible chunks: rank, score, distance and the chunk's text.
 
     Which chunks are visible is told where they are read (see bitmaps.rows_of); the searches shuffle keys, distances
     and counts of terms, and texts only of what was found. Up to ``broadcast_bytes`` of slugs, vectors or query terms go
-    to every task; see the searches for what they do beyond.
+    to every task; see the searches for what they do beyond. ``embeddings`` (slug, chunk_index, embedding) are vectors
+    that stand apart; chunks need none then.
     """
     shown = _shown(notes, as_of)
     visible = rows_of(chunks, "slug", shown, broadcast_bytes)
+    placed = visible if embeddings is None else rows_of(embeddings.where(F.col("embedding").isNotNull()), "slug", shown, broadcast_bytes)
     depth = params.depth if params.top_k > 0 else 0
-    semantic = vectors.semantic_top_k(queries, visible, depth, broadcast_bytes)
+    semantic = vectors.semantic_top_k(queries, placed, depth, broadcast_bytes)
     ranked = lexical.rank_lexical(queries, visible, depth, params.k1, params.b, broadcast_bytes, shown.select("slug", "title"))
     hits = reciprocal_rank_fusion(semantic, ranked, params.top_k, params.rrf_k, params.semantic_weight, params.lexical_weight)
     return _with_texts(hits, chunks, shown, broadcast_bytes)
@@ -151,13 +153,14 @@ def _with_texts(hits: DataFrame, chunks: DataFrame, shown: DataFrame, broadcast_
     return rows_of(rows, "slug", kept.select("slug"), broadcast_bytes).join(named, list(KEYS))
 
 
-def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None) -> DataFrame:
     """The k nearest chunks of notes that share tags with a query's hits, with the tags they share.
 
     Chunks are scored where they are read, by queries with the tags they want and their hits, which go to every task or
     to files (see vectors.tagged_top_k). Of the corpus only chunks of notes with a wanted tag take part; those notes'
     tags go to every task up to ``broadcast_bytes``, beyond that they meet the chunks' keys and vectors in a join. Texts
-    are joined to what was found.
+    are joined to what was found. ``embeddings`` (slug, chunk_index, embedding), with a row for every chunk, are vectors
+    that stand apart.
     """
     shown = _shown(notes, as_of)
     hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
@@ -166,7 +169,7 @@ def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, not
     own = shown.select("slug", F.explode("tags").alias("tag")).join(wanted.select("tag").distinct(), "tag")
     tagged = materialise(own.groupBy("slug").agg(F.collect_set("tag").alias("tags")), "notes-near")
     size = tagged.agg(F.coalesce(F.sum(F.octet_length("slug") + F.octet_length(F.array_join("tags", "")) + 8 * F.size("tags") + 16), F.lit(0))).first()[0]
-    vectors_of = chunks.select(*KEYS, "embedding")
+    vectors_of = (chunks if embeddings is None else embeddings).select(*KEYS, "embedding")
     candidates = vectors_of.join(F.broadcast(tagged), "slug") if size <= broadcast_bytes else rows_of(vectors_of, "slug", tagged, broadcast_bytes).join(tagged, "slug")
     found = vectors.tagged_top_k(queries, wanted, hit, candidates, k, broadcast_bytes)
     wants = wanted.groupBy("query_id").agg(F.collect_set("tag").alias("_wanted"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_jobs.functions.chunking import split_long_text
+from corpus_jobs.functions.chunking import pieces_of, split_long_text
 from corpus_jobs.functions.text import let, normalize_text
+from corpus_jobs.operators import blocks
 from corpus_jobs.sources.shared import materialise, shared_dir
 
 #: The day on which the notes are looked at: those of the last days are still to come.
@@ -63,10 +67,29 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), _pieces())
 
 
-def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A written table of the chunks, with the embedding of their document's number at the first chunk and none elsewhere."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """The rows of _exploded with _pieces, cut in Arrow batches, which takes a fraction of the time that column expressions take."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks.small(batches):
+            rows, numbers, pieces = pieces_of(batch.column(3).to_pylist())
+            slug, heading, doc_id = (batch.column(i).take(pa.array(rows, pa.int64())) for i in (1, 2, 0))
+            made = pa.RecordBatch.from_arrays([slug, pa.array(numbers, pa.int32()), heading, pa.array(pieces, pa.string()), doc_id], names=["slug", "chunk_index", "heading", "text", "doc_id"])
+            yield from blocks.small([made])
+
+    number = F.col("doc_id").cast("string")
+    rows = docs.select("doc_id", F.concat_ws("/", "source", number).alias("slug"), F.concat(F.lit("Doc "), number).alias("heading"), "text")
+    return rows.mapInArrow(cut, f"slug string, chunk_index int, heading string, text string, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+
+
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, embeddings), both written: the chunks, and by their keys the embedding of their document's number at the first chunk and none elsewhere.
+
+    Vectors stand apart from texts, so that only keys meet them.
+    """
+    made = materialise(_cut(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), "chunks")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "embedding")
-    return materialise(chunks(spark, sf_dir).join(vectors, ["doc_id", "chunk_index"], "left").drop("doc_id"), "chunks")
+    placed = made.select("doc_id", "slug", "chunk_index").join(vectors, ["doc_id", "chunk_index"], "left")
+    return made.drop("doc_id"), materialise(placed.drop("doc_id"), "embeddings")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

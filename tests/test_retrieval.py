@@ -11,7 +11,7 @@ from corpus_jobs.operators import bitmaps, blocks, dialogs, lexical, tags, vecto
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.operators.notes import visible_chunks
 from corpus_jobs.params import Chunking, Dialogs, Embedding, Ranking
-from corpus_jobs.plans import jobs
+from corpus_jobs.plans import jobs, tables
 
 
 def ranked(df, *columns):
@@ -288,6 +288,39 @@ def test_search_shuffles_no_text_or_vector_of_the_corpus(spark, tmp_path, bound,
             spark.conf.set(name, value)
 
 
+def test_vectors_meet_keys_of_chunks_not_their_texts(spark, tmp_path, monkeypatch):
+    """The chunk table of the queries is made without a shuffle of texts, also where vectors are too many to broadcast."""
+    docs = [(i, f" line {i}\n\n" * (i % 40) or None, "src" if i % 3 else None) for i in range(40)] + [(None, "a", "src")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 60, 2)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plans = []
+    monkeypatch.setattr(tables, "materialise", lambda df, label, write=tables.materialise: plans.append(df) or write(df, label))
+    before = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        chunks, embeddings = tables.embedded_chunks(spark, str(tmp_path))
+        assert len(plans) == 2 and not {"text"} & {n for df in plans for names in exchanged(df) for n in names}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    want = tables.chunks(spark, str(tmp_path))
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, want.drop("doc_id").collect()))
+    placed = {(r["slug"], r["chunk_index"]): [float(r["doc_id"]), 1.0] if r["chunk_index"] == 0 and r["doc_id"] is not None and r["doc_id"] % 2 == 0 else None for r in want.collect()}
+    assert {(r["slug"], r["chunk_index"]): r["embedding"] for r in embeddings.collect()} == placed and any(placed.values())
+
+
+def test_vectors_apart_give_the_same_search(spark):
+    notes, chunks, asked = world(spark)
+    texts, apart = chunks.drop("embedding"), chunks.select("slug", "chunk_index", "embedding")
+    for k in (1, 6):
+        hits = jobs.hybrid_search(asked, chunks, notes, "2025", Ranking(top_k=k))
+        got = jobs.hybrid_search(asked, texts, notes, "2025", Ranking(top_k=k), embeddings=apart)
+        assert ranked(got, "slug", "chunk_index", "distance", "score", "text") == ranked(hits, "slug", "chunk_index", "distance", "score", "text")
+    near, same = (jobs.expand_neighbors(asked, hits.limit(1), c, notes, "2025", 4, embeddings=e) for c, e in ((chunks, None), (texts, apart)))
+    assert ranked(near, "slug", "chunk_index", "distance", "shared_tags") == ranked(same, "slug", "chunk_index", "distance", "shared_tags")
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 64])
 def test_rows_of_keys_exactly(spark, bits, monkeypatch):
     """Also where bitmaps are so small that most other keys pass them."""

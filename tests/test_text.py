@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_jobs.functions import text
-from corpus_jobs.functions.chunking import compose_chunks, merge_small_sections, split_long_text
+from corpus_jobs.functions.chunking import compose_chunks, merge_small_sections, pieces_of, split_long_text
 from corpus_jobs.functions.html import sections
 from corpus_jobs.operators.notes import chunk_notes
 
@@ -157,3 +157,14 @@ def test_tokens_of_batches_are_those_of_the_column():
         found[row].append(token)
     assert found == [re.findall(text.TOKEN, (t or "").casefold()) for t in texts]
     assert [len(x) for x in text.tokens_of([])] == [0, 0]
+
+
+def test_pieces_of_batches_are_those_of_the_column(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = [None, "", "\u2003\n \x1c", "x" * 50, "ab\n\n" * 9, *("".join(rng.choices("abé\n\n  \t\r\x0b\x1c\x85\u00a0\u2003\u2028\u200b", k=rng.randint(0, 60))) for _ in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.normalize_text(F.col("t")).alias("n")).where("n != ''")
+    want = [tuple(r) for r in df.select("i", F.posexplode(split_long_text(F.col("n"), 12))).orderBy("i", "pos").collect()]
+    assert list(zip(*pieces_of(texts, 12), strict=True)) == want
+    assert pieces_of([]) == ([], [], [])
