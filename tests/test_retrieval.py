@@ -115,6 +115,30 @@ def test_bounded_sums_of_many_queries():
         assert [(round(x, 9), s, i) for x, s, i in got.get(q, [])] == [(round(x, 9), s, i) for x, s, i in want]
 
 
+@pytest.mark.parametrize("most", [4_000_000, 5000])
+def test_few_queries_are_multiplied_as_matrices(most):
+    """The same best rows as by looking entries up, in blocks of queries and slices of rows, with ties between equal rows."""
+    rng = np.random.default_rng(5)
+    n_terms, n_queries, n_rows = 90, 300, 1500
+    cells = np.unique(rng.integers(0, n_rows // 2 * n_terms, 30_000))
+    rows, terms = np.divmod(cells, n_terms)
+    parts = rng.integers(1, 9, len(rows)) / 4
+    rows, terms, parts = np.concatenate([rows, rows + n_rows // 2]), np.tile(terms, 2), np.tile(parts, 2)
+    query, term = np.divmod(np.unique(rng.integers(0, n_queries * n_terms, 3000)), n_terms)
+    weight = rng.integers(1, 99, len(query)) / 8
+    names, numbers = [f"s{i * 7919 % 400:03}" for i in range(n_rows)], np.arange(n_rows)
+    order = blocks.in_order(pa.array(names), pa.array(numbers))
+    found = []
+    for cheaper in (1500, 0):
+        sums, best = blocks.BoundedSums(query, term, weight, n_queries, n_terms), blocks.Best(n_queries, 7)
+        sums.CHEAPER = cheaper
+        for _ in range(2):
+            sums.offer(best, rows, terms, parts, names, numbers, order, most=most)
+        assert bool(sums.products) == (cheaper == 0) == (not sums.matrices)
+        found.append(best.kept)
+    assert found[0] == found[1] and len(found[0]) == len(set(query))
+
+
 def test_totals_follow_random_syncs(spark):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(15)]
