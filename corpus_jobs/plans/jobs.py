@@ -113,12 +113,15 @@ def sync_chunks(notes: DataFrame, stored: DataFrame, load: Loader, now: Column,
     return sync_changed_notes(notes, stored, None, load, now, embedding, chunking)[:2]
 
 
-def _shown(notes: DataFrame, as_of: str) -> DataFrame:
-    """(slug, title, url, tags) of the visible notes, written, as searches read them several times."""
+def shown_notes(notes: DataFrame, as_of: str) -> DataFrame:
+    """(slug, title, url, tags) of the visible notes, written, as searches read them several times.
+
+    A search and its widening may share it (their ``shown``).
+    """
     return materialise(visible_notes(notes, as_of).select("slug", "title", "url", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")), "visible-notes")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking(), broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, params: Ranking = Ranking(), broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
     """The fused best hits of queries (query_id, text, embedding) over visible chunks: rank, score, distance and the chunk's text.
 
     Which chunks are visible is told where they are read (see bitmaps.rows_of); the searches shuffle keys, distances
@@ -126,7 +129,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, notes: DataFrame, as_of
     to every task; see the searches for what they do beyond. ``embeddings`` (slug, chunk_index, embedding) are vectors
     that stand apart; chunks need none then.
     """
-    shown = _shown(notes, as_of)
+    shown = shown_notes(notes, as_of) if shown is None else shown
     visible = rows_of(chunks, "slug", shown, broadcast_bytes)
     placed = visible if embeddings is None else rows_of(embeddings.where(F.col("embedding").isNotNull()), "slug", shown, broadcast_bytes)
     depth = params.depth if params.top_k > 0 else 0
@@ -153,7 +156,7 @@ def _with_texts(hits: DataFrame, chunks: DataFrame, shown: DataFrame, broadcast_
     return rows_of(rows, "slug", kept.select("slug"), broadcast_bytes).join(named, list(KEYS))
 
 
-def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None) -> DataFrame:
+def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, notes: DataFrame, as_of: str, k: int, broadcast_bytes: int = 32 << 20, embeddings: DataFrame | None = None, shown: DataFrame | None = None) -> DataFrame:
     """The k nearest chunks of notes that share tags with a query's hits, with the tags they share.
 
     Chunks are scored where they are read, by queries with the tags they want and their hits, which go to every task or
@@ -162,7 +165,7 @@ def expand_neighbors(queries: DataFrame, hits: DataFrame, chunks: DataFrame, not
     are joined to what was found. ``embeddings`` (slug, chunk_index, embedding), with a row for every chunk, are vectors
     that stand apart.
     """
-    shown = _shown(notes, as_of)
+    shown = shown_notes(notes, as_of) if shown is None else shown
     hit = materialise(hits.select("query_id", "slug").distinct(), "hit-slugs")
     wanted = materialise(wanted_tags(hit, shown), "wanted-tags")
     # tags that nobody wants would only make the rows wider

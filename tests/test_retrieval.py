@@ -11,7 +11,7 @@ from corpus_jobs.operators import bitmaps, blocks, dialogs, lexical, tags, vecto
 from corpus_jobs.operators.fusion import reciprocal_rank_fusion
 from corpus_jobs.operators.notes import visible_chunks
 from corpus_jobs.params import Chunking, Dialogs, Embedding, Ranking
-from corpus_jobs.plans import jobs, tables
+from corpus_jobs.plans import jobs, queries, tables
 
 
 def ranked(df, *columns):
@@ -345,6 +345,13 @@ def test_vectors_apart_give_the_same_search(spark):
     assert ranked(near, "slug", "chunk_index", "distance", "shared_tags") == ranked(same, "slug", "chunk_index", "distance", "shared_tags")
 
 
+def test_a_search_and_its_widening_share_the_visible_notes(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jobs, "materialise", lambda df, label, write=jobs.materialise: made.append(label) or write(df, label))
+    assert queries.QUERIES["expand_neighbors"](spark, "/root/testdata/sf0.001").count() > 0
+    assert made.count("visible-notes") == 1
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 64])
 def test_rows_of_keys_exactly(spark, bits, monkeypatch):
     """Also where bitmaps are so small that most other keys pass them."""
